@@ -1,0 +1,61 @@
+"""The N best rows of every group, by score thresholds from per-group histograms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from terrasieve.session import BROADCAST_BYTES
+
+#: Buckets per doubling of (1 + |score| * SCALE); the mapping is monotone, so thresholds are safe for any scores.
+STEPS, SCALE = 16, float(1 << 20)
+
+
+def score_bucket(score: Column) -> Column:
+    """Monotone bucket of a finite or infinite DOUBLE; it needs no knowledge of the data's range."""
+    size = F.least(F.abs(score), F.lit(1e300))
+    return (F.signum(score) * F.floor(F.log2(F.lit(1.0) + size * SCALE) * STEPS)).cast("int")
+
+
+def top_n(df: DataFrame, group_col: str, score_col: str, tie_cols: list[str], n: int, competes: Column | None = None) -> DataFrame:
+    """df's columns plus rank_no INT (1..n) for the n best rows of every group.
+
+    Order: score descending, then tie_cols ascending with nulls last; with unique tie_cols the
+    result is fixed. Rows with null or NaN score, or for which competes isn't true, take no
+    part. Null groups form one group. Groups with fewer than n rows come out whole; repeated
+    rows compete singly; an empty table gives an empty one. df must not have a column rank_no.
+
+    1. A histogram of score buckets per group, combined map-side, so that a hot group sends at
+       most one row per bucket and task. 2. The group's threshold is the highest bucket at or
+       above which n or more rows lie. 3. Rows below it are dropped before any row is shuffled;
+       thresholds are broadcast if their counted size allows and else joined by shuffle. 4. The
+       survivors are ranked exactly; Spark's group limit keeps at most n rows a task and group,
+       also where a third of all rows tie.
+    """
+    if n < 1:
+        raise ValueError("n must be positive")
+    keep = F.col(score_col).isNotNull() & ~F.isnan(score_col)
+    rows = df.where(keep if competes is None else keep & competes)
+    bucketed = rows.withColumn("_bucket", score_bucket(F.col(score_col)))
+    counts = bucketed.groupBy(F.col(group_col).alias("_g"), "_bucket").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("_g").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    cut = (
+        counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+        .where(F.col("_above") < n)  # buckets needed to reach n rows
+        .groupBy("_g").agg(F.min("_bucket").alias("_cut"), F.sum("_n").alias("_rows"))
+        .where(F.col("_rows") >= n).select("_g", "_cut")  # smaller groups need no threshold
+    )
+    bounded, small = _size_checked(cut)
+    survivors = bucketed.join(F.broadcast(bounded) if small else bounded, bucketed[group_col].eqNullSafe(F.col("_g")), "left")
+    survivors = survivors.where(F.col("_cut").isNull() | (F.col("_bucket") >= F.col("_cut"))).drop("_g", "_cut", "_bucket")
+    order = Window.partitionBy(group_col).orderBy(F.desc(score_col), *[F.asc_nulls_last(t) for t in tie_cols])
+    return survivors.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n)
+
+
+def _size_checked(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df, materialised in the shared folder, and whether its measured size lets it be broadcast."""
+    from terrasieve.session import cut_lineage
+
+    df = cut_lineage(df)
+    size = df.agg(F.coalesce(F.sum(F.coalesce(F.length(df.columns[0]), F.lit(0)) + 32), F.lit(0))).first()[0]
+    return df, size <= BROADCAST_BYTES
