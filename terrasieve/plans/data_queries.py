@@ -23,6 +23,44 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("ImageId", "rank_no", "proposal_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrasieve.sources.summary_csv import load_lines
+
+    lines = load_lines(read(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
+    return lines.where(F.col("reason").isNotNull()).select("line_id", "reason")
+
+
+def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid lines' typed records."""
+    from terrasieve.sources.summary_csv import load_lines
+
+    lines = load_lines(read(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
+    columns = [F.col("geometries")[g].alias(g) for g in ("PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT")]
+    return lines.where(F.col("reason").isNull()).select("line_id", F.col("image_id").alias("ImageId"), F.col("building_id").alias("BuildingId"), *columns, F.col("confidence").alias("Confidence"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrasieve.operators.compaction import consolidate
+
+    folder = consolidate(read(spark, sf_dir, "vector_files"))
+    return spark.read.schema("ImageId string, BuildingId int").parquet(f"{folder}/data").where(F.col("BuildingId").isNotNull())
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrasieve.operators.schema_drift import changes, profile, with_canonical_names
+
+    seen = with_canonical_names(profile(read(spark, sf_dir, "feed_rows"), "feed", "delivery_no", "body"), read(spark, sf_dir, "field_catalog"))
+    return changes(seen).select("feed", "delivery_no", "field_name", "change")
+
+
+def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in canonical names and types; values that don't fit their type are kept in unfit."""
+    from terrasieve.operators.schema_drift import profile, unify, with_canonical_names
+
+    rows, catalog = read(spark, sf_dir, "feed_rows"), read(spark, sf_dir, "field_catalog")
+    return unify(rows, ["row_id", "feed", "delivery_no"], "body", with_canonical_names(profile(rows, "feed", "delivery_no", "body"), catalog), catalog)
+
+
 P3_SQL = """
 SELECT ImageId, CAST(rank_no AS INTEGER) AS rank_no, proposal_id FROM (
   SELECT ImageId, proposal_id, row_number() OVER (PARTITION BY ImageId
@@ -32,9 +70,43 @@ WHERE rank_no <= 3
 """
 
 
+P5_SQL = """
+SELECT DISTINCT coalesce(json_extract_string(f, '$.properties.ImageId'), imageId) AS ImageId,
+  CAST(json_extract_string(f, '$.properties.BuildingId') AS INTEGER) AS BuildingId
+FROM (SELECT unnest(json_extract(body, '$.features[*]')) AS f, imageId FROM vector_files WHERE json_valid(body))
+"""
+
+P6_SQL = """
+WITH kv AS (
+  SELECT feed, delivery_no, k AS field_name, json_type(body, '$."' || k || '"') AS jt, json_extract(body, '$."' || k || '"')::VARCHAR AS v
+  FROM (SELECT feed, delivery_no, body, unnest(json_keys(body)) AS k FROM feed_rows)),
+prof AS (
+  SELECT feed, delivery_no, field_name, canonical_name,
+    max(CASE WHEN jt = 'NULL' THEN 0 WHEN jt = 'BOOLEAN' THEN 1 WHEN jt = 'VARCHAR' THEN 4 WHEN regexp_matches(v, '[.eE]') THEN 3 ELSE 2 END) AS t
+  FROM kv JOIN field_catalog USING (field_name) GROUP BY ALL),
+del AS (
+  SELECT feed, delivery_no, row_number() OVER (PARTITION BY feed ORDER BY delivery_no) AS i,
+    lead(delivery_no) OVER (PARTITION BY feed ORDER BY delivery_no) AS following
+  FROM (SELECT DISTINCT feed, delivery_no FROM feed_rows)),
+p AS (
+  SELECT *, lag(i) OVER w AS pi, lag(field_name) OVER w AS pn, lead(i) OVER w AS ni
+  FROM prof JOIN del USING (feed, delivery_no) WINDOW w AS (PARTITION BY feed, canonical_name ORDER BY i)),
+r AS (
+  SELECT *, sum(CASE WHEN pi = i - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY feed, canonical_name ORDER BY i) AS run FROM p),
+l AS (
+  SELECT *, last_value(nullif(t, 0) IGNORE NULLS) OVER (PARTITION BY feed, canonical_name, run ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM r)
+SELECT feed, delivery_no, field_name, 'added' AS change FROM l WHERE i > 1 AND (pi IS NULL OR pi < i - 1)
+UNION ALL SELECT feed, following, field_name, 'removed' FROM l WHERE following IS NOT NULL AND (ni IS NULL OR ni > i + 1)
+UNION ALL SELECT feed, delivery_no, field_name, 'renamed' FROM l WHERE pi = i - 1 AND pn <> field_name
+UNION ALL SELECT feed, delivery_no, field_name, 'retyped' FROM l WHERE pi = i - 1 AND t > 0 AND known <> t
+"""
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found}
+    named = (p2_found, p3_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified)
+    return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
