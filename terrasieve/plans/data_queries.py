@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from terrasieve.session import read
 
 
+#: Metres within which positions count as near.
+NEAR_M = 10.0
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrasieve.operators.nearby import fit_splits, inside_pairs, near_pairs, positions, regions
+
+    points = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry")
+    areas = regions(read(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips"))
+    splits = fit_splits(points, NEAR_M)
+    near = near_pairs(points, NEAR_M, splits).select(F.lit("near").alias("relation"), "point_id", "other_id")
+    inside = inside_pairs(points, areas, splits).select(F.lit("inside").alias("relation"), "point_id", "other_id")
+    return near.unionByName(inside)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.functions.timestamps import normalise_timestamps
 
@@ -104,7 +119,7 @@ UNION ALL SELECT feed, delivery_no, field_name, 'retyped' FROM l WHERE pi = i -
 
 
 def queries() -> dict:
-    named = (p2_found, p3_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified)
+    named = (p1_found, p2_found, p3_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified)
     return {q.__name__: q for q in named}
 
 
