@@ -29,8 +29,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P8_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM eval_items),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, list_aggregate(w[k:k + 14], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i)),
 dg AS (SELECT doc_id, list_aggregate(w[k:k + 14], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d))
 SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)
