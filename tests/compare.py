@@ -20,7 +20,7 @@ def views(sf_dir: str):
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     return v
