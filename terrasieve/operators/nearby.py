@@ -270,8 +270,12 @@ def rings_of(wkt: str) -> list[list[np.ndarray]]:
     for body in _PART.findall(wkt):
         rings = []
         for ring in _RING.findall(body):
+            n, numbers = ring.count(",") + 1, ring.replace(",", " ").split()
             try:
-                points = np.array([[float(v) for v in p.split()[:2]] for p in ring.split(",")])
+                if len(numbers) == 2 * n:
+                    points = np.array([*map(float, numbers)]).reshape(n, 2)
+                else:  # heights, or not a ring of positions
+                    points = np.array([[float(v) for v in p.split()[:2]] for p in ring.split(",")])
             except ValueError:
                 return []
             if points.ndim != 2 or points.shape[1] != 2 or len(points) < 3 or not np.isfinite(points).all():

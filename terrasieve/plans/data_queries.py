@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasieve.session import read
+from terrasieve.session import cut_lineage, read
 
 
 #: Metres within which positions count as near.
@@ -15,8 +15,8 @@ NEAR_M = 10.0
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.operators.nearby import fit_splits, inside_pairs, near_pairs, positions, regions
 
-    points = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry")
-    areas = regions(read(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips"))
+    points = cut_lineage(positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry"))  # read several times
+    areas = cut_lineage(regions(read(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips")))
     splits = fit_splits(points, NEAR_M)
     near = near_pairs(points, NEAR_M, splits).select(F.lit("near").alias("relation"), "point_id", "other_id")
     inside = inside_pairs(points, areas, splits).select(F.lit("inside").alias("relation"), "point_id", "other_id")
