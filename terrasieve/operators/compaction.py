@@ -110,9 +110,14 @@ def consolidate(
     that holds the surviving version of its files' records. 4. What was written is read again;
     rows and checksum must be those of the records, and the input must still match the manifest.
     5. One rename makes the folder visible; a failed run leaves only a staging folder.
-    The folder's _manifest holds (file_id, name, bytes, hash, bin). Extra columns are ignored.
+    The folder's _manifest holds (file_id, name, bytes, hash, bin). Files without id get a negative one
+    from their hash; files listed twice count once; null, empty and unreadable bodies hold no records;
+    an empty table gives an empty folder. Extra columns are ignored.
     """
     spark = files.sparkSession
+    own_id = F.coalesce(F.col(id_col), -F.abs(F.shiftright(F.xxhash64(name_col, body_col), 1)) - 1)
+    files = files.select(own_id.alias("_file"), F.col(name_col).alias("_name"), F.col(image_col).alias("_own_image"), F.col(time_col).alias("_time"), F.col(body_col).alias("_body"))
+    id_col, name_col, image_col, time_col, body_col = "_file", "_name", "_own_image", "_time", "_body"
     base = out or new_folder(spark, "consolidated")
     staging = base + "-staging"
     line = files.select(F.col(id_col).alias("file_id"), F.col(name_col).alias("name"), F.coalesce(F.octet_length(body_col), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(body_col).alias("hash"))
@@ -131,6 +136,7 @@ def consolidate(
     else:
         bins = numbered.select("file_id", (F.col("bin_no") + shift).cast("long").alias("bin"))
     n_bins = max(1, offset)
+    bins = bins.dropDuplicates(["file_id"])  # a file that is listed twice goes to one bin
     records = cut_lineage(latest_records(building_records(files, id_col, image_col, time_col, body_col)))
     placed = records.join(bins, "file_id")
     tasks = min(n_bins, MAX_TASKS)

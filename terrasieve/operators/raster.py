@@ -26,7 +26,7 @@ def percentile_of(px: DataFrame, share: float, group: str = "image") -> DataFram
 def stretch_8bit(px: DataFrame, high: float = 98.0, most: float = 255.0) -> DataFrame:
     """value: clipped at the image's high percentile, scaled to most and cut to whole numbers in 0..255; a percentile of 0 or less gives 0."""
     rows = px.join(percentile_of(px, high / 100), "image")
-    scaled = F.floor(F.least("value", "p") * most / F.nullif("p", F.lit(0.0)))
+    scaled = F.floor(F.round(F.least("value", "p") * most / F.nullif("p", F.lit(0.0)), 9))  # else noise in the percentile shows
     return rows.select("image", "row", "col", F.when(F.col("p") > 0, F.greatest(F.lit(0), F.least(F.lit(255), scaled))).otherwise(0).cast("int").alias("value"))
 
 

@@ -21,9 +21,9 @@ def top_n(df: DataFrame, group_col: str, score_col: str, tie_cols: list[str], n:
     """df's columns plus rank_no INT (1..n) for the n best rows of every group.
 
     Order: score descending, then tie_cols ascending with nulls last; with unique tie_cols the
-    result is fixed. Rows with null or NaN score, or for which competes isn't true, take no
+    result is fixed. A column rank_no of df is replaced. Rows with null or NaN score, or for which competes isn't true, take no
     part. Null groups form one group. Groups with fewer than n rows come out whole; repeated
-    rows compete singly; an empty table gives an empty one. df must not have a column rank_no.
+    rows compete singly; an empty table gives an empty one.
 
     1. A histogram of score buckets per group, combined map-side, so that a hot group sends at
        most one row per bucket and task. 2. The group's threshold is the highest bucket at or
@@ -36,18 +36,18 @@ def top_n(df: DataFrame, group_col: str, score_col: str, tie_cols: list[str], n:
         raise ValueError("n must be positive")
     keep = F.col(score_col).isNotNull() & ~F.isnan(score_col)
     rows = df.where(keep if competes is None else keep & competes)
-    bucketed = rows.withColumn("_bucket", score_bucket(F.col(score_col)))
-    counts = bucketed.groupBy(F.col(group_col).alias("_g"), "_bucket").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy("_g").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = rows.withColumn("_topn_bucket", score_bucket(F.col(score_col)))
+    counts = bucketed.groupBy(F.col(group_col).alias("_topn_group"), "_topn_bucket").agg(F.count("*").alias("_topn_n"))
+    above = Window.partitionBy("_topn_group").orderBy(F.desc("_topn_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     cut = (
-        counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
-        .where(F.col("_above") < n)  # buckets needed to reach n rows
-        .groupBy("_g").agg(F.min("_bucket").alias("_cut"), F.sum("_n").alias("_rows"))
-        .where(F.col("_rows") >= n).select("_g", "_cut")  # smaller groups need no threshold
+        counts.withColumn("_topn_above", F.coalesce(F.sum("_topn_n").over(above), F.lit(0)))
+        .where(F.col("_topn_above") < n)  # buckets needed to reach n rows
+        .groupBy("_topn_group").agg(F.min("_topn_bucket").alias("_topn_cut"), F.sum("_topn_n").alias("_topn_rows"))
+        .where(F.col("_topn_rows") >= n).select("_topn_group", "_topn_cut")  # smaller groups need no threshold
     )
     bounded, small = _size_checked(cut)
-    survivors = bucketed.join(F.broadcast(bounded) if small else bounded, bucketed[group_col].eqNullSafe(F.col("_g")), "left")
-    survivors = survivors.where(F.col("_cut").isNull() | (F.col("_bucket") >= F.col("_cut"))).drop("_g", "_cut", "_bucket")
+    survivors = bucketed.join(F.broadcast(bounded) if small else bounded, bucketed[group_col].eqNullSafe(F.col("_topn_group")), "left")
+    survivors = survivors.where(F.col("_topn_cut").isNull() | (F.col("_topn_bucket") >= F.col("_topn_cut"))).drop("_topn_group", "_topn_cut", "_topn_bucket")
     order = Window.partitionBy(group_col).orderBy(F.desc(score_col), *[F.asc_nulls_last(t) for t in tie_cols])
     return survivors.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n)
 

@@ -27,17 +27,17 @@ def ag7_percentiles(spark, sf_dir):
 
 
 @query(f"""WITH {_PX}, p AS (SELECT image, quantile_cont(value, 0.98) AS p FROM px GROUP BY image)
-SELECT image, "row", col, CAST(CASE WHEN p > 0 THEN greatest(0, least(255, floor(least(value, p) * 255 / p))) ELSE 0 END AS INTEGER) AS value FROM px JOIN p USING (image)""")
+SELECT image, "row", col, CAST(CASE WHEN p > 0 THEN greatest(0, least(255, floor(round(least(value, p) * 255 / p, 9)))) ELSE 0 END AS INTEGER) AS value FROM px JOIN p USING (image)""")
 def r7_stretch_8bit(spark, sf_dir):
     """8-bit stretch to the 98th percentile."""
     return X.stretch_8bit(_px(spark, sf_dir))
 
 
 @query(f"""WITH {_PX}, p AS (SELECT image, quantile_cont(value, 0.9) AS p FROM px GROUP BY image)
-SELECT image, "row", col, round(greatest(0, least(1, value / p)), 6) AS value FROM px JOIN p USING (image)""")
+SELECT image, "row", col, round(greatest(0, least(1, value / p)), 9) AS value FROM px JOIN p USING (image)""")
 def r12_normalise(spark, sf_dir):
     """Values over a percentile, clipped."""
-    return X.normalise(_px(spark, sf_dir), share=0.9).withColumn("value", R("value"))
+    return X.normalise(_px(spark, sf_dir), share=0.9).withColumn("value", R("value", 9))
 
 
 @query(f"""WITH {_PX} SELECT image, count(*) AS n, sum(value) AS total FROM px WHERE value <> 1000 AND col >= 2 AND col < 6 AND "row" >= 1 AND "row" < 7 GROUP BY image""")

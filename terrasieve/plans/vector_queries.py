@@ -123,12 +123,12 @@ d AS (SELECT id, BuildingId % 2 = 0 AS plane, CASE WHEN BuildingId % 2 = 0 THEN
   sqrt((bx - dx) ** 2 + (by_ - dy) ** 2) AS wings, CASE WHEN BuildingId % 2 = 0 THEN degrees(atan2(ax - cx, ay - cy)) ELSE degrees(atan2(bx - ax, by_ - ay)) END AS deg,
   abs((ax - cx) * (by_ - dy) - (bx - dx) * (ay - cy)) / 2 AS quad FROM l JOIN footprints ON footprint_id = id)
 SELECT id AS footprint_id, round(length, 4) AS length, round(CASE WHEN plane THEN wings ELSE length / 3 END, 4) AS width, round(CASE WHEN plane THEN length / wings ELSE 3 END, 3) AS aspect,
-  round(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END, 3) AS compass, round(CASE WHEN plane THEN quad ELSE length * length / 3 END, 2) AS area FROM d""")
+  round(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END, 3) AS compass, round(CASE WHEN plane THEN quad ELSE length * length / 3 END, 6) AS area FROM d""")
 def a12_line_labels(spark, sf_dir):
     """Aircraft from 4-point and vessels from 2-point lines, drawn from the footprints' first vertices."""
     line = F.slice(F.get(F.get("g", F.lit(0)), F.lit(0)), 1, 4)
     rows = _pix(spark, sf_dir).select("footprint_id", geom.feature_label(line, F.when(F.col("BuildingId") % 2 == 0, "Airplane").otherwise("Boat")).alias("l"))
-    return rows.select("footprint_id", R("l.length", 4).alias("length"), R("l.width", 4).alias("width"), R("l.aspect", 3).alias("aspect"), R("l.compass", 3).alias("compass"), R(geom.area(F.array(F.array("l.ring"))), 2).alias("area"))
+    return rows.select("footprint_id", R("l.length", 4).alias("length"), R("l.width", 4).alias("width"), R("l.aspect", 3).alias("aspect"), R("l.compass", 3).alias("compass"), R(geom.area(F.array(F.array("l.ring"))), 6).alias("area"))
 
 
 _POINTS_SQL = r"""pt AS (SELECT point_id, x - 360 * floor((x + 180) / 360) AS lon, y AS lat FROM (
@@ -296,7 +296,7 @@ def ag3_statistics(spark, sf_dir):
     return d.select("ImageId", F.col("area_count").alias("n"), R("area_sum", 6).alias("area_sum"), *[R(f"area_{s}", 8).alias(f"area_{s}") for s in ("mean", "std", "min", "p25", "p50", "p75", "max")], *[R(f"part_{s}", 8).alias(f"part_{s}") for s in ("mean", "std", "p50")])
 
 
-@query("""WITH a AS (SELECT ImageId, CAST(count(*) AS DOUBLE) AS n FROM chip_features GROUP BY 1), b AS (SELECT ImageId, avg(Confidence) AS f FROM proposals WHERE Confidence >= 0 AND Confidence <= 1 GROUP BY 1),
+@query("""WITH a AS (SELECT ImageId, CAST(count(*) AS DOUBLE) AS n FROM chip_features GROUP BY 1), b AS (SELECT ImageId, avg(Confidence) AS f FROM proposals WHERE Confidence >= 0 AND Confidence <= 1 AND NOT isnan(Confidence) GROUP BY 1),
 j AS (SELECT coalesce(a.ImageId, b.ImageId) AS ImageId, n, f FROM a FULL OUTER JOIN b ON a.ImageId = b.ImageId),
 k AS (SELECT aoi, n, f FROM j, (SELECT unnest(['Solvane', 'Kerrimoor', 'Tashivo']) AS aoi) WHERE contains(ImageId, aoi))
 SELECT aoi, joined, slope, intercept, r2, n FROM (SELECT aoi, count(*) AS joined FROM k GROUP BY aoi) JOIN (SELECT aoi, round(regr_slope(f, n), 6) AS slope, round(regr_intercept(f, n), 4) AS intercept,
