@@ -137,7 +137,7 @@ class Residue:
             if kind not in ("notice", "filler"):
                 continue
             first, last = bisect_right(starts, end - size) - 1, bisect_right(starts, end - 1) - 1
-            span = tokens[first][0], tokens[last][1]
+            span = tokens[first][0] + end - size - starts[first], tokens[last][0] + end - starts[last]
             p, q = self.text.rfind("\n", 0, span[0]) + 1, self.text.find("\n", span[1])
             line = self.text[p : q if q >= 0 else None]
             if _within_quotes(line, span[0] - p, span[1] - p):
