@@ -62,6 +62,12 @@ def utm_proj(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("+proj=utm +zone="), utm_zone(lon).cast("string"), F.when(is_northern(lat) == 1, " +north").otherwise(" +south"), F.lit(" +datum=WGS84 +units=m +no_defs"))
 
 
+def utm_crs(lon: Column, lat: Column) -> Column:
+    """STRUCT<proj, ellps, datum, units, zone, no_defs> of the zone on NAD83 / GRS80, whatever the hemisphere."""
+    f = {"proj": F.lit("utm"), "ellps": F.lit("GRS80"), "datum": F.lit("NAD83"), "units": F.lit("m"), "zone": utm_zone(lon), "no_defs": F.lit(True)}
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(*[v.alias(k) for k, v in f.items()]))
+
+
 def forward_sql(lon: str, lat: str, zone: str) -> dict[str, str]:
     """easting and northing of utm_forward as SQL over the given SQL expressions."""
     lam, phi = f"radians({lon} - ({zone} * 6 - 183))", f"radians({lat})"

@@ -125,6 +125,18 @@ def greedy_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return left.groupBy("image_id").applyInPandas(fold, left.schema)
 
 
+def closest_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(image_id, pid, tid, iou) by the other reading of the rule: each truth's closest proposal, a proposal serving one truth.
+
+    Ties go to the lower pid and tid. A truth whose closest proposal is closer to another truth stays unmatched.
+    """
+    strong = pairs.where(F.col("iou") >= threshold)
+    of_truth = Window.partitionBy("image_id", "tid").orderBy(F.desc("iou"), "pid")
+    of_proposal = Window.partitionBy("image_id", "pid").orderBy(F.desc("iou"), "tid")
+    rows = strong.withColumn("_k", F.row_number().over(of_truth)).where("_k = 1")
+    return rows.withColumn("_k", F.row_number().over(of_proposal)).where("_k = 1").drop("_k")
+
+
 def scored_features(proposals: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(image_id, pid, tid, building_pos, iou, is_match) for every proposal with a polygon.
 

@@ -9,6 +9,7 @@ from terrasieve.functions import crs, geom
 from terrasieve.operators import chips as C
 from terrasieve.operators import labels as L
 from terrasieve.operators import matching as M
+from terrasieve.operators import overlay as O
 from terrasieve.operators import tables as T
 from terrasieve.operators.nearby import positions
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
@@ -357,6 +358,46 @@ def j10_ways(spark, sf_dir):
     return rows.select(F.col("id").alias("way_id"), "kind", F.array_join(F.transform("line", lambda p: F.concat_ws(":", p["node_id"].cast("string"), p["x"].cast("long").cast("string"))), " ").alias("line"))
 
 
+@query("""SELECT p.proposal_id, c.chipName FROM proposals p LEFT JOIN (SELECT imageId, min(chipName) AS chipName FROM chips GROUP BY imageId) c ON p.ImageId = c.imageId""")
+def j8_raster_of_image(spark, sf_dir):
+    """The first raster whose name holds the image's id; the id is cut out of the name, so that the join stays an equi-join."""
+    c = read(spark, sf_dir, "chips").select(F.regexp_extract("chipName", r"(AOI_[0-9]+_[A-Za-z]+_img[0-9]+)", 1).alias("_id"), "chipName")
+    first = c.groupBy("_id").agg(F.min("chipName").alias("chipName"))
+    p = read(spark, sf_dir, "proposals").select("proposal_id", "ImageId")
+    return p.join(first, p["ImageId"] == first["_id"], "left").select("proposal_id", "chipName")
+
+
+@query()
+def l10_object_chips(spark, sf_dir):
+    """Chips of 20 m around objects in folders of their class, with the number of footprints they meet."""
+    p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").join(read(spark, sf_dir, "scene_points").select(F.col("point_id").alias("id"), "label"), "id")
+    o = T.object_centred(p, "lon", "lat", 20.0, "label").select(F.col("id").alias("point_id"), "folder", F.col("box.xmin").alias("left"), F.col("box.ymin").alias("bottom"), F.col("box.xmax").alias("right"), F.col("box.ymax").alias("top"))
+    f = M.polygon_table(read(spark, sf_dir, "footprints"), "footprint_id", "ImageId", "PolygonWKT_Geo").select("id", "xmin", "ymin", "xmax", "ymax")
+    met = C.box_join(o, f, ["left", "bottom", "right", "top"], ["xmin", "ymin", "xmax", "ymax"], 0.001).groupBy("point_id").agg(F.count("*").alias("n"))
+    return o.join(met, "point_id", "left").select("point_id", "folder", R("left").alias("left"), R("top").alias("top"), F.coalesce("n", F.lit(0)).alias("n_features"))
+
+
+@query(f"""WITH {_PIX} SELECT id AS footprint_id, round(area, 6) AS area FROM f_b""")
+def f13_repaired_area(spark, sf_dir):
+    """F13, AG4: area by even-odd decomposition, which equals the plain area for valid polygons."""
+    rows = O.repair(read(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")), "footprint_id", "PolygonWKT_Pix")
+    return rows.select("footprint_id", R("area", 6).alias("area"))
+
+
+@query()
+def ag5_dissolved(spark, sf_dir):
+    """AG4, AG5: the union of each image's footprints, cell by cell, summed up."""
+    rows = O.dissolve(read(spark, sf_dir, "footprints"), "ImageId", "PolygonWKT_Pix", 325.0, ["BuildingId"], "footprint_id")
+    return rows.groupBy("ImageId").agg(R(F.sum("area"), 4).alias("area"), F.count("*").alias("cells"), F.first("BuildingId").alias("BuildingId"))
+
+
+@query()
+def a19_line_buffers(spark, sf_dir):
+    """Buffers of 2 pixels around the footprints' outlines."""
+    rows = O.buffer_lines(_pix(spark, sf_dir).select("footprint_id", F.get(F.get("g", F.lit(0)), F.lit(0)).alias("line")), "footprint_id", "line", 2.0)
+    return rows.select("footprint_id", R("area", 4).alias("area"))
+
+
 def queries() -> dict:
     return query.named
 
