@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.functions import geom
-from terrasieve.operators.matching import clip_area
 from terrasieve.session import cut_lineage
 
 #: Cells that one box is spread over at most; a larger one goes to the coarse level, where cells are COARSE times as wide.
@@ -55,16 +54,16 @@ def ordered_index(df: DataFrame, order: list[Column], name: str, start: int = 0)
 
     Range-partitioned, sorted and frozen; each partition's counted size gives the next one's start.
     """
-    frozen = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    sizes = frozen.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_p", before.alias("_start"))  # one row a partition
-    local = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
-    return frozen.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + local + start).drop("_p", "_m", "_n", "_start")
+    frozen = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_oi_part", F.spark_partition_id()).withColumn("_oi_at", F.monotonically_increasing_id()))
+    sizes = frozen.groupBy("_oi_part").agg(F.count("*").alias("_oi_rows"))
+    before = F.coalesce(F.sum("_oi_rows").over(Window.orderBy("_oi_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_oi_part", before.alias("_oi_start"))  # one row a partition
+    local = F.col("_oi_at") - F.shiftleft(F.col("_oi_part").cast("long"), 33)
+    return frozen.join(F.broadcast(starts), "_oi_part").withColumn(name, F.col("_oi_start") + local + start).drop("_oi_part", "_oi_at", "_oi_rows", "_oi_start")
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: list[str], right_box: list[str], size: float) -> DataFrame:
-    """All pairs of rows whose closed boxes (xmin, ymin, xmax, ymax) meet; columns must differ by name.
+def box_join(left: DataFrame, right: DataFrame, left_box: list[str], right_box: list[str], size: float, on: tuple[str, str] | None = None) -> DataFrame:
+    """All pairs of rows whose closed boxes (xmin, ymin, xmax, ymax) meet and, with on, whose columns equal; columns must differ by name.
 
     Both sides are spread over grid cells of the given size and joined on them; a pair counts in
     the cell of its common lower corner only, so that no pair comes twice and nothing has to be
@@ -86,7 +85,8 @@ def box_join(left: DataFrame, right: DataFrame, left_box: list[str], right_box:
             a, b = parts
             own = (F.col("_lx") == F.floor(F.greatest(left_box[0], right_box[0]) / scale)) & (F.col("_ly") == F.floor(F.greatest(left_box[1], right_box[1]) / scale))
             meet = (F.col(left_box[0]) <= F.col(right_box[2])) & (F.col(right_box[0]) <= F.col(left_box[2])) & (F.col(left_box[1]) <= F.col(right_box[3])) & (F.col(right_box[1]) <= F.col(left_box[3]))
-            pairs = a.join(b, (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")) & own & meet).drop("_lx", "_ly", "_rx", "_ry")
+            same = F.col(on[0]) == F.col(on[1]) if on else F.lit(True)
+            pairs = a.join(b, same & (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")) & own & meet).drop("_lx", "_ly", "_rx", "_ry")
             out = pairs if out is None else out.unionByName(pairs)
     return out
 
@@ -99,6 +99,8 @@ def rectangle_edges(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> C
 
 def clip_features(pairs: DataFrame, edges: str, area: str, box: list[str], least_share: float = 0.0) -> DataFrame:
     """pairs plus partialDec, the share of the feature inside the box, and truncated; shares up to least_share drop out."""
+    from terrasieve.operators.matching import clip_area
+
     shared = clip_area(F.col(edges), rectangle_edges(*map(F.col, box)))
     share = F.coalesce(F.try_divide(F.greatest(shared, F.lit(0.0)), F.col(area)), F.lit(0.0))
     rows = pairs.withColumn("partialDec", share)

@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasieve.operators.chips import box_join, ordered_index
 from terrasieve.operators.nearby import rings_of
 
 #: Digits to which IoU is rounded, so that equal polygons tie whatever the order of summation.
 IOU_DIGITS = 9
+#: Width of a grid cell in pixels; candidate sets up to this size let later pairs be dropped early.
+CELL, MOST_SHARED = 64.0, 32
 
 
 def signed_edges(wkt: str) -> np.ndarray:
@@ -88,12 +91,14 @@ def clip_area(first: Column, second: Column) -> Column:
 def candidates(proposals: DataFrame, truths: DataFrame) -> DataFrame:
     """(image_id, pid, tid, iou) of all pairs of one image whose closed boxes touch; both are polygon_tables.
 
-    One equi-join on the image with the box comparison as a residual; skewed images are split by AQE.
+    Joined on the image and on grid cells, so that an image with very many rows is spread over its
+    cells and its rows aren't all compared with each other.
     """
-    p, t = proposals.where("xmin is not null").alias("p"), truths.where("xmin is not null").alias("t")
-    touch = (F.col("p.xmin") <= F.col("t.xmax")) & (F.col("t.xmin") <= F.col("p.xmax")) & (F.col("p.ymin") <= F.col("t.ymax")) & (F.col("t.ymin") <= F.col("p.ymax"))
-    pairs = p.join(t, (F.col("p.image_id") == F.col("t.image_id")) & touch)
-    inter = pairs.select("p.image_id", F.col("p.id").alias("pid"), F.col("t.id").alias("tid"), (F.col("p.area") + F.col("t.area")).alias("_sum"), clip_area(F.col("p.edges"), F.col("t.edges")).alias("_both"))
+    names = ["area", "xmin", "ymin", "xmax", "ymax", "edges"]
+    p = proposals.select("image_id", F.col("id").alias("pid"), *[F.col(n).alias(f"p_{n}") for n in names])
+    t = truths.select(F.col("image_id").alias("_image"), F.col("id").alias("tid"), *[F.col(n).alias(f"t_{n}") for n in names])
+    pairs = box_join(p, t, [f"p_{n}" for n in names[1:5]], [f"t_{n}" for n in names[1:5]], CELL, ("image_id", "_image"))
+    inter = pairs.select("image_id", "pid", "tid", (F.col("p_area") + F.col("t_area")).alias("_sum"), clip_area(F.col("p_edges"), F.col("t_edges")).alias("_both"))
     iou = F.coalesce(F.try_divide("_both", F.col("_sum") - F.col("_both")), F.lit(0.0))
     return inter.select("image_id", "pid", "tid", F.bround(F.greatest(iou, F.lit(0.0)), IOU_DIGITS).alias("iou"))
 
@@ -101,16 +106,17 @@ def candidates(proposals: DataFrame, truths: DataFrame) -> DataFrame:
 def greedy_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(image_id, pid, tid, iou): proposals in order of pid each take the free truth of highest IoU.
 
-    Only IoU at or above threshold counts; ties go to the lower tid. A truth is certainly taken
-    once a proposal without any other candidate has had its turn, so that later pairs with it are
-    dropped beforehand; what is left for the sequential fold of an image is a few pairs a truth,
-    also in an image that holds a third of all proposals.
+    Only IoU at or above threshold counts; ties go to the lower tid. Once k proposals with the same
+    k candidates have had their turn, all these truths are certainly taken, so that later pairs
+    with them are dropped beforehand; what is left for the sequential fold of an image is a few
+    pairs a truth, also in an image that holds a third of all proposals.
     """
     strong = pairs.where(F.col("iou") >= threshold)
-    by_p, by_t = Window.partitionBy("image_id", "pid"), Window.partitionBy("image_id", "tid")
-    strong = strong.withColumn("_n", F.count("*").over(by_p))
-    strong = strong.withColumn("_last", F.min(F.when(F.col("_n") == 1, F.col("pid"))).over(by_t))
-    left = strong.where(F.col("_last").isNull() | (F.col("pid") <= F.col("_last"))).drop("_n", "_last")
+    sets = strong.groupBy("image_id", "pid").agg(F.array_sort(F.collect_set("tid")).alias("_set"))
+    turn = F.row_number().over(Window.partitionBy("image_id", "_set").orderBy("pid"))
+    spent = sets.withColumn("_turn", turn).where(F.col("_turn") <= MOST_SHARED).where(F.col("_turn") == F.size("_set"))
+    last = spent.select("image_id", F.explode("_set").alias("tid"), "pid").groupBy("image_id", "tid").agg(F.min("pid").alias("_last"))
+    left = strong.join(last, ["image_id", "tid"], "left").where(F.col("_last").isNull() | (F.col("pid") <= F.col("_last"))).select("image_id", "pid", "tid", "iou")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pid", "iou", "tid"], ascending=[True, False, True], kind="stable")
@@ -150,7 +156,8 @@ def scored_features(proposals: DataFrame, truths: DataFrame, threshold: float =
     taken = matches.select("image_id", "tid", F.col("pid").alias("_by"))
     free = pairs.join(taken, ["image_id", "tid"], "left").where(F.col("_by").isNull() | (F.col("_by") >= F.col("pid")))
     best = free.groupBy("image_id", "pid").agg(F.max("iou").alias("_best"))
-    place = truths.where("xmin is not null").select("image_id", F.col("id").alias("tid"), (F.row_number().over(Window.partitionBy("image_id").orderBy("id")) - 1).alias("_pos"))
+    numbered = ordered_index(truths.where("xmin is not null").select("image_id", F.col("id").alias("tid")), [F.col("image_id"), F.col("tid")], "_n")
+    place = numbered.join(numbered.groupBy("image_id").agg(F.min("_n").alias("_first")), "image_id").select("image_id", "tid", (F.col("_n") - F.col("_first")).cast("int").alias("_pos"))
     hit = matches.join(place, ["image_id", "tid"]).select("image_id", "pid", "tid", "_pos", "iou")
     rows = proposals.where("xmin is not null").select("image_id", F.col("id").alias("pid")).join(hit, ["image_id", "pid"], "left").join(best, ["image_id", "pid"], "left")
     return rows.select("image_id", "pid", "tid", F.coalesce("_pos", F.lit(-1)).alias("building_pos"), F.coalesce("iou", "_best", F.lit(0.0)).alias("iou"), F.col("tid").isNotNull().alias("is_match"))

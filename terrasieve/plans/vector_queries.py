@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrasieve.functions import crs, geom
@@ -156,8 +155,8 @@ SELECT point_id, z0 AS zone, round({_UTM_FIRST["easting"]}, 2) AS easting, round
 def a17_frame_to_utm(spark, sf_dir):
     """A frame in the zone of its first feature."""
     p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").where(F.col("lon").between(10, 30))
-    first = p.agg(crs.utm_zone(F.min_by("lon", "id")).alias("zone"))
-    rows = p.join(F.broadcast(first)).select(F.col("id").alias("point_id"), crs.utm_forward(F.col("lon"), F.col("lat"), F.col("zone")).alias("u"))
+    zone = p.agg(crs.utm_zone(F.min_by("lon", "id"))).first()[0]  # one number
+    rows = p.select(F.col("id").alias("point_id"), crs.utm_forward(F.col("lon"), F.col("lat"), F.lit(zone)).alias("u"))
     return rows.select("point_id", "u.zone", R("u.easting", 2).alias("easting"), R("u.northing", 2).alias("northing"))
 
 
@@ -221,7 +220,8 @@ def l9_grid_chips(spark, sf_dir):
     cells = C.grid(area, 0.004, 0.005).select(F.col("aoi").alias("grid_aoi"), "ix", "iy", "cell_left", "cell_bottom", "cell_right", "cell_top")
     met = C.box_join(cells, c.select("aoi", "left", "bottom", "right", "top"), ["cell_left", "cell_bottom", "cell_right", "cell_top"], ["left", "bottom", "right", "top"], 0.004).where("aoi = grid_aoi")
     kept = met.groupBy("aoi", "ix", "iy").agg(F.first("cell_left").alias("l"), F.first("cell_bottom").alias("b"))
-    kept = kept.withColumn("chip_no", F.row_number().over(Window.partitionBy("aoi").orderBy("ix", "iy")))
+    kept = C.ordered_index(kept, [F.col("aoi"), F.col("ix"), F.col("iy")], "_n")
+    kept = kept.join(kept.groupBy("aoi").agg(F.min("_n").alias("_first")), "aoi").withColumn("chip_no", (F.col("_n") - F.col("_first") + 1).cast("int"))
     return kept.select("aoi", "ix", "iy", "chip_no", C.chip_name(F.col("aoi"), F.col("chip_no"), F.col("l"), F.col("b")).alias("name"))
 
 

@@ -73,3 +73,16 @@ def test_match_is_distinct(spark):
     p = spark.range(500).select("id", F.lit("hot").alias("image"), F.lit(box(0, 0, 10, 10)).alias("w"))
     rows = M.greedy_match(M.candidates(M.polygon_table(p, "id", "image", "w"), table(spark, [(7, "hot", box(0, 0, 10, 10)), (9, "hot", box(0, 0, 10, 10))])))
     assert sorted((r.pid, r.tid) for r in rows.collect()) == [(0, 7), (1, 9)]
+
+
+def test_repeated_truths_leave_little_to_the_fold(spark):
+    """Every proposal fits all of three equal truths: after three turns they are taken, and no later pair is kept."""
+    p = spark.range(3000).select("id", F.lit("hot").alias("image"), F.lit(box(0, 0, 10, 10)).alias("w"))
+    t = table(spark, [(k, "hot", box(0, 0, 10, 10)) for k in (5, 6, 7)])
+    rows = M.greedy_match(M.candidates(M.polygon_table(p, "id", "image", "w"), t)).collect()
+    assert sorted((r.pid, r.tid) for r in rows) == [(0, 5), (1, 6), (2, 7)]
+
+
+def test_the_other_reading(spark):
+    pairs = spark.createDataFrame([("a", 1, 10, 0.6), ("a", 2, 10, 0.9), ("a", 2, 11, 0.7), ("a", 3, 11, 0.6), ("a", 4, 12, 0.4)], "image_id string, pid long, tid long, iou double")
+    assert sorted((r.pid, r.tid) for r in M.closest_match(pairs).collect()) == [(2, 10)]
