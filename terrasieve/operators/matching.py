@@ -18,23 +18,40 @@ IOU_DIGITS = 9
 CELL, MOST_SHARED = 64.0, 32
 
 
-def signed_edges(wkt: str) -> np.ndarray:
-    """Rows x1, y1, x2, y2, sign of the non-vertical edges, left to right.
+def edge_lists(wkts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x1, y1, x2, y2, sign of all polygons' non-vertical edges, left to right, and each polygon's number of rows.
 
     sign: +1 for edges with the interior below, -1 with it above, so that sums of sign times the
     integral under the edges are areas; holes count against their exterior.
     """
-    out = []
-    for rings in rings_of(wkt):
-        for k, p in enumerate(rings):
-            q = np.roll(p, -1, axis=0)
-            turn = np.sign(np.sum((p[:, 0] - p[0, 0]) * (q[:, 1] - p[0, 1]) - (q[:, 0] - p[0, 0]) * (p[:, 1] - p[0, 1])))
-            sign = np.where(q[:, 0] < p[:, 0], 1.0, -1.0) * (turn if k == 0 else -turn)
-            swap = q[:, 0] < p[:, 0]
-            a, b = np.where(swap[:, None], q, p), np.where(swap[:, None], p, q)
-            keep = a[:, 0] < b[:, 0]
-            out.append(np.column_stack([a, b, sign])[keep])
-    return np.concatenate(out) if out else np.empty((0, 5))
+    rings, owner, hole = [], [], []
+    n = 0
+    for wkt in wkts:
+        for part in rings_of(wkt or ""):
+            rings += part
+            owner += [n] * len(part)
+            hole += [False, *[True] * (len(part) - 1)]
+        n += 1
+    if not rings:
+        return np.empty((0, 5)), np.zeros(n, dtype=np.int64)
+    size = np.array([len(r) for r in rings])
+    start = np.cumsum(size) - size
+    p, ring = np.concatenate(rings), np.repeat(np.arange(len(rings)), size)
+    follow = np.arange(1, len(p) + 1)
+    follow[start + size - 1] = start
+    q, origin = p[follow], p[start][ring]
+    u, v = p - origin, q - origin
+    turn = np.sign(np.add.reduceat(u[:, 0] * v[:, 1] - v[:, 0] * u[:, 1], start)) * np.where(hole, -1.0, 1.0)
+    back = q[:, 0] < p[:, 0]
+    a, b = np.where(back[:, None], q, p), np.where(back[:, None], p, q)
+    keep = a[:, 0] < b[:, 0]
+    sign = np.where(back, 1.0, -1.0) * turn[ring]
+    return np.column_stack([a, b, sign])[keep], np.bincount(np.array(owner)[ring[keep]], minlength=n)
+
+
+def signed_edges(wkt: str) -> np.ndarray:
+    """edge_lists of one polygon."""
+    return edge_lists([wkt])[0]
 
 
 def polygon_table(df: DataFrame, id_col: str, image_col: str, wkt_col: str) -> DataFrame:
@@ -42,15 +59,17 @@ def polygon_table(df: DataFrame, id_col: str, image_col: str, wkt_col: str) -> D
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, image, wkt in zip(batch["id"], batch["image_id"], batch["wkt"]):
-                e = signed_edges(wkt or "")
-                if len(e):
-                    area = float(np.sum(e[:, 4] * (e[:, 2] - e[:, 0]) * (e[:, 1] + e[:, 3]) / 2))
-                    rows.append((key, image, area, e[:, 0].min(), e[:, [1, 3]].min(), e[:, 2].max(), e[:, [1, 3]].max(), e.ravel()))
-                else:
-                    rows.append((key, image, 0.0, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "image_id", "area", "xmin", "ymin", "xmax", "ymax", "edges"])
+            e, n = edge_lists(batch["wkt"])
+            some, at = n > 0, np.cumsum(n) - n
+            columns = {"area": np.zeros(len(n)), **{c: np.full(len(n), np.nan) for c in ("xmin", "ymin", "xmax", "ymax")}}
+            if some.any():
+                over = lambda f, values: f.reduceat(values, at[some])
+                columns["area"][some] = over(np.add, e[:, 4] * (e[:, 2] - e[:, 0]) * (e[:, 1] + e[:, 3]) / 2)
+                columns["xmin"][some], columns["xmax"][some] = over(np.minimum, e[:, 0]), over(np.maximum, e[:, 2])
+                columns["ymin"][some], columns["ymax"][some] = over(np.minimum, np.minimum(e[:, 1], e[:, 3])), over(np.maximum, np.maximum(e[:, 1], e[:, 3]))
+            edges = [None if not k else e[i : i + k].ravel() for i, k in zip(at, n)]
+            out = pd.DataFrame({"id": batch["id"], "image_id": batch["image_id"], **columns, "edges": pd.Series(edges, index=batch.index, dtype=object)})
+            yield out.astype({c: "Float64" for c in ("xmin", "ymin", "xmax", "ymax")})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(image_col).alias("image_id"), F.col(wkt_col).alias("wkt"))
     return rows.mapInPandas(run, "id long, image_id string, area double, xmin double, ymin double, xmax double, ymax double, edges array<double>")
