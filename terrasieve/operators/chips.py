@@ -70,25 +70,26 @@ def box_join(left: DataFrame, right: DataFrame, left_box: list[str], right_box:
     made distinct. Large boxes use cells COARSE times as wide; the other side is then spread over
     these too. Hot cells are split by AQE. Rows with a null box take no part.
     """
-    out = None
-    for level in (0, 1):
-        scale = size * (COARSE if level else 1)
-        for l_large, r_large in ([(0, 0)] if level == 0 else [(0, 1), (1, 0), (1, 1)]):
-            parts = []
-            for df, box, large in ((left, left_box, l_large), (right, right_box, r_large)):
-                df = df.where(F.col(box[0]).isNotNull())
-                ix = lambda c, s: F.floor(F.col(c) / s).cast("long")
-                many = (ix(box[2], size) - ix(box[0], size) + 1) * (ix(box[3], size) - ix(box[1], size) + 1) > MOST_CELLS
-                df = df.where(many if large else ~many)
-                side = "l" if box is left_box else "r"
-                parts.append(df.withColumn(f"_{side}x", F.explode(F.sequence(ix(box[0], scale), ix(box[2], scale)))).withColumn(f"_{side}y", F.explode(F.sequence(ix(box[1], scale), ix(box[3], scale)))))
-            a, b = parts
-            own = (F.col("_lx") == F.floor(F.greatest(left_box[0], right_box[0]) / scale)) & (F.col("_ly") == F.floor(F.greatest(left_box[1], right_box[1]) / scale))
-            meet = (F.col(left_box[0]) <= F.col(right_box[2])) & (F.col(right_box[0]) <= F.col(left_box[2])) & (F.col(left_box[1]) <= F.col(right_box[3])) & (F.col(right_box[1]) <= F.col(left_box[3]))
-            same = F.col(on[0]) == F.col(on[1]) if on else F.lit(True)
-            pairs = a.join(b, same & (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")) & own & meet).drop("_lx", "_ly", "_rx", "_ry")
-            out = pairs if out is None else out.unionByName(pairs)
-    return out
+    def spread(df: DataFrame, box: list[str], side: str, kinds: dict[str, list[int]]) -> DataFrame:
+        cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
+        many = (cell(box[2], size) - cell(box[0], size) + 1) * (cell(box[3], size) - cell(box[1], size) + 1) > MOST_CELLS
+
+        def cells(kind: int) -> Column:
+            s = size if kind == 0 else size * COARSE
+            ys = F.sequence(cell(box[1], s), cell(box[3], s))
+            return F.flatten(F.transform(F.sequence(cell(box[0], s), cell(box[2], s)), lambda x: F.transform(ys, lambda y: F.struct(F.lit(kind).alias("k"), x.alias("x"), y.alias("y")))))
+
+        every = F.when(many, F.concat(*map(cells, kinds["large"]))).otherwise(F.concat(*map(cells, kinds["small"])))
+        return df.where(F.col(box[0]).isNotNull()).withColumn(f"_{side}", F.explode(every))
+
+    # kinds of pairs: 0 small with small on fine cells; 1 small with large, 2 large with small, 3 large with large on coarse ones
+    a = spread(left, left_box, "l", {"small": [0, 1], "large": [2, 3]})
+    b = spread(right, right_box, "r", {"small": [0, 2], "large": [1, 3]})
+    scale = F.when(F.col("_l.k") == 0, size).otherwise(size * COARSE)
+    own = (F.col("_l.x") == F.floor(F.greatest(left_box[0], right_box[0]) / scale)) & (F.col("_l.y") == F.floor(F.greatest(left_box[1], right_box[1]) / scale))
+    meet = (F.col(left_box[0]) <= F.col(right_box[2])) & (F.col(right_box[0]) <= F.col(left_box[2])) & (F.col(left_box[1]) <= F.col(right_box[3])) & (F.col(right_box[1]) <= F.col(left_box[3]))
+    same = F.col(on[0]) == F.col(on[1]) if on else F.lit(True)
+    return a.join(b, same & (F.col("_l") == F.col("_r")) & own & meet).drop("_l", "_r")
 
 
 def rectangle_edges(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
