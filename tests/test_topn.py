@@ -46,6 +46,6 @@ def test_ties_empty_filter_and_clashes(spark):
 
 
 def test_rows_are_cut_before_the_shuffle(spark):
-    df = spark.range(20000).selectExpr("'hot' as g", "id / 20000.0d as s", "1 as b", "id")
+    df = spark.range(20000).selectExpr("if(id % 3 = 0, 'a', 'hot') as g", "id / 20000.0d as s", "1 as b", "id")
     plan = top_n(df, "g", "s", ["b", "id"], 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "_topn_bucket" in plan
