@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrasieve.functions import geom
 from terrasieve.operators import raster as X
 from terrasieve.plans.registry import Registry, vertices_sql
-from terrasieve.session import read
+from terrasieve.session import read, read_spread
 
 query = Registry()
 R = lambda c, n=6: F.round(c, n)
@@ -64,7 +64,7 @@ hit AS (SELECT cells.id, cells.image, r, c FROM cells JOIN f_s s ON s.id = cells
 SELECT image, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, arg_max(BuildingId, id) AS value FROM hit JOIN footprints ON footprint_id = id GROUP BY image, r, c""")
 def r4_rasterize(spark, sf_dir):
     """Footprints burnt into 65 x 65 pixels of 10, later features over earlier ones."""
-    f = read(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")).select("ImageId", "footprint_id", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
+    f = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")).select("ImageId", "footprint_id", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
     return X.rasterize(f, "ImageId", "g", "footprint_id", F.col("BuildingId"), 65, 65, 10.0)
 
 
@@ -88,7 +88,7 @@ d AS (SELECT a.image, a.r, a.c, coalesce(min(CASE WHEN b.inside <> a.inside THEN
 
 
 def _distance(spark, sf_dir):
-    return X.pixels(X.signed_distance_tiles(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8), "vec_id", "distance", 8)
+    return X.pixels(X.signed_distance_tiles(read_spread(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8), "vec_id", "distance", 8)
 
 
 @query(f'WITH {_DIST} SELECT image, r AS "row", c AS col, round(v, 6) AS value FROM d')

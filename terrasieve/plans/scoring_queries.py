@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrasieve.operators import matching as M
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
-from terrasieve.session import cut_lineage, read
+from terrasieve.session import cut_lineage, read_spread
 
 query = Registry()
 
@@ -47,8 +47,8 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """polygon_tables of the proposals (placeholders with null box) and of the true footprints."""
     real = ~F.col("BuildingId").eqNullSafe(-1)
     shape = F.when(real, F.col("PolygonWKT_Pix")).alias("wkt")
-    p = M.polygon_table(read(spark, sf_dir, "proposals").select("proposal_id", "ImageId", shape), "proposal_id", "ImageId", "wkt")
-    t = M.polygon_table(read(spark, sf_dir, "footprints").where(real), "footprint_id", "ImageId", "PolygonWKT_Pix")
+    p = M.polygon_table(read_spread(spark, sf_dir, "proposals").select("proposal_id", "ImageId", shape), "proposal_id", "ImageId", "wkt")
+    t = M.polygon_table(read_spread(spark, sf_dir, "footprints").where(real), "footprint_id", "ImageId", "PolygonWKT_Pix")
     return p, t.where(F.col("area") > LEAST_AREA)
 
 

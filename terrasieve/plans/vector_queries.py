@@ -12,7 +12,7 @@ from terrasieve.operators import overlay as O
 from terrasieve.operators import tables as T
 from terrasieve.operators.nearby import positions
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
-from terrasieve.session import read
+from terrasieve.session import read, read_spread
 from terrasieve.sources import geojson as G
 
 query = Registry()
@@ -23,7 +23,7 @@ _GEO = vertices_sql("f", "footprints", "footprint_id", "ImageId", "PolygonWKT_Ge
 
 def _pix(spark, sf_dir):
     """footprints with a pixel polygon, parsed."""
-    rows = read(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("(("))
+    rows = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("(("))
     return rows.select("footprint_id", "ImageId", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
 
 
@@ -178,7 +178,7 @@ res AS (SELECT imageId, pid AS footprint_id, shared / area AS partialDec FROM ne
 SELECT imageId, footprint_id, round(partialDec, 4) AS partialDec FROM res WHERE partialDec > 1e-4""")
 def l7_clip_to_chips(spark, sf_dir):
     """All features against all chips through the grid join, with the share inside."""
-    geo = read(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Geo").contains("(("))
+    geo = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Geo").contains("(("))
     f = M.polygon_table(geo, "footprint_id", "ImageId", "PolygonWKT_Geo").select(F.col("id").alias("footprint_id"), "area", "xmin", "ymin", "xmax", "ymax", "edges")
     c = C.extent(read(spark, sf_dir, "chips")).select("imageId", "left", "bottom", "right", "top")
     pairs = C.box_join(f, c, ["xmin", "ymin", "xmax", "ymax"], ["left", "bottom", "right", "top"], 0.002)
@@ -372,7 +372,7 @@ def l10_object_chips(spark, sf_dir):
     """Chips of 20 m around objects in folders of their class, with the number of footprints they meet."""
     p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").join(read(spark, sf_dir, "scene_points").select(F.col("point_id").alias("id"), "label"), "id")
     o = T.object_centred(p, "lon", "lat", 20.0, "label").select(F.col("id").alias("point_id"), "folder", F.col("box.xmin").alias("left"), F.col("box.ymin").alias("bottom"), F.col("box.xmax").alias("right"), F.col("box.ymax").alias("top"))
-    f = M.polygon_table(read(spark, sf_dir, "footprints"), "footprint_id", "ImageId", "PolygonWKT_Geo").select("id", "xmin", "ymin", "xmax", "ymax")
+    f = M.polygon_table(read_spread(spark, sf_dir, "footprints"), "footprint_id", "ImageId", "PolygonWKT_Geo").select("id", "xmin", "ymin", "xmax", "ymax")
     met = C.box_join(o, f, ["left", "bottom", "right", "top"], ["xmin", "ymin", "xmax", "ymax"], 0.001).groupBy("point_id").agg(F.count("*").alias("n"))
     return o.join(met, "point_id", "left").select("point_id", "folder", R("left").alias("left"), R("top").alias("top"), F.coalesce("n", F.lit(0)).alias("n_features"))
 
@@ -380,14 +380,14 @@ def l10_object_chips(spark, sf_dir):
 @query(f"""WITH {_PIX} SELECT id AS footprint_id, round(area, 6) AS area FROM f_b""")
 def f13_repaired_area(spark, sf_dir):
     """F13, AG4: area by even-odd decomposition, which equals the plain area for valid polygons."""
-    rows = O.repair(read(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")), "footprint_id", "PolygonWKT_Pix")
+    rows = O.repair(read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")), "footprint_id", "PolygonWKT_Pix")
     return rows.select("footprint_id", R("area", 6).alias("area"))
 
 
 @query()
 def ag5_dissolved(spark, sf_dir):
     """AG4, AG5: the union of each image's footprints, cell by cell, summed up."""
-    rows = O.dissolve(read(spark, sf_dir, "footprints"), "ImageId", "PolygonWKT_Pix", 325.0, ["BuildingId"], "footprint_id")
+    rows = O.dissolve(read_spread(spark, sf_dir, "footprints"), "ImageId", "PolygonWKT_Pix", 325.0, ["BuildingId"], "footprint_id")
     return rows.groupBy("ImageId").agg(R(F.sum("area"), 4).alias("area"), F.count("*").alias("cells"), F.first("BuildingId").alias("BuildingId"))
 
 

@@ -76,3 +76,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """read, spread over all cores where the files give fewer partitions than that; large tables are never shuffled by it.
+
+    For work in Python on inputs of a few files, which would else run in one task.
+    """
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
