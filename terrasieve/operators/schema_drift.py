@@ -6,6 +6,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,7 @@ def _grams(name: str) -> set[str]:
     return {text[i : i + 2] for i in range(len(text) - 1)}
 
 
+@lru_cache(maxsize=1 << 16)
 def name_similarity(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -107,7 +109,7 @@ def flood(fields: list[tuple[str, str]], targets: list[Target], rounds: int = 10
     names_b = sorted({s for t in targets for s in t[2]})
     types_a, types_b = sorted({t for _, t in fields}), sorted({t[1] for t in targets})
     nf, nt = len(fields), len(targets)
-    root, pair = 0, lambda i, j: 1 + i * nt + j
+    pair = lambda i, j: 1 + i * nt + j  # the pair of roots is node 0
     name_at = 1 + nf * nt
     name = lambda i, j: name_at + i * len(names_b) + j
     type_at = name_at + nf * len(names_b)
@@ -120,29 +122,21 @@ def flood(fields: list[tuple[str, str]], targets: list[Target], rounds: int = 10
     for i, a in enumerate(types_a):
         for j, b in enumerate(types_b):
             start[kind(i, j)] = 0.3 * type_similarity(a, b)
-    src, dst, lab = [], [], []
-
-    def edge(a: int, b: int, label: str) -> None:
-        for x, y, way in ((a, b, ">"), (b, a, "<")):
-            src.append(x), dst.append(y), lab.append(label + way)
-
+    # edges of the propagation graph by label, as arrays of node numbers
+    pairs = 1 + np.arange(nf * nt).reshape(nf, nt)
+    which = [(j, index_b[x]) for j, t in enumerate(targets) for x in t[2]]
+    js, bs = np.array([j for j, _ in which], dtype=np.int64), np.array([b for _, b in which], dtype=np.int64)
+    names = name_at + np.arange(nf)[:, None] * len(names_b) + bs[None, :]
+    kinds = type_at + np.array([index_ta[t] for _, t in fields])[:, None] * len(types_b) + np.array([index_tb[t[1]] for t in targets])[None, :]
+    edges = [(np.zeros(nf * nt, dtype=np.int64), pairs.ravel()), (pairs[:, js].ravel(), names.ravel()), (pairs.ravel(), kinds.ravel())]
     where = {f: i for i, (f, _) in enumerate(fields)}
     at_target = {t[0]: j for j, t in enumerate(targets)}
-    for i, (f, ftype) in enumerate(fields):
-        parent = where.get(f.rpartition(".")[0])
-        for j, (canonical, ttype, spellings) in enumerate(targets):
-            edge(root, pair(i, j), "field")
-            for s in spellings:
-                edge(pair(i, j), name(i, index_b[s]), "name")
-            edge(pair(i, j), kind(index_ta[ftype], index_tb[ttype]), "type")
-            above = at_target.get(canonical.rpartition(".")[0])
-            if parent is not None and above is not None:
-                edge(pair(parent, above), pair(i, j), "child")
-    src, dst = np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
-    degree: dict[tuple, int] = defaultdict(int)
-    for s, way in zip(src, lab):
-        degree[s, way] += 1
-    weight = np.array([1.0 / degree[s, way] for s, way in zip(src, lab)])
+    nested = [(pair(where[f.rpartition(".")[0]], at_target[c.rpartition(".")[0]]), pair(i, j)) for i, (f, _) in enumerate(fields) if f.rpartition(".")[0] in where for j, (c, _, _) in enumerate(targets) if c.rpartition(".")[0] in at_target]
+    if nested:
+        edges.append(tuple(np.array(nested, dtype=np.int64).T))
+    both = [way for a, b in edges for way in ((a, b), (b, a))]
+    src, dst = (np.concatenate([way[k] for way in both]) for k in (0, 1))
+    weight = np.concatenate([1.0 / np.bincount(a, minlength=len(start))[a] for a, _ in both])
     score = start / max(start.max(initial=0), 1e-12)
     first = score
     for _ in range(rounds):
