@@ -209,7 +209,9 @@ def with_canonical_names(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
     text = F.to_json(F.transform(pairs, lambda x: F.array(x["field_name"], x["type_rank"].cast("string"))))
     schemas = named.groupBy("feed", "delivery_no").agg(text.alias("_t"))
     schemas = schemas.withColumn("signature", F.regexp_replace("_t", r',"(\d+)"\]', r",$1]")).drop("_t")
-    matched = schemas.select("signature").distinct().mapInPandas(match, "signature string, field_name string, canonical_name string")
+    # few bytes but much work: a fixed number of partitions, which adaptive execution doesn't merge
+    parts = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matched = schemas.select("signature").distinct().repartition(parts, "signature").mapInPandas(match, "signature string, field_name string, canonical_name string")
     placed = schemas.join(matched, "signature").select("feed", "delivery_no", "field_name", "canonical_name")
     left, right = profiled.alias("l"), placed.alias("r")
     same = F.col("l.feed").eqNullSafe(F.col("r.feed")) & (F.col("l.delivery_no") == F.col("r.delivery_no")) & (F.col("l.field_name") == F.col("r.field_name"))
