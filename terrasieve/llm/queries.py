@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+from terrasieve.session import read as _read
+from terrasieve.session import read_spread as _read_spread
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.llm.packing import pack_texts
 
-    return pack_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", 2048)
+    return pack_texts(_read_spread(spark, sf_dir, "documents"), "doc_id", "text", 2048)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.llm.leakage import find_leaks
 
-    runs = find_leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "eval_items"), "item_id", "text", 15)
+    runs = find_leaks(_read_spread(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "eval_items"), "item_id", "text", 15)
     return runs.select("item_id", "doc_id").distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.llm.residue import find_residue
 
-    return find_residue(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+    return find_residue(_read_spread(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
 P8_SQL = r"""
