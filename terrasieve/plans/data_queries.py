@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasieve.session import cut_lineage, read
+from terrasieve.session import cut_lineage, read, read_spread
 
 
 #: Metres within which positions count as near.
@@ -15,8 +15,8 @@ NEAR_M = 10.0
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.operators.nearby import fit_splits, inside_pairs, near_pairs, positions, regions
 
-    points = cut_lineage(positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry"))  # read several times
-    areas = cut_lineage(regions(read(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips")))
+    points = cut_lineage(positions(read_spread(spark, sf_dir, "scene_points"), "point_id", "geometry"))  # read several times
+    areas = cut_lineage(regions(read_spread(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips")))
     splits = fit_splits(points, NEAR_M)
     near = near_pairs(points, NEAR_M, splits).select(F.lit("near").alias("relation"), "point_id", "other_id")
     inside = inside_pairs(points, areas, splits).select(F.lit("inside").alias("relation"), "point_id", "other_id")
@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.functions.timestamps import normalise_timestamps
 
-    out = normalise_timestamps(read(spark, sf_dir, "chip_features"), "feature_id", ["ingest_tim", "edit_date"], "provider", read(spark, sf_dir, "providers"))
+    out = normalise_timestamps(read_spread(spark, sf_dir, "chip_features"), "feature_id", ["ingest_tim", "edit_date"], "provider", read(spark, sf_dir, "providers"))
     return out.where(F.col("instant_us").isNotNull()).select("feature_id", "field_name", "instant_us")
 
 
@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.sources.summary_csv import load_lines
 
-    lines = load_lines(read(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
+    lines = load_lines(read_spread(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
     return lines.where(F.col("reason").isNotNull()).select("line_id", "reason")
 
 
@@ -49,7 +49,7 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid lines' typed records."""
     from terrasieve.sources.summary_csv import load_lines
 
-    lines = load_lines(read(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
+    lines = load_lines(read_spread(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
     columns = [F.col("geometries")[g].alias(g) for g in ("PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT")]
     return lines.where(F.col("reason").isNull()).select("line_id", F.col("image_id").alias("ImageId"), F.col("building_id").alias("BuildingId"), *columns, F.col("confidence").alias("Confidence"))
 
@@ -64,7 +64,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.operators.schema_drift import changes, profile, with_canonical_names
 
-    seen = with_canonical_names(profile(read(spark, sf_dir, "feed_rows"), "feed", "delivery_no", "body"), read(spark, sf_dir, "field_catalog"))
+    seen = with_canonical_names(profile(read_spread(spark, sf_dir, "feed_rows"), "feed", "delivery_no", "body"), read(spark, sf_dir, "field_catalog"))
     return changes(seen).select("feed", "delivery_no", "field_name", "change")
 
 
@@ -72,7 +72,7 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows in canonical names and types; values that don't fit their type are kept in unfit."""
     from terrasieve.operators.schema_drift import profile, unify, with_canonical_names
 
-    rows, catalog = read(spark, sf_dir, "feed_rows"), read(spark, sf_dir, "field_catalog")
+    rows, catalog = read_spread(spark, sf_dir, "feed_rows"), read(spark, sf_dir, "field_catalog")
     return unify(rows, ["row_id", "feed", "delivery_no"], "body", with_canonical_names(profile(rows, "feed", "delivery_no", "body"), catalog), catalog)
 
 
