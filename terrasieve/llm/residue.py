@@ -28,6 +28,11 @@ NOTICES = [
     "aktivieren sie javascript", "bitte aktivieren sie javascript", "veuillez activer javascript", "please enable javascript", "please enable scripts", "bitte aktivieren sie cookies", "veuillez activer les cookies", "javascript aktivieren", "javascript est désactivé", "does not support scripts", "enable scripts", "scripts are disabled",
     "blocked because cookies are disabled", "cookies are disabled", "enable cookies", "turn on cookies", "activer les cookies", "cookies aktivieren", "does not support javascript",
 ]
+#: How a notice speaks to its reader or of itself; behind such a head, at the start of its sentence, a wording of a notice counts whatever its share of the sentence.
+HEAD = re.compile(
+    r"(?i)(?:(?:we(?:'|’)?re sorry|sorry|oops|désolé|entschuldigung|leider|error|warning|hinweis|attention)\b[\s,!:–-]*(?:but |mais |aber )?)?"
+    r"(?:your|this|ihr|ihre|dieser?|dieses|votre|cet?|cette)\s+(?:current |web ?)?(?:browser|page|site|website|content|document|app|application|portal|service|seite|inhalt|dokument|anwendung|navigateur|contenu)\b(?:\s+\S+){0,3}\s*"
+)
 # Wording of filler, likewise.
 FILLERS = [
     "body copy goes here", "your content goes here", "your text here", "text goes here", "content goes here", "replace before publication", "test paragraph, please ignore", "please ignore",
@@ -122,7 +127,7 @@ class Residue:
                     self.found.append((kind, *m.span()))
 
     def _wordings(self, hits, least_cover: float) -> None:
-        """Wordings that fill most of their sentence or, if long, begin it; quoted ones are evidence, not residue."""
+        """Wordings that fill most of their sentence, begin it if long, or follow a notice's HEAD; quoted ones are evidence, not residue."""
         tokens = [m.span() for m in re.finditer(r"\S+", self.text)]
         starts, at = [], 0
         breaks = [0]  # tokens that begin a sentence or line
@@ -153,7 +158,8 @@ class Residue:
                 covered |= set(range(a, b + 1))
             size = lambda ks: sum(tokens[k][1] - tokens[k][0] for k in ks)
             begins = any(a == s and span[1] - span[0] >= 20 for _, a, _, span in parts)
-            if begins or size(covered) >= least_cover * size(range(s, e)):
+            told = any(kind == "notice" and HEAD.fullmatch(self.text, tokens[s][0], span[0]) for kind, _, _, span in parts)
+            if begins or told or size(covered) >= least_cover * size(range(s, e)):
                 self.found += [(kind, *span) for kind, _, _, span in parts]
 
     def _latin(self, least_cover: float, least_words: int) -> None:
@@ -170,7 +176,7 @@ def find_residue(df: DataFrame, id_col: str, text_col: str, least_cover: float =
     One automaton over all wordings and openers passes each whole text once; only texts with hits
     are looked at more closely. Placeholders, blanks and printed missing values count where they
     fill a slot. Notices and filler count where they cover least_cover of their sentence or line,
-    or begin it; measuring against the slot and not the whole text also finds texts that hold
+    or begin it, notices also where their sentence begins with HEAD ("Your browser ..."); measuring against the slot and not the whole text also finds texts that hold
     residue only in part. Wording between quotation marks is evidence and doesn't count, nor do
     redaction marks and editorial brackets. covered is the share of the text that is residue.
     Null and empty texts have none; repeated texts come out repeatedly; map-only.

@@ -37,3 +37,23 @@ def test_operator(spark):
     assert find_residue(df.limit(0), "doc_id", "text").count() == 0
     whole = find_residue(spark.createDataFrame([(1, "404 Not Found")], "doc_id long, text string"), "doc_id", "text").first()
     assert whole.covered == 1.0 and whole.kinds == "notice"
+
+
+TOLD = [
+    "Your browser does not support scripts, so this document cannot be shown.", "2. Your browser does not support scripts, so this document cannot be shown.\nOrder: the appeal is dismissed.",
+    "Startseite > Entscheidungen\nYour browser does not support scripts, so this document cannot be shown.", "Sorry, but this page requires JavaScript before any of the decisions of the court can be displayed.",
+]
+NOT_TOLD = [
+    "The witness said that his browser does not support scripts, so that the document could not be served on him.", "The portal requires JavaScript, a fact which L. raised only on appeal before this court.",
+    'The screen read "Your browser does not support scripts, so this document cannot be shown." throughout.', "This site was under construction when the claimant bought the parcel from the former owner.",
+]
+
+
+@pytest.mark.parametrize("text", TOLD)
+def test_notice_of_which_the_wording_is_the_smaller_part(text):
+    assert {k for k, _, _ in Residue(text).found} == {"notice"}
+
+
+@pytest.mark.parametrize("text", NOT_TOLD)
+def test_report_of_a_notice(text):
+    assert not Residue(text).found
