@@ -23,6 +23,20 @@ def extent(chips: DataFrame) -> DataFrame:
     return chips.withColumns({"left": x(zero, zero), "top": y(zero, zero), "right": x(c("width"), c("height")), "bottom": y(c("width"), c("height"))})
 
 
+def unwrapped(chips: DataFrame, group: str, order: str) -> DataFrame:
+    """Chips of extent with left and right moved by whole turns, so that no group jumps at 180 degrees.
+
+    Each chip goes to the turn nearest to its group's first chip by order; the group's least left
+    then lies in -180 up to 180. Groups that don't reach 180 degrees keep their values.
+    """
+    turn = F.round((F.col("_uw_at") - F.col("left")) / 360)
+    near = chips.join(chips.groupBy(F.col(group).alias("_uw")).agg(F.min_by("left", F.when(F.col("left").isNotNull(), F.col(order))).alias("_uw_at")), F.col(group).eqNullSafe(F.col("_uw"))).withColumn("_uw_turn", turn)
+    least = near.groupBy(F.col(group).alias("_uw_g")).agg(F.floor((F.min(F.col("left") + 360 * F.col("_uw_turn")) + 180) / 360).alias("_uw_base"))
+    move = 360 * (F.col("_uw_turn") - F.col("_uw_base"))
+    rows = near.join(least, F.col(group).eqNullSafe(F.col("_uw_g")))
+    return rows.withColumns({"left": F.col("left") + move, "right": F.col("right") + move}).drop("_uw", "_uw_at", "_uw_turn", "_uw_g", "_uw_base")
+
+
 def sliding_windows(df: DataFrame, width: str, height: str, stride: int, size: int, clamp: bool) -> DataFrame:
     """df with one row a window (x0, y0, x1, y1), row-major; clamp moves windows back inside and keeps repeats.
 

@@ -214,8 +214,12 @@ k AS (SELECT DISTINCT aoi, ix, iy FROM g JOIN chips USING (aoi) WHERE tr_c > -17
 SELECT aoi, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(row_number() OVER (PARTITION BY aoi ORDER BY ix, iy) AS INTEGER) AS chip_no,
   aoi || '_img' || row_number() OVER (PARTITION BY aoi ORDER BY ix, iy) || '.tif' AS name FROM k""")
 def l9_grid_chips(spark, sf_dir):
-    """Each area's grid; cells that meet an outline are numbered x-major and named."""
-    c = C.extent(read(spark, sf_dir, "chips").where(F.col("tr_c") > -179))
+    """Each area's grid; cells that meet an outline are numbered x-major and named.
+
+    Areas that lie across 180 degrees are one grid. The SQL leaves out chips west of -179 degrees and
+    so has less of these areas.
+    """
+    c = C.unwrapped(C.extent(read(spark, sf_dir, "chips")), "aoi", "imageId")
     area = c.groupBy("aoi").agg(F.min("left").alias("xmin"), F.min("bottom").alias("ymin"), F.max("right").alias("xmax"), F.max("top").alias("ymax"))
     cells = C.grid(area, 0.004, 0.005).select(F.col("aoi").alias("grid_aoi"), "ix", "iy", "cell_left", "cell_bottom", "cell_right", "cell_top")
     met = C.box_join(cells, c.select("aoi", "left", "bottom", "right", "top"), ["cell_left", "cell_bottom", "cell_right", "cell_top"], ["left", "bottom", "right", "top"], 0.004).where("aoi = grid_aoi")

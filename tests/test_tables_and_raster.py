@@ -105,3 +105,18 @@ def test_summaries(spark, tmp_path):
     assert sorted(r.WKT_Pix for r in L.road_rows(chips, lines).collect()) == ["LINESTRING (0.00 1.00, 2.00 3.00)", "LineString EMPTY"]
     L.write_summary(chips, foot, str(tmp_path / "s"))
     assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 2
+
+
+def test_grid_across_180_degrees(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    got = {}
+    for name, origin in (("across", 179.994), ("beside", 79.994)):
+        lefts = [origin + k * 0.0035 for k in range(5)]
+        rows = [(f"i{k}", "A", 650, 650, 0.0000027, 0.0, x - 360 if x >= 180 else x, 0.0, -0.0000027, 12.0 + k * 0.002) for k, x in enumerate(lefts)]
+        columns = "imageId string, aoi string, width int, height int, tr_a double, tr_b double, tr_c double, tr_d double, tr_e double, tr_f double"
+        for turned in (0, 1):  # whichever side the first chip lies on
+            ids = [(f"i{(4 - k) if turned else k}", *r[1:]) for k, r in enumerate(rows)]
+            spark.createDataFrame(ids, columns).write.parquet(f"{tmp_path}/{name}{turned}/chips.parquet")
+            got[name, turned] = sorted(map(tuple, entry.queries()["l9_grid_chips"](spark, f"{tmp_path}/{name}{turned}").collect()))
+    assert len(got["beside", 0]) > 3 and len({tuple(v) for v in got.values()}) == 1
