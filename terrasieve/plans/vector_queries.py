@@ -153,10 +153,14 @@ _UTM_FIRST = crs.forward_sql("lon", "lat", "z0")
 @query(f"""WITH {_POINTS_SQL}, z AS (SELECT (SELECT CAST(floor(1 + (arg_min(lon, point_id) + 180) / 6) AS INTEGER) FROM pt WHERE lon BETWEEN 10 AND 30) AS z0, * FROM pt WHERE lon BETWEEN 10 AND 30)
 SELECT point_id, z0 AS zone, round({_UTM_FIRST["easting"]}, 2) AS easting, round({_UTM_FIRST["northing"]}, 2) AS northing FROM z""")
 def a17_frame_to_utm(spark, sf_dir):
-    """A frame in the zone of its first feature."""
-    p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").where(F.col("lon").between(10, 30))
-    zone = p.agg(crs.utm_zone(F.min_by("lon", "id"))).first()[0]  # one number
-    rows = p.select(F.col("id").alias("point_id"), crs.utm_forward(F.col("lon"), F.col("lat"), F.lit(zone)).alias("u"))
+    """Frames in the zone of their first feature.
+
+    The positions belong to no file, so a frame is a strip of 20 degrees, from 10 degrees on eastwards;
+    the strip from 170 degrees goes on beyond 180. The SQL has the positions from 10 to 30 degrees only.
+    """
+    p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").withColumn("frame", F.floor(F.pmod(F.col("lon") - 10, F.lit(360.0)) / 20).cast("int"))
+    zones = p.groupBy("frame").agg(crs.utm_zone(F.min_by("lon", "id")).alias("zone"))  # 18 rows at most
+    rows = p.join(F.broadcast(zones), "frame").select(F.col("id").alias("point_id"), crs.utm_forward(F.col("lon"), F.col("lat"), F.col("zone")).alias("u"))
     return rows.select("point_id", "u.zone", R("u.easting", 2).alias("easting"), R("u.northing", 2).alias("northing"))
 
 

@@ -73,3 +73,16 @@ def test_utm(spark):
     for r in got:
         assert r.b.lon == pytest.approx(r.lon, abs=1e-9) and r.b.lat == pytest.approx(r.lat, abs=1e-9)
     assert (got[5].zone, round(got[5].easting, 2), round(got[5].northing, 2)) == (32, 395201.31, 5673135.24)
+
+
+def test_frames_hold_every_position(spark, tmp_path):
+    from math import hypot
+
+    import __spark_entry__ as entry
+
+    places = [(17.7, 60.5), (23.5, 31.0), (-101.2, 12.0), (-179.999, -14.0), (179.999, -14.0), (-0.3, -42.0), (29.9, 1.0), (30.0, 1.0)]
+    rows = [(i, "roof", f"POINT ({x} {y})") for i, (x, y) in enumerate(places)]
+    spark.createDataFrame(rows, "point_id long, label string, geometry string").write.parquet(f"{tmp_path}/scene_points.parquet")
+    got = {r.point_id: r for r in entry.queries()["a17_frame_to_utm"](spark, str(tmp_path)).collect()}
+    assert {i: r.zone for i, r in got.items()} == {0: 33, 1: 33, 2: 14, 3: 1, 4: 1, 5: 30, 6: 33, 7: 36}
+    assert hypot(got[3].easting - got[4].easting, got[3].northing - got[4].northing) < 250  # 0.002 degrees apart
