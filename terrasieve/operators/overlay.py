@@ -125,21 +125,25 @@ def segment_capsules(line: np.ndarray, distance: float, quad_segments: int = 1)
 
 
 def buffer_lines(df: DataFrame, key: str, line_col: str, distance: float = 5.0, quad_segments: int = 1, factor_col: str | None = None) -> DataFrame:
-    """(key, area, wkt): each line's buffer; line_col ARRAY<STRUCT<x, y>>, distance times factor_col where given.
+    """(key, area, wkt): each row's buffer; line_col ARRAY<STRUCT<x, y>>, or an array of such lines, distance times factor_col where given.
 
-    The buffer is the union of the segments' capsules, as disjoint trapezoids. Lines of fewer than
+    The buffer is the union of all segments' capsules, as disjoint trapezoids. Lines of fewer than
     two points or with null give an empty buffer.
     """
     key_type = df.schema[key].dataType.simpleString()
-    xs, ys = F.transform(line_col, lambda p: p["x"]), F.transform(line_col, lambda p: p["y"])
-    rows = df.select(key, xs.alias("_x"), ys.alias("_y"), (F.lit(float(distance)) * (F.coalesce(F.col(factor_col).cast("double"), F.lit(1.0)) if factor_col else F.lit(1.0))).alias("_d"))
+    one = df.schema[line_col].dataType.elementType.typeName() == "struct"
+    lines = F.array(line_col) if one else F.col(line_col)
+    xs, ys = F.transform(F.flatten(lines), lambda p: p["x"]), F.transform(F.flatten(lines), lambda p: p["y"])
+    rows = df.select(key, xs.alias("_x"), ys.alias("_y"), F.transform(lines, F.size).alias("_n"), (F.lit(float(distance)) * (F.coalesce(F.col(factor_col).cast("double"), F.lit(1.0)) if factor_col else F.lit(1.0))).alias("_d"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, x, y, d in zip(batch[key], batch["_x"], batch["_y"], batch["_d"]):
-                line = np.column_stack([x, y]).astype(float) if x is not None and len(x) > 1 else np.empty((0, 2))
-                t = union_trapezoids(segment_capsules(line, d, quad_segments)) if len(line) else np.empty((0, 6))
+            for k, x, y, n, d in zip(batch[key], batch["_x"], batch["_y"], batch["_n"], batch["_d"]):
+                points = np.column_stack([x, y]).astype(float) if x is not None else np.empty((0, 2))
+                parts = np.split(points, np.cumsum(n)[:-1]) if len(points) else []
+                capsules = [c for line in parts if len(line) > 1 for c in segment_capsules(line, d, quad_segments)]
+                t = union_trapezoids(capsules) if capsules else np.empty((0, 6))
                 out.append((k, trapezoid_area(t), trapezoid_wkt(t)))
             yield pd.DataFrame(out, columns=[key, "area", "wkt"])
 

@@ -401,8 +401,8 @@ def ag5_dissolved(spark, sf_dir):
 
 @query()
 def a19_line_buffers(spark, sf_dir):
-    """Buffers of 2 pixels around the footprints' outlines."""
-    rows = O.buffer_lines(_pix(spark, sf_dir).select("footprint_id", F.get(F.get("g", F.lit(0)), F.lit(0)).alias("line")), "footprint_id", "line", 2.0)
+    """Buffers of 2 pixels around the footprints' outlines, all rings of all parts."""
+    rows = O.buffer_lines(_pix(spark, sf_dir).select("footprint_id", F.flatten("g").alias("rings")), "footprint_id", "rings", 2.0)
     return rows.select("footprint_id", R("area", 4).alias("area"))
 
 

@@ -84,3 +84,14 @@ def test_sql_functions(spark):
     r = register(spark).sql("select st_area('POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))') as a, st_iou('POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))', 'POLYGON ((1 0, 3 0, 3 2, 1 2, 1 0))') as i, st_area(null) as n, st_repaired_area('POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))') as r").first()
     assert (r.a, round(r.i, 9), r.n, r.r) == (4.0, round(1 / 3, 9), None, 2.0)
     assert spark.sql("select * from tile_regions(array(1, 1, 0, 2), 2)").count() == 2
+
+
+def test_buffers_of_all_rings(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    ring = lambda x, y, n: f"({x} {y}, {x + n} {y}, {x + n} {y + n}, {x} {y + n}, {x} {y})"
+    wkt = {1: f"POLYGON ({ring(0, 0, 100)})", 2: f"POLYGON ({ring(0, 0, 100)}, {ring(30, 30, 20)})", 3: f"MULTIPOLYGON (({ring(0, 0, 100)}), ({ring(200, 0, 20)}))"}
+    spark.createDataFrame([(k, "i", 1, w) for k, w in wkt.items()], "footprint_id long, ImageId string, BuildingId int, PolygonWKT_Pix string").write.parquet(f"{tmp_path}/footprints.parquet")
+    got = {r.footprint_id: r.area for r in entry.queries()["a19_line_buffers"](spark, str(tmp_path)).collect()}
+    square = lambda n: 4 * n * 4 - 4 * 4 + 4 * 2  # strips of width 4 share their corners' squares inside; the ends reach out as triangles
+    assert got == {1: pytest.approx(square(100)), 2: pytest.approx(square(100) + square(20)), 3: pytest.approx(square(100) + square(20))}
