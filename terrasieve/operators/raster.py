@@ -60,22 +60,60 @@ def overlap_add(tiles: DataFrame) -> DataFrame:
     return at.groupBy("image", "row", "col").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn: Column, width: int, height: int, cell: float = 1.0) -> DataFrame:
+def _burnt(rings: list[np.ndarray], r0: int, c0: int, rows: int, cols: int) -> np.ndarray:
+    """Which pixels of a window have their centre inside, by the parity of crossings over all rings."""
+    e = np.concatenate([np.column_stack([p, np.roll(p, -1, axis=0)]) for p in rings])
+    y = np.arange(r0, r0 + rows) + 0.5
+    r, k = np.nonzero((e[None, :, 1] > y[:, None]) != (e[None, :, 3] > y[:, None]))
+    at = e[k, 0] + (y[r] - e[k, 1]) * (e[k, 2] - e[k, 0]) / (e[k, 3] - e[k, 1])
+    left = np.clip(np.ceil(at - 0.5) - c0, 0, cols).astype(np.int64)  # so many columns lie left of the crossing
+    ends = np.zeros((rows, cols + 1), dtype=np.int64)
+    np.add.at(ends, (r, left), 1)
+    return np.cumsum(ends[:, ::-1], axis=1)[:, ::-1][:, 1:] % 2 == 1
+
+
+#: Rows of a raster that one task burns at a time.
+BAND_ROWS = 64
+
+
+def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn: Column, width: int | str, height: int | str, cell: float = 1.0) -> DataFrame:
     """(image, row, col, value): pixels whose centre lies in a polygon; of several, the last in order wins.
 
-    Each polygon is spread over the pixels of its box; pixels outside all polygons don't come out
-    (they are 0). cell is the pixel's size in the polygons' units.
+    width and height are numbers or, for rasters of several sizes, columns. The polygons go to the
+    bands of BAND_ROWS rows that their boxes meet and are burnt there in order; what comes back are
+    runs of pixels. Pixels outside all polygons don't come out (they are 0). cell is the pixel's
+    size in the polygons' units.
     """
+    size = lambda n: F.lit(n) if isinstance(n, int) else F.col(n)
     scaled = geom.map_points(F.col(geometry), lambda x, y: (x / cell, y / cell))
-    rows = polygons.select(F.col(image).alias("image"), F.col(order).alias("_o"), burn.alias("_v"), scaled.alias("_g"))
-    rows = rows.withColumn("_b", geom.box(F.col("_g"))).where("_b is not null")
-    low = lambda c: F.greatest(F.floor(c).cast("int"), F.lit(0))
-    high = lambda c, n: F.least(F.floor(c).cast("int"), F.lit(n - 1))
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("row", F.explode(span(low(F.col("_b.ymin")), high(F.col("_b.ymax"), height))))
-    rows = rows.withColumn("col", F.explode(span(low(F.col("_b.xmin")), high(F.col("_b.xmax"), width))))
-    rows = rows.where(geom.contains_point(F.col("_g"), F.col("col") + 0.5, F.col("row") + 0.5))
-    return rows.groupBy("image", "row", "col").agg(F.max_by("_v", "_o").alias("value"))
+    rows = polygons.select(F.col(image).alias("image"), F.col(order).alias("_o"), burn.alias("_v"), scaled.alias("_g"), size(width).cast("int").alias("_w"), size(height).cast("int").alias("_h"))
+    rows = rows.withColumn("_b", geom.box(F.col("_g"))).where("_b is not null and _b.xmax >= 0 and _b.ymax >= 0 and _b.xmin < _w and _b.ymin < _h")
+    first, last = F.greatest(F.floor("_b.ymin"), F.lit(0)), F.least(F.floor("_b.ymax"), F.col("_h") - 1)
+    rows = rows.withColumn("_band", F.explode(F.sequence(F.floor(first / BAND_ROWS), F.floor(last / BAND_ROWS))))
+    points = F.flatten(F.flatten("_g"))
+    rows = rows.select("image", "_band", "_o", "_v", "_w", "_h", F.transform(points, lambda p: p["x"]).alias("_x"), F.transform(points, lambda p: p["y"]).alias("_y"), F.transform(F.flatten("_g"), lambda r: F.size(r)).alias("_n"))
+    image_type, value_type = (rows.schema[c].dataType.simpleString() for c in ("image", "_v"))
+
+    def burn_band(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o", kind="stable", na_position="first", ignore_index=True)
+        top, wide = int(pdf["_band"].iloc[0]) * BAND_ROWS, int(pdf["_w"].max())
+        canvas = np.full((BAND_ROWS, wide), -1)
+        for k, (x, y, n, w, h) in enumerate(zip(pdf["_x"], pdf["_y"], pdf["_n"], pdf["_w"], pdf["_h"])):
+            r0, r1 = max(top, int(np.floor(np.nanmin(y)))), min(top + BAND_ROWS, int(h), int(np.floor(np.nanmax(y))) + 1)
+            c0, c1 = max(0, int(np.floor(np.nanmin(x)))), min(int(w), int(np.floor(np.nanmax(x))) + 1)
+            if r0 < r1 and c0 < c1:
+                rings = [r for r in np.split(np.column_stack([x, y]).astype(float), np.cumsum(n)[:-1]) if len(r)]
+                canvas[r0 - top : r1 - top, c0:c1][_burnt(rings, r0, c0, r1 - r0, c1 - c0)] = k
+        start = np.column_stack([np.ones(BAND_ROWS, dtype=bool), canvas[:, 1:] != canvas[:, :-1]])
+        row, col = np.nonzero(start)
+        k = canvas[row, col]
+        until = np.append(col[1:], 0)
+        until[np.append(row[1:] != row[:-1], True)] = wide
+        on = k >= 0
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "row": row[on] + top, "_c0": col[on], "_c1": until[on] - 1, "value": pdf["_v"].to_numpy()[k[on]]})
+
+    runs = rows.groupBy("image", "_band").applyInPandas(burn_band, f"image {image_type}, row int, _c0 int, _c1 int, value {value_type}")
+    return runs.select("image", "row", F.explode(F.sequence("_c0", "_c1")).alias("col"), "value")
 
 
 def _transform_1d(f: np.ndarray) -> np.ndarray:

@@ -63,9 +63,14 @@ hit AS (SELECT cells.id, cells.image, r, c FROM cells JOIN f_s s ON s.id = cells
   GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT image, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, arg_max(BuildingId, id) AS value FROM hit JOIN footprints ON footprint_id = id GROUP BY image, r, c""")
 def r4_rasterize(spark, sf_dir):
-    """Footprints burnt into 65 x 65 pixels of 10, later features over earlier ones."""
+    """Footprints burnt on the pixels of their chip, later features over earlier ones.
+
+    The raster is as wide and high as the chip; the SQL burns on 65 x 65 cells of 10 pixels.
+    Footprints of images without chip have no raster.
+    """
     f = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")).select("ImageId", "footprint_id", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
-    return X.rasterize(f, "ImageId", "g", "footprint_id", F.col("BuildingId"), 65, 65, 10.0)
+    c = read(spark, sf_dir, "chips").groupBy(F.col("imageId").alias("_i")).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    return X.rasterize(f.join(c, f["ImageId"] == c["_i"]), "ImageId", "g", "footprint_id", F.col("BuildingId"), "width", "height")
 
 
 _OUTLINE = [(1.2, 0.4), (7.6, 2.2), (5.3, 7.7), (0.3, 5.1), (1.2, 0.4)]

@@ -120,3 +120,18 @@ def test_grid_across_180_degrees(spark, tmp_path):
             spark.createDataFrame(ids, columns).write.parquet(f"{tmp_path}/{name}{turned}/chips.parquet")
             got[name, turned] = sorted(map(tuple, entry.queries()["l9_grid_chips"](spark, f"{tmp_path}/{name}{turned}").collect()))
     assert len(got["beside", 0]) > 3 and len({tuple(v) for v in got.values()}) == 1
+
+
+def test_burnt_on_the_chips_own_pixels(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    wkt = [
+        (1, "a", 5, "POLYGON ((1 1, 4 1, 4 3, 1 3, 1 1))"), (2, "a", 6, "POLYGON ((3 2, 6 2, 6 4, 3 4, 3 2))"), (3, "a", 7, "POLYGON ((380 380, 400 380, 400 400, 380 400, 380 380))"),
+        (4, "b", 8, "MULTIPOLYGON (((60 60, 69 60, 69 69, 60 69, 60 60), (62 62, 67 62, 67 67, 62 67, 62 62)), ((-3 0, 2 0, 2 1, -3 1, -3 0)))"), (5, "none", 9, "POLYGON ((1 1, 4 1, 4 3, 1 3, 1 1))"),
+    ]
+    spark.createDataFrame(wkt, "footprint_id long, ImageId string, BuildingId int, PolygonWKT_Pix string").write.parquet(f"{tmp_path}/footprints.parquet")
+    spark.createDataFrame([("a", 390, 390), ("b", 650, 650)], "imageId string, width int, height int").write.parquet(f"{tmp_path}/chips.parquet")
+    got = {(r.image, r.row, r.col): r.value for r in entry.queries()["r4_rasterize"](spark, str(tmp_path)).collect()}
+    want = {("a", r, c): 5 for r in (1, 2) for c in (1, 2, 3)} | {("a", r, c): 6 for r in (2, 3) for c in (3, 4, 5)} | {("a", r, c): 7 for r in range(380, 390) for c in range(380, 390)}
+    want |= {("b", r, c): 8 for r in range(60, 69) for c in range(60, 69) if not (62 <= r < 67 and 62 <= c < 67)} | {("b", 0, c): 8 for c in (0, 1)}
+    assert got == want
