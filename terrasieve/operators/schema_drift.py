@@ -36,6 +36,7 @@ def _paths(record: dict, prefix: str = "") -> Iterator[tuple[str, int]]:
 def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     types: dict[tuple, int] = {}
     rows: dict[tuple, int] = defaultdict(int)
+    keys: set[tuple] = set()  # fields that are keys of a body itself
     for batch in batches:
         for feed, delivery, body in zip(batch["feed"], batch["delivery_no"], batch["body"]):
             try:
@@ -43,6 +44,9 @@ def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 fields = list(_paths(record)) if isinstance(record, dict) else []
             except ValueError:
                 fields = []
+            else:
+                if fields:
+                    keys.update((feed, delivery, key) for key in record)
             rows[feed, delivery, None] += 1
             types.setdefault((feed, delivery, None), 0)
             for path, rank in fields:
@@ -51,27 +55,28 @@ def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if rank > types.get(key, -1):
                     types[key] = rank
         if len(types) > 200_000:  # flush; the shuffled aggregate merges
-            yield _frame(types, rows)
-            types, rows = {}, defaultdict(int)
-    yield _frame(types, rows)
+            yield _frame(types, rows, keys)
+            types, rows, keys = {}, defaultdict(int), set()
+    yield _frame(types, rows, keys)
 
 
-def _frame(types: dict, rows: dict) -> pd.DataFrame:
-    return pd.DataFrame([(f, d, p, t, rows[f, d, p]) for (f, d, p), t in types.items()], columns=["feed", "delivery_no", "field_name", "type_rank", "n_rows"])
+def _frame(types: dict, rows: dict, keys: set) -> pd.DataFrame:
+    return pd.DataFrame([(f, d, p, t, rows[f, d, p], (f, d, p) in keys) for (f, d, p), t in types.items()], columns=["feed", "delivery_no", "field_name", "type_rank", "n_rows", "is_key"])
 
 
 def profile(df: DataFrame, feed_col: str, delivery_col: str, body_col: str) -> DataFrame:
-    """(feed, delivery_no, field_name, type_rank, n_rows) of every field of every delivery.
+    """(feed, delivery_no, field_name, type_rank, n_rows, is_key) of every field of every delivery.
 
     Combined in each task before the shuffle, so that a hot feed sends a row per field and task.
     One row with null field_name stands for the delivery itself, also if its bodies are null,
-    unreadable or without fields. Nested fields are dotted paths. Rows without delivery number
+    unreadable or without fields. Nested fields are dotted paths; is_key: the
+    name is a key of a body itself. Rows without delivery number
     belong to no delivery. An empty table gives an empty profile; extra columns are ignored.
     """
     delivery = df.schema[delivery_col].dataType.simpleString()
     rows = df.where(F.col(delivery_col).isNotNull()).select(F.col(feed_col).cast("string").alias("feed"), F.col(delivery_col).alias("delivery_no"), F.col(body_col).alias("body"))
-    part = rows.mapInPandas(_profile, f"feed string, delivery_no {delivery}, field_name string, type_rank int, n_rows long")
-    return part.groupBy("feed", "delivery_no", "field_name").agg(F.max("type_rank").alias("type_rank"), F.sum("n_rows").alias("n_rows"))
+    part = rows.mapInPandas(_profile, f"feed string, delivery_no {delivery}, field_name string, type_rank int, n_rows long, is_key boolean")
+    return part.groupBy("feed", "delivery_no", "field_name").agg(F.max("type_rank").alias("type_rank"), F.sum("n_rows").alias("n_rows"), F.max("is_key").alias("is_key"))
 
 
 def _grams(name: str) -> set[str]:
@@ -247,15 +252,19 @@ def changes(seen: DataFrame) -> DataFrame:
     return rows.select("feed", "canonical_name", "field_name", F.explode(found).alias("_c")).select("feed", F.col("_c.d").alias("delivery_no"), "canonical_name", "field_name", "_c.change")
 
 
-def unify(df: DataFrame, keep: list[str], body_col: str, seen: DataFrame, catalog: DataFrame) -> DataFrame:
+def unify(df: DataFrame, keep: list[str], body_col: str, seen: DataFrame, catalog: DataFrame, most: int = 100_000) -> DataFrame:
     """keep, then one column per canonical field, cast to its type, and unfit MAP: texts that don't fit the type.
 
-    Spellings come from the matched profile. Objects in bodies stay JSON text. Rows whose body is
+    Spellings come from the matched profile, as far as they are keys of bodies; more than most are
+    refused. Objects in bodies stay JSON text. Rows whose body is
     null or unreadable come out with null fields. Where a row writes a field in two ways, the
     first spelling in alphabetical order that isn't null counts.
     """
     spellings: dict[str, set] = defaultdict(set)
-    for name, canonical in seen.where(F.col("field_name").isNotNull()).select("field_name", "canonical_name").distinct().limit(100_001).collect():
+    found = seen.where(F.col("field_name").isNotNull() & F.col("is_key")).select("field_name", "canonical_name").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the deliveries have more than {most} spellings of fields")
+    for name, canonical in found:
         spellings[canonical].add(name)
     types = {t[0]: {"integer": "bigint", "double": "double", "boolean": "boolean"}.get(t[1], "string") for t in targets_of(catalog)}
     for canonical in types:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from terrasieve.operators.schema_drift import TYPES, changes, name_similarity, profile, select_matches, targets_of, unify, with_canonical_names
 
 CATALOG = [("ImageId", "ImageId", "string"), ("image_id", "ImageId", "string"), ("BuildingId", "BuildingId", "integer"), ("BldgId", "BuildingId", "integer"), ("Confidence", "Confidence", "double"), ("conf", "Confidence", "double"), ("note", "note", "string")]
@@ -47,3 +49,12 @@ def test_unify_casts_and_keeps_misfits(spark):
     df, catalog, seen = frames(spark, [("a", 1, {"BldgId": "12", "conf": "high", "extra": {"k": 1}, "big": "z" * 50_000})])
     r = unify(df, ["row_id"], "body", seen, catalog).first()
     assert (r.BuildingId, r.Confidence, r.unfit, r.note, len(r.big)) == (12, None, {"Confidence": "high"}, None, 50_000)
+
+
+def test_unify_takes_keys_of_bodies_only_and_refuses_too_many(spark):
+    df, catalog, seen = frames(spark, [("a", 1, {"BldgId": 3, "ids": {f"k{i}": i for i in range(30)}}), ("a", 2, {"x.y": 7})])
+    got = unify(df, ["row_id"], "body", seen, catalog, 3)
+    assert set(got.columns) == {"row_id", "BuildingId", "Confidence", "ImageId", "note", "ids", "x.y", "unfit"}
+    assert {r["x.y"] for r in got.collect()} == {None, "7"}
+    with pytest.raises(ValueError, match="more than 2 spellings"):
+        unify(df, ["row_id"], "body", seen, catalog, 2)
