@@ -191,11 +191,21 @@ def targets_of(catalog: DataFrame, most: int = 10_000) -> list[Target]:
     return [(c, types[c], tuple(sorted(spellings[c]))) for c in sorted(spellings)]
 
 
+def checked_matches(fields: list[tuple[str, str]], targets: list[Target], listed: dict[str, str]) -> list[tuple[str, str, str | None]]:
+    """(field, canonical, rejected) by select_matches; a match that the catalog's list contradicts is rejected for the listed name."""
+    rows = []
+    for f, matched in select_matches(fields, targets).items():
+        wrong = listed.get(f, matched) != matched
+        rows.append((f, listed[f] if wrong else matched, matched if wrong else None))
+    return rows
+
+
 def with_canonical_names(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The profile plus canonical_name, matched for each distinct schema by similarity flooding.
+    """The profile plus canonical_name, matched for each distinct schema by similarity flooding, and rejected.
 
-    Distinct schemas (field names and types) are matched in parallel, each once. A field that the
-    catalog lists is checked against it afterwards; the catalog decides.
+    Distinct schemas (field names and types) are matched in parallel, each once. The catalog is an
+    exact check: where it lists a field under another name than the matched one, that one is
+    reported in rejected (else null) and the listed name stands.
     """
     targets = targets_of(catalog)
     listed = {s: t[0] for t in targets for s in t[2]}
@@ -205,9 +215,8 @@ def with_canonical_names(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
             rows = []
             for signature in batch["signature"]:
                 fields = [(n, TYPES[r]) for n, r in json.loads(signature)]
-                for f, canonical in select_matches(fields, targets).items():
-                    rows.append((signature, f, listed.get(f, canonical)))
-            yield pd.DataFrame(rows, columns=["signature", "field_name", "canonical_name"])
+                rows += [(signature, *match) for match in checked_matches(fields, targets, listed)]
+            yield pd.DataFrame(rows, columns=["signature", "field_name", "canonical_name", "rejected"])
 
     named = profiled.where(F.col("field_name").isNotNull())
     pairs = F.sort_array(F.collect_set(F.struct("field_name", "type_rank")))
@@ -216,11 +225,11 @@ def with_canonical_names(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
     schemas = schemas.withColumn("signature", F.regexp_replace("_t", r',"(\d+)"\]', r",$1]")).drop("_t")
     # few bytes but much work: a fixed number of partitions, which adaptive execution doesn't merge
     parts = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matched = schemas.select("signature").distinct().repartition(parts, "signature").mapInPandas(match, "signature string, field_name string, canonical_name string")
-    placed = schemas.join(matched, "signature").select("feed", "delivery_no", "field_name", "canonical_name")
+    matched = schemas.select("signature").distinct().repartition(parts, "signature").mapInPandas(match, "signature string, field_name string, canonical_name string, rejected string")
+    placed = schemas.join(matched, "signature").select("feed", "delivery_no", "field_name", "canonical_name", "rejected")
     left, right = profiled.alias("l"), placed.alias("r")
     same = F.col("l.feed").eqNullSafe(F.col("r.feed")) & (F.col("l.delivery_no") == F.col("r.delivery_no")) & (F.col("l.field_name") == F.col("r.field_name"))
-    return left.join(right, same, "left").select("l.*", "r.canonical_name")
+    return left.join(right, same, "left").select("l.*", "r.canonical_name", "r.rejected")
 
 
 def changes(seen: DataFrame) -> DataFrame:

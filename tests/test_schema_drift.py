@@ -1,9 +1,12 @@
 import json
+from pathlib import Path
 
 import pytest
 
+from terrasieve.operators import schema_drift
 from terrasieve.operators.schema_drift import TYPES, changes, name_similarity, profile, select_matches, targets_of, unify, with_canonical_names
 
+SMALL = "/root/testdata/sf0.001"
 CATALOG = [("ImageId", "ImageId", "string"), ("image_id", "ImageId", "string"), ("BuildingId", "BuildingId", "integer"), ("BldgId", "BuildingId", "integer"), ("Confidence", "Confidence", "double"), ("conf", "Confidence", "double"), ("note", "note", "string")]
 
 
@@ -58,3 +61,22 @@ def test_unify_takes_keys_of_bodies_only_and_refuses_too_many(spark):
     assert {r["x.y"] for r in got.collect()} == {None, "7"}
     with pytest.raises(ValueError, match="more than 2 spellings"):
         unify(df, ["row_id"], "body", seen, catalog, 2)
+
+
+def test_the_catalog_reports_matches_it_contradicts(monkeypatch):
+    targets, listed = [("A", "string", ("A", "a1")), ("B", "string", ("B", "b1"))], {"A": "A", "a1": "A", "B": "B", "b1": "B"}
+    assert schema_drift.checked_matches([("a1", "string"), ("B", "string"), ("other", "string")], targets, listed) == [("a1", "A", None), ("B", "B", None), ("other", "other", None)]
+    monkeypatch.setattr(schema_drift, "select_matches", lambda fields, targets: {"a1": "B", "other": "A"})
+    assert schema_drift.checked_matches([("a1", "string"), ("other", "string")], targets, listed) == [("a1", "A", "B"), ("other", "A", None)]
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+def test_flooding_alone_finds_the_names_of_the_catalog(spark):
+    df, catalog = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("feed_rows", "field_catalog"))
+    targets = targets_of(catalog)
+    listed = {s: t[0] for t in targets for s in t[2]}
+    assert len(listed) == 21
+    for name, canonical, kind in catalog.select("field_name", "canonical_name", "canonical_type").collect():
+        assert select_matches([(name, kind)], targets) == {name: canonical}
+    seen = with_canonical_names(profile(df, "feed", "delivery_no", "body"), catalog)
+    assert seen.where("rejected is not null").count() == 0 and seen.where("canonical_name is not null").count() > 0
