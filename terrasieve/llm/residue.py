@@ -43,8 +43,17 @@ FILLERS = [
 LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad
 minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit
 esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum""".split()
-# How placeholders begin; the automaton finds these, PLACEHOLDER then decides.
-OPENERS = ["{", "<", "&lt;", "[[", "@@", "##", "__", "xx.xx", "xx/xx", "#ref", "#n/a", "#value", "#div/0", "#name?", "[object", "[insert", "[to be", "[tbd", "[tbc", "[todo", "[placeholder", "[name", "[nom", "[date", "[à ", "[a compl", " here]", "eintragen]", "einfügen]", "ausfüllen]", "einsetzen]", "ergänzen]", "......", "………", " null", " undefined", " nan ", " none v", "v none", "%"]
+# Words that begin or end a placeholder in square brackets.
+BRACKET_HEADS = [
+    "insert", "to be completed", "to be inserted", "to be confirmed", "to be determined", "to be added", "to be filled", "tbd", "tbc", "todo", "placeholder", "name of", "name des", "name der", "nom du", "nom de",
+    "date of", "à compléter", "a compléter", "à remplir", "à insérer",
+]
+BRACKET_TAILS = ["here", "eintragen", "einfügen", "ausfüllen", "einsetzen", "ergänzen", "à compléter", "à insérer"]
+# What every match of PLACEHOLDER or BLANK holds a part of, in lower case with single blanks; the automaton finds these, the patterns then decide.
+OPENERS = [
+    "{", "<", "&lt;", "[[", "@@", "##", "__", "xx.xx", "xx/xx", "xx-xx", "#ref", "#n/a", "#value", "#div/0", "#name?", "#null", "[object", "......", "………", "%",
+    *(o + w for w in BRACKET_HEADS for o in ("[", "[ ")), *(w + c for w in BRACKET_TAILS for c in ("]", " ]")),
+]
 
 _NAME = r"[A-Za-zÀ-ÿ][\wÀ-ÿ.\-]{0,60}"
 PLACEHOLDER = re.compile(
@@ -53,13 +62,14 @@ PLACEHOLDER = re.compile(
         r"<%[^<>\n]{1,120}%>", r"\[\[[^\[\]\n]{1,80}\]\]", rf"<<\s*{_NAME}\s*>>", r"<[A-Z][A-Z0-9_]{2,60}>", rf"&lt;\s*{_NAME}\s*&gt;",
         r"%[A-Z][A-Z0-9_]{2,60}%", rf"%\({_NAME}\)[sdif]", r"(?P<mark>@@|##|__)[A-Za-z][A-Za-z0-9_.\-]*?(?P=mark)",
         r"\bXX(?P<sep>[./-])XX(?P=sep)(?:20|19|XX)?XX\b", r"#(?:REF!|N/A|VALUE!|DIV/0!|NAME\?|NULL!)", r"\[object [A-Z]\w+\]",
-        r"(?i:\[\s*(?:insert|to be (?:completed|inserted|confirmed|determined|added|filled)|tbd|tbc|todo|placeholder|name of|name des|name der|nom du|nom de|date of|à compléter|a compléter|à remplir|à insérer)\b[^\[\]\n]{0,80}\])",
-        r"(?i:\[[^\[\]\n]{1,80}\b(?:here|eintragen|einfügen|ausfüllen|einsetzen|ergänzen|à compléter|à insérer)\s*\])",
+        rf"(?i:\[\s*(?:{'|'.join(BRACKET_HEADS)})\b[^\[\]\n]{{0,80}}\])",
+        rf"(?i:\[[^\[\]\n]{{1,80}}\b(?:{'|'.join(BRACKET_TAILS)})\s*\])",
     ])
 )
 #: Runs of underscores or dots to be filled in; after a capital and a full stop they mark a redacted name.
 BLANK = re.compile(r"(?<![A-Za-zÀ-ÿ_])(?<![A-Z]\.)_{2,}|(?<!\.)\.{6,}(?!\.)|…{3,}")
-_VOID = r"(?:null|undefined|NaN|None|NULL)"
+VOIDS = ["null", "undefined", "NaN", "None", "NULL"]
+_VOID = rf"(?:{'|'.join(VOIDS)})"
 _LABEL = r"(?:\[\d+\]|\(\d+\)|\d+[.)]|¶\s*\d+|>)"
 #: Printed missing values that fill a slot: a whole line, a party's side, or the value after a label or date word.
 MISSING = re.compile(rf"(?m)^[ \t]*(?:{_LABEL}\s*)?{_VOID}[ \t]*$|^[ \t]*{_VOID}[ \t]+(?:v\.?|vs\.?|c/|\./\.)(?=\s)|(?<=\s)(?:v\.?|vs\.?|c/|\./\.)[ \t]+{_VOID}[ \t]*$|(?::|\b(?:on|le|am|vom|du))[ \t]+{_VOID}[ \t]*$|\bNaN\b")
@@ -110,18 +120,18 @@ class Residue:
         self.text, self.found = text, []
         flat = f" {' '.join(text.split()).lower()} "
         hits = list(automaton().iter(flat))
-        if not hits:
-            return
         kinds = {kind for _, (kind, _) in hits}
         if "opener" in kinds:
-            self._slots()
+            self._slots((PLACEHOLDER, "placeholder"), (BLANK, "blank"))
+        if any(w in text for w in VOIDS):
+            self._slots((MISSING, "missing"))
         if kinds & {"notice", "filler"}:
             self._wordings(hits, least_cover)
         if "latin" in kinds:
             self._latin(least_cover, least_words)
 
-    def _slots(self) -> None:
-        for pattern, kind in ((PLACEHOLDER, "placeholder"), (BLANK, "blank"), (MISSING, "missing")):
+    def _slots(self, *patterns) -> None:
+        for pattern, kind in patterns:
             for m in pattern.finditer(self.text):
                 if not _quoted(self.text, *m.span()):
                     self.found.append((kind, *m.span()))

@@ -1,6 +1,6 @@
 import pytest
 
-from terrasieve.llm.residue import Residue, find_residue
+from terrasieve.llm.residue import BRACKET_HEADS, BRACKET_TAILS, VOIDS, Residue, find_residue
 
 HELD = [
     "Rulings\n\n{{ court.name }} v Smith", "paid ${amount} crowns", "the #{party_no} appealed", "{decision.text} c/ P.", "<<judge-Id>> ./. X.", "v <COURT_FULL>", "by <%= hearing-name %> on", "{% block judge.City %}", "[[docket.id]] v A.",
@@ -57,3 +57,16 @@ def test_notice_of_which_the_wording_is_the_smaller_part(text):
 @pytest.mark.parametrize("text", NOT_TOLD)
 def test_report_of_a_notice(text):
     assert not Residue(text).found
+
+
+ALONE = [
+    "{{ a }} b", "${a} b", "#{a} b", "{% a %} b", "{a} b", "<% a %> b", "[[a]] b", "<<a>> b", "<AB_C> d", "&lt; a &gt; b", "%ABC% d", "%(a)s b", "@@a@@ b", "##a## b", "__a__ b", "on XX.XX.20XX the", "on XX/XX/XXXX the", "on XX-XX-20XX the", "on XX-XX-19XX the",
+    *(f"a {e} b" for e in ("#REF!", "#N/A", "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!")), "a [object Map] b", *(f"a [{w} b] c" for w in BRACKET_HEADS), *(f"a [  {w.upper()}] c" for w in BRACKET_HEADS), *(f"a [b {w}] c" for w in BRACKET_TAILS), *(f"a [b-{w}\t] c" for w in BRACKET_TAILS),
+    "a ____ b", "a ...... b", "a ……… b", *(f"a\n{v}\nb" for v in VOIDS), *(f"a\n{x}{v}\nb" for v in VOIDS for x in ("[3]", "(3)", "3.", "3)", "¶ 3 ", ">")), *(f"{v} {w} b" for v in VOIDS for w in ("v", "v.", "vs", "vs.", "c/", "./.")), *(f"b {w} {v}" for v in VOIDS for w in ("v", "v.", "vs", "vs.", "c/", "./.")),
+    *(f"{w} {v}" for v in VOIDS for w in ("Judge:", "on", "le", "am", "vom", "du")), "a sum of NaN.", "a sum of (NaN), b",
+]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_sole_residue_passes_the_gate(text):
+    assert Residue(text).found
