@@ -36,7 +36,7 @@ def _paths(record: dict, prefix: str = "") -> Iterator[tuple[str, int]]:
 def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     types: dict[tuple, int] = {}
     rows: dict[tuple, int] = defaultdict(int)
-    keys: set[tuple] = set()  # fields that are keys of a body itself
+    keys: set[tuple] = set()  # keys of a body itself that look like nested fields
     for batch in batches:
         for feed, delivery, body in zip(batch["feed"], batch["delivery_no"], batch["body"]):
             try:
@@ -46,7 +46,7 @@ def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 fields = []
             else:
                 if fields:
-                    keys.update((feed, delivery, key) for key in record)
+                    keys.update((feed, delivery, key) for key in record if "." in key)
             rows[feed, delivery, None] += 1
             types.setdefault((feed, delivery, None), 0)
             for path, rank in fields:
@@ -61,7 +61,7 @@ def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(types: dict, rows: dict, keys: set) -> pd.DataFrame:
-    return pd.DataFrame([(f, d, p, t, rows[f, d, p], (f, d, p) in keys) for (f, d, p), t in types.items()], columns=["feed", "delivery_no", "field_name", "type_rank", "n_rows", "is_key"])
+    return pd.DataFrame([(f, d, p, t, rows[f, d, p], p is None or "." not in p or (f, d, p) in keys) for (f, d, p), t in types.items()], columns=["feed", "delivery_no", "field_name", "type_rank", "n_rows", "is_key"])
 
 
 def profile(df: DataFrame, feed_col: str, delivery_col: str, body_col: str) -> DataFrame:
