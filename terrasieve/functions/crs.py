@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +77,41 @@ def forward_sql(lon: str, lat: str, zone: str) -> dict[str, str]:
     x = " + ".join([eta, *(f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(ALPHA, 1))])
     y = " + ".join([xi, *(f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(ALPHA, 1))])
     return {"easting": f"{FALSE_EAST} + {SCALE * _A!r} * ({x})", "northing": f"{SCALE * _A!r} * ({y}) + CASE WHEN {lat} < 0 THEN {FALSE_NORTH} ELSE 0 END"}
+
+
+def forward_array(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(zone, easting, northing) of utm_forward for arrays."""
+    zone = np.floor(1 + (lon + 180) / 6)
+    lam, s = np.radians(lon - (zone * 6 - 183)), np.sin(np.radians(lat))
+    t = np.sinh(np.arctanh(s) - _E * np.arctanh(_E * s))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    x, y = eta.copy(), xi.copy()
+    for j, a in enumerate(ALPHA, 1):
+        x += a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+        y += a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    return zone, FALSE_EAST + SCALE * _A * x, SCALE * _A * y + np.where(lat < 0, FALSE_NORTH, 0.0)
+
+
+def inverse_array(easting: np.ndarray, northing: np.ndarray, zone: np.ndarray, south: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lon, lat) of utm_inverse for arrays that broadcast."""
+    xi, eta = (northing - np.where(south, FALSE_NORTH, 0.0)) / (SCALE * _A), (easting - FALSE_EAST) / (SCALE * _A)
+    u, v = xi.copy(), eta.copy()
+    for j, b in enumerate(BETA, 1):
+        u -= b * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        v -= b * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(u) / np.cosh(v))
+    phi = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
+    return np.degrees(np.arctan2(np.sinh(v), np.cos(u))) + zone * 6 - 183, np.degrees(phi)
+
+
+def circle_box_sql(name: str, table: str, key: str, lon: str, lat: str, radius: float) -> str:
+    """CTEs that end in name_box (key, xmin, ymin, xmax, ymax): the envelope of 64 vertices around each position, taken back from UTM one by one."""
+    f = forward_sql(lon, lat, "zone")
+    terms = lambda coefficients, a, b, x, y: " ".join(f"- {c!r} * {a}({2 * j} * {x}) * {b}({2 * j} * {y})" for j, c in enumerate(coefficients, 1))
+    phi = " ".join(f"+ {d!r} * sin({2 * j} * chi)" for j, d in enumerate(DELTA, 1))
+    return f"""{name}_z AS (SELECT *, CAST(floor(1 + ({lon} + 180) / 6) AS INTEGER) AS zone FROM {table}),
+{name}_u AS (SELECT {key}, zone, {lat} < 0 AS south, {f["easting"]} AS e, {f["northing"]} AS n FROM {name}_z),
+{name}_v AS (SELECT {key}, zone, (n + {radius} * sin(k * pi() / 32) - CASE WHEN south THEN {FALSE_NORTH} ELSE 0 END) / {SCALE * _A!r} AS xi, (e + {radius} * cos(k * pi() / 32) - {FALSE_EAST}) / {SCALE * _A!r} AS eta FROM {name}_u, range(0, 64) ks(k)),
+{name}_w AS (SELECT {key}, zone, xi {terms(BETA, "sin", "cosh", "xi", "eta")} AS u, eta {terms(BETA, "cos", "sinh", "xi", "eta")} AS v FROM {name}_v),
+{name}_x AS (SELECT {key}, degrees(atan2(sinh(v), cos(u))) + zone * 6 - 183 AS x, asin(sin(u) / cosh(v)) AS chi FROM {name}_w),
+{name}_box AS (SELECT {key}, min(x) AS xmin, min(degrees(chi {phi})) AS ymin, max(x) AS xmax, max(degrees(chi {phi})) AS ymax FROM {name}_x GROUP BY {key})"""

@@ -21,18 +21,18 @@ POINT_WKT = rf"(?i)^\s*(?:SRID\s*=\s*\d+\s*;\s*)?POINT\s*(?:ZM|Z|M)?\s*\(\s*({_N
 POINT_JSON = rf'(?s)^\s*\{{(?=.*"type"\s*:\s*"Point").*"coordinates"\s*:\s*\[\s*({_N})\s*,\s*({_N})\s*(?:,[^\]]*)?\].*\}}\s*$'
 
 
-def positions(df: DataFrame, id_col: str, geometry_col: str) -> DataFrame:
-    """(id, lon, lat) of the rows whose geometry is a point, as WKT (any case, with SRID or height) or GeoJSON.
+def positions(df: DataFrame, id_col: str, geometry_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lon, lat) and the columns of keep of the rows whose geometry is a point, as WKT (any case, with SRID or height) or GeoJSON.
 
     lon is brought to [-180, 180). Rows whose geometry is null, empty, of another kind or without
     finite coordinates, or whose latitude is beyond 90 degrees, have no position and don't come out.
     """
     g = F.col(geometry_col)
     pair = F.when(g.rlike(POINT_WKT), F.regexp_replace(g, POINT_WKT, "$1 $2")).when(g.rlike(POINT_JSON), F.regexp_replace(g, POINT_JSON, "$1 $2"))
-    xy = df.select(F.col(id_col).alias("id"), F.split(pair, " ").alias("_p")).where(F.col("_p").isNotNull())
-    xy = xy.select("id", F.col("_p")[0].try_cast("double").alias("_x"), F.col("_p")[1].try_cast("double").alias("lat"))
+    xy = df.select(F.col(id_col).alias("id"), *keep, F.split(pair, " ").alias("_p")).where(F.col("_p").isNotNull())
+    xy = xy.select("id", *keep, F.col("_p")[0].try_cast("double").alias("_x"), F.col("_p")[1].try_cast("double").alias("lat"))
     good = (F.abs("_x") < float("inf")) & (F.abs("lat") <= 90)
-    return xy.where(good).select("id", (F.col("_x") - 360 * F.floor((F.col("_x") + 180) / 360)).alias("lon"), "lat")
+    return xy.where(good).select("id", (F.col("_x") - 360 * F.floor((F.col("_x") + 180) / 360)).alias("lon"), "lat", *keep)
 
 
 def unit_vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from math import cos, pi, sin
+from math import pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.functions import crs, geom
+from terrasieve.functions import crs
 
 
 def describe(df: DataFrame, key: str, columns: dict[str, str], scale: float = 1.0) -> DataFrame:
@@ -61,13 +63,21 @@ def metric_square(df: DataFrame, lon: str, lat: str, radius: float) -> DataFrame
     """df plus box: the envelope, in degrees, of the 64-vertex circle of radius metres around each position.
 
     The vertices are taken back from UTM one by one, as reprojecting the square's corners would
-    give a looser box.
+    give a looser box. One Arrow step for all vertices of a batch; null positions give a null box.
     """
-    rows = df.withColumn("_u", crs.utm_forward(F.col(lon), F.col(lat)))
-    ring = F.array(*[F.struct(F.lit(radius * cos(k * pi / 32)).alias("x"), F.lit(radius * sin(k * pi / 32)).alias("y")) for k in range(64)])
-    turned = F.transform(ring, lambda p: crs.utm_inverse(F.col("_u.easting") + p["x"], F.col("_u.northing") + p["y"], F.col("_u.zone"), F.col("_u.northern")))
-    points = F.transform(turned, lambda p: geom.point(p["lon"], p["lat"]))
-    return rows.withColumn("box", geom.box(F.array(F.array(points)))).drop("_u")
+    turn = np.arange(64) * (pi / 32)
+    dx, dy = radius * np.cos(turn), radius * np.sin(turn)
+
+    @F.pandas_udf("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    def envelope(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        lons, lats = x.to_numpy(float), y.to_numpy(float)
+        zone, east, north = crs.forward_array(lons, lats)
+        a, b = crs.inverse_array(east[:, None] + dx, north[:, None] + dy, zone[:, None], (lats < 0)[:, None])
+        return pd.DataFrame({"xmin": a.min(1), "ymin": b.min(1), "xmax": a.max(1), "ymax": b.max(1)})
+
+    known = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    rows = df.withColumn("_box", envelope(F.col(lon).cast("double"), F.col(lat).cast("double")))
+    return rows.withColumn("box", F.when(known, F.col("_box"))).drop("_box")
 
 
 def object_centred(df: DataFrame, lon: str, lat: str, radius: float, class_col: str | None = None) -> DataFrame:

@@ -58,15 +58,15 @@ def r11_overlap_add(spark, sf_dir):
 _BURN = vertices_sql("f", "footprints", "footprint_id", "ImageId", "PolygonWKT_Pix", "true")
 
 
-@query(f"""WITH {_BURN}, cells AS (SELECT id, image, r, c FROM f_b, range(0, 65) rs(r), range(0, 65) cs(c) WHERE r >= floor(ymin / 10) AND r <= floor(ymax / 10) AND c >= floor(xmin / 10) AND c <= floor(xmax / 10)),
-hit AS (SELECT cells.id, cells.image, r, c FROM cells JOIN f_s s ON s.id = cells.id AND ((y1 / 10 > r + 0.5) <> (y2 / 10 > r + 0.5)) AND c + 0.5 < x1 / 10 + (r + 0.5 - y1 / 10) * (x2 / 10 - x1 / 10) / (y2 / 10 - y1 / 10)
-  GROUP BY ALL HAVING count(*) % 2 = 1)
+@query(f"""WITH {_BURN}, box AS (SELECT f_b.id, image, greatest(0, floor(xmin)) AS c0, least(width - 1, floor(xmax)) AS c1, greatest(0, floor(ymin)) AS r0, least(height - 1, floor(ymax)) AS r1 FROM f_b JOIN chips ON image = imageId),
+across AS (SELECT b.id, b.image, r, c0, c1, x1 + (r + 0.5 - y1) * (x2 - x1) / (y2 - y1) AS x FROM (SELECT *, unnest(range(CAST(r0 AS BIGINT), CAST(r1 + 1 AS BIGINT))) AS r FROM box) b
+  JOIN f_s s ON s.id = b.id AND (y1 > r + 0.5) <> (y2 > r + 0.5)),
+hit AS (SELECT id, image, r, c FROM (SELECT id, image, r, x, unnest(range(CAST(c0 AS BIGINT), CAST(least(c1 + 1, greatest(c0, ceil(x - 0.5))) AS BIGINT))) AS c FROM across) WHERE c + 0.5 < x GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT image, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, arg_max(BuildingId, id) AS value FROM hit JOIN footprints ON footprint_id = id GROUP BY image, r, c""")
 def r4_rasterize(spark, sf_dir):
     """Footprints burnt on the pixels of their chip, later features over earlier ones.
 
-    The raster is as wide and high as the chip; the SQL burns on 65 x 65 cells of 10 pixels.
-    Footprints of images without chip have no raster.
+    The raster is as wide and high as the chip. Footprints of images without chip have no raster.
     """
     f = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")).select("ImageId", "footprint_id", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
     c = read(spark, sf_dir, "chips").groupBy(F.col("imageId").alias("_i")).agg(F.max("width").alias("width"), F.max("height").alias("height"))

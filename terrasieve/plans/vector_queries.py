@@ -150,13 +150,14 @@ def a16_utm(spark, sf_dir):
 _UTM_FIRST = crs.forward_sql("lon", "lat", "z0")
 
 
-@query(f"""WITH {_POINTS_SQL}, z AS (SELECT (SELECT CAST(floor(1 + (arg_min(lon, point_id) + 180) / 6) AS INTEGER) FROM pt WHERE lon BETWEEN 10 AND 30) AS z0, * FROM pt WHERE lon BETWEEN 10 AND 30)
+@query(f"""WITH {_POINTS_SQL}, fr AS (SELECT *, CAST(floor((lon - 10 - 360 * floor((lon - 10) / 360)) / 20) AS INTEGER) AS frame FROM pt),
+z AS (SELECT point_id, lon, lat, z0 FROM fr JOIN (SELECT frame, CAST(floor(1 + (arg_min(lon, point_id) + 180) / 6) AS INTEGER) AS z0 FROM fr GROUP BY frame) USING (frame))
 SELECT point_id, z0 AS zone, round({_UTM_FIRST["easting"]}, 2) AS easting, round({_UTM_FIRST["northing"]}, 2) AS northing FROM z""")
 def a17_frame_to_utm(spark, sf_dir):
     """Frames in the zone of their first feature.
 
     The positions belong to no file, so a frame is a strip of 20 degrees, from 10 degrees on eastwards;
-    the strip from 170 degrees goes on beyond 180. The SQL has the positions from 10 to 30 degrees only.
+    the strip from 170 degrees goes on beyond 180.
     """
     p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").withColumn("frame", F.floor(F.pmod(F.col("lon") - 10, F.lit(360.0)) / 20).cast("int"))
     zones = p.groupBy("frame").agg(crs.utm_zone(F.min_by("lon", "id")).alias("zone"))  # 18 rows at most
@@ -164,7 +165,9 @@ def a17_frame_to_utm(spark, sf_dir):
     return rows.select("point_id", "u.zone", R("u.easting", 2).alias("easting"), R("u.northing", 2).alias("northing"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT imageId, (tr_c + tr_a * width + tr_b * height + tr_c) / 2 AS lon, (tr_f + tr_d * width + tr_e * height + tr_f) / 2 AS lat FROM chips),
+{crs.circle_box_sql("c", "m", "imageId", "lon", "lat", 100.0)}
+SELECT imageId, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM c_box""")
 def a7_metric_square(spark, sf_dir):
     """100 m around every chip's centre: the buffer's 64 vertices in UTM, taken back, then their envelope."""
     c = C.extent(read(spark, sf_dir, "chips")).select("imageId", ((F.col("left") + F.col("right")) / 2).alias("lon"), ((F.col("top") + F.col("bottom")) / 2).alias("lat"))
@@ -212,16 +215,20 @@ def w1_scene_tiles(spark, sf_dir):
     return rows.groupBy("imageId").agg(F.count("*").alias("n_windows"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-@query("""WITH e AS (SELECT aoi, min(tr_c) AS xmin, min(tr_e * height + tr_f) AS ymin, max(tr_a * width + tr_c) AS xmax, max(tr_f) AS ymax FROM chips WHERE tr_c > -179 GROUP BY aoi),
-g AS (SELECT aoi, ix, iy, xmin + ix * 0.004 AS l, ymin + iy * 0.004 AS b FROM e, range(0, 200) xs(ix), range(0, 200) ys(iy) WHERE ix < ceil((xmax - xmin) / 0.004) AND iy < ceil((ymax - ymin) / 0.004)),
-k AS (SELECT DISTINCT aoi, ix, iy FROM g JOIN chips USING (aoi) WHERE tr_c > -179 AND l <= tr_a * width + tr_c AND tr_c <= l + 0.005 AND b <= tr_f AND tr_e * height + tr_f <= b + 0.005)
+@query("""WITH c AS (SELECT aoi, imageId, tr_c AS l, tr_e * height + tr_f AS b, tr_a * width + tr_c AS r, tr_f AS t FROM chips),
+first AS (SELECT aoi, arg_min(l, imageId) AS l0 FROM c GROUP BY aoi),
+near AS (SELECT aoi, l + 360 * round_even((l0 - l) / 360, 0) AS l, b, r + 360 * round_even((l0 - l) / 360, 0) AS r, t FROM c JOIN first USING (aoi)),
+base AS (SELECT aoi, floor((min(l) + 180) / 360) * 360 AS m FROM near GROUP BY aoi),
+u AS (SELECT aoi, l - m AS l, b, r - m AS r, t FROM near JOIN base USING (aoi)),
+e AS (SELECT aoi, min(l) AS xmin, min(b) AS ymin, max(r) AS xmax, max(t) AS ymax FROM u GROUP BY aoi),
+g AS (SELECT aoi, ix, iy, xmin + ix * 0.004 AS gl, ymin + iy * 0.004 AS gb FROM e, range(0, 400) xs(ix), range(0, 400) ys(iy) WHERE ix < ceil((xmax - xmin) / 0.004) AND iy < ceil((ymax - ymin) / 0.004)),
+k AS (SELECT DISTINCT aoi, ix, iy FROM g JOIN u USING (aoi) WHERE gl <= r AND l <= gl + 0.005 AND gb <= t AND b <= gb + 0.005)
 SELECT aoi, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(row_number() OVER (PARTITION BY aoi ORDER BY ix, iy) AS INTEGER) AS chip_no,
   aoi || '_img' || row_number() OVER (PARTITION BY aoi ORDER BY ix, iy) || '.tif' AS name FROM k""")
 def l9_grid_chips(spark, sf_dir):
     """Each area's grid; cells that meet an outline are numbered x-major and named.
 
-    Areas that lie across 180 degrees are one grid. The SQL leaves out chips west of -179 degrees and
-    so has less of these areas.
+    Areas that lie across 180 degrees are one grid.
     """
     c = C.unwrapped(C.extent(read(spark, sf_dir, "chips")), "aoi", "imageId")
     area = c.groupBy("aoi").agg(F.min("left").alias("xmin"), F.min("bottom").alias("ymin"), F.max("right").alias("xmax"), F.max("top").alias("ymax"))
@@ -375,10 +382,13 @@ def j8_raster_of_image(spark, sf_dir):
     return p.join(first, p["ImageId"] == first["_id"], "left").select("proposal_id", "chipName")
 
 
-@query()
+@query(f"""WITH {_POINTS_SQL}, {_GEO}, {crs.circle_box_sql("o", "pt", "point_id", "lon", "lat", 20.0)},
+met AS (SELECT point_id, count(*) AS n FROM o_box o JOIN f_b f ON o.xmin <= f.xmax AND f.xmin <= o.xmax AND o.ymin <= f.ymax AND f.ymin <= o.ymax GROUP BY point_id)
+SELECT point_id, coalesce(replace(label, ' ', ''), 'unknown') AS folder, round(o.xmin, 6) AS "left", round(o.ymax, 6) AS top, coalesce(n, 0) AS n_features
+FROM o_box o JOIN scene_points USING (point_id) LEFT JOIN met USING (point_id)""")
 def l10_object_chips(spark, sf_dir):
     """Chips of 20 m around objects in folders of their class, with the number of footprints they meet."""
-    p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry").join(read(spark, sf_dir, "scene_points").select(F.col("point_id").alias("id"), "label"), "id")
+    p = positions(read_spread(spark, sf_dir, "scene_points"), "point_id", "geometry", ("label",))
     o = T.object_centred(p, "lon", "lat", 20.0, "label").select(F.col("id").alias("point_id"), "folder", F.col("box.xmin").alias("left"), F.col("box.ymin").alias("bottom"), F.col("box.xmax").alias("right"), F.col("box.ymax").alias("top"))
     f = M.polygon_table(read_spread(spark, sf_dir, "footprints"), "footprint_id", "ImageId", "PolygonWKT_Geo").select("id", "xmin", "ymin", "xmax", "ymax")
     met = C.box_join(o, f, ["left", "bottom", "right", "top"], ["xmin", "ymin", "xmax", "ymax"], 0.001).groupBy("point_id").agg(F.count("*").alias("n"))

@@ -86,3 +86,20 @@ def test_frames_hold_every_position(spark, tmp_path):
     got = {r.point_id: r for r in entry.queries()["a17_frame_to_utm"](spark, str(tmp_path)).collect()}
     assert {i: r.zone for i, r in got.items()} == {0: 33, 1: 33, 2: 14, 3: 1, 4: 1, 5: 30, 6: 33, 7: 36}
     assert hypot(got[3].easting - got[4].easting, got[3].northing - got[4].northing) < 250  # 0.002 degrees apart
+
+
+def test_metric_square_is_the_envelope_of_the_circle(spark):
+    from terrasieve.operators.tables import object_centred
+
+    places = [(1, 13.4, 52.5, "Big Boat", 7), (2, -70.6, -33.4, None, 7), (3, 179.9999, 0.0, "x", 7), (4, None, 1.0, "x", 7)]
+    df = spark.createDataFrame(places, "id int, lon double, lat double, kind string, box int")
+    got = {r.id: r for r in object_centred(df, "lon", "lat", 50.0, "kind").collect()}
+    assert (got[1].folder, got[2].folder, got[4].box) == ("BigBoat", "unknown", None)
+    for i, lon, lat, *_ in places[:3]:
+        b, u = got[i].box, crs.utm_forward(F.lit(lon), F.lit(lat))
+        ring = [(50 * math.cos(k * math.pi / 32), 50 * math.sin(k * math.pi / 32)) for k in range(64)]
+        back = [crs.utm_inverse(F.col("u.easting") + x, F.col("u.northing") + y, F.col("u.zone"), F.col("u.northern")).alias(f"v{k}") for k, (x, y) in enumerate(ring)]
+        v = spark.range(1).select(u.alias("u")).select(*back).first()
+        want = min(p.lon for p in v), min(p.lat for p in v), max(p.lon for p in v), max(p.lat for p in v)
+        assert tuple(b) == pytest.approx(want, abs=1e-9)
+    assert object_centred(df.limit(0), "lon", "lat", 50.0).count() == 0
