@@ -30,14 +30,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("instant_us").isNotNull()).select("feature_id", "field_name", "instant_us")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terrasieve.operators.topn import top_n
-
-    rows = read(spark, sf_dir, "proposals").select("proposal_id", "ImageId", "BuildingId", "Confidence")
-    best = top_n(rows, "ImageId", "Confidence", ["BuildingId", "proposal_id"], 3, competes=~F.col("BuildingId").eqNullSafe(-1))
-    return best.select("ImageId", "rank_no", "proposal_id")
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.sources.summary_csv import load_lines
 
@@ -76,15 +68,6 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(rows, ["row_id", "feed", "delivery_no"], "body", with_canonical_names(profile(rows, "feed", "delivery_no", "body"), catalog), catalog)
 
 
-P3_SQL = """
-SELECT ImageId, CAST(rank_no AS INTEGER) AS rank_no, proposal_id FROM (
-  SELECT ImageId, proposal_id, row_number() OVER (PARTITION BY ImageId
-    ORDER BY Confidence DESC, BuildingId ASC NULLS LAST, proposal_id ASC) AS rank_no
-  FROM proposals WHERE Confidence IS NOT NULL AND NOT isnan(Confidence) AND BuildingId IS DISTINCT FROM -1)
-WHERE rank_no <= 3
-"""
-
-
 P5_SQL = """
 SELECT DISTINCT coalesce(json_extract_string(f, '$.properties.ImageId'), imageId) AS ImageId,
   CAST(json_extract_string(f, '$.properties.BuildingId') AS INTEGER) AS BuildingId
@@ -119,9 +102,9 @@ UNION ALL SELECT feed, delivery_no, field_name, 'retyped' FROM l WHERE pi = i -
 
 
 def queries() -> dict:
-    named = (p1_found, p2_found, p3_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified)
+    named = (p1_found, p2_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified)
     return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p5_found": P5_SQL, "p6_found": P6_SQL}

@@ -10,9 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest estimated size of a side that is broadcast by hand; beyond it operators shuffle.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 
 def get_spark(app: str = "terrasieve", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators expect (UTC, AQE, Arrow)."""
@@ -50,12 +47,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The folder of spark.checkpoint.dir; only where it is unset (tests, on a local master) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="terrasieve-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:

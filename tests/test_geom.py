@@ -96,10 +96,9 @@ def test_metric_square_is_the_envelope_of_the_circle(spark):
     got = {r.id: r for r in object_centred(df, "lon", "lat", 50.0, "kind").collect()}
     assert (got[1].folder, got[2].folder, got[4].box) == ("BigBoat", "unknown", None)
     for i, lon, lat, *_ in places[:3]:
-        b, u = got[i].box, crs.utm_forward(F.lit(lon), F.lit(lat))
-        ring = [(50 * math.cos(k * math.pi / 32), 50 * math.sin(k * math.pi / 32)) for k in range(64)]
-        back = [crs.utm_inverse(F.col("u.easting") + x, F.col("u.northing") + y, F.col("u.zone"), F.col("u.northern")).alias(f"v{k}") for k, (x, y) in enumerate(ring)]
-        v = spark.range(1).select(u.alias("u")).select(*back).first()
+        u = spark.range(1).select(crs.utm_forward(F.lit(lon), F.lit(lat)).alias("u")).first().u
+        ring = [(u.easting + 50 * math.cos(k * math.pi / 32), u.northing + 50 * math.sin(k * math.pi / 32), u.zone, u.northern) for k in range(64)]
+        v = spark.createDataFrame(ring, "e double, n double, z int, s int").select(crs.utm_inverse(F.col("e"), F.col("n"), F.col("z"), F.col("s")).alias("p")).select("p.*").collect()
         want = min(p.lon for p in v), min(p.lat for p in v), max(p.lon for p in v), max(p.lat for p in v)
-        assert tuple(b) == pytest.approx(want, abs=1e-9)
+        assert tuple(got[i].box) == pytest.approx(want, abs=1e-9)
     assert object_centred(df.limit(0), "lon", "lat", 50.0).count() == 0
