@@ -11,12 +11,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TIME = r"(?:[Tt]|\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 _AMPM = r"(?:\s*([AaPp])\.?[Mm]\.?)?"
-_ZONE = r"\s*([Zz]|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?)?\s*(?:\[([A-Za-z_/+\-0-9]+)\])?"
+_ZONE = r"\s*([Zz]|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?|(?:UTC|GMT)[+-]\d(?::\d{2})?)?\s*(?:\[([A-Za-z_/+\-0-9]+)\])?"
 _MON = r"([A-Za-z]{3,9})\.?"
 
 #: (form, pattern, replacement to "order|a|b|c|hour|minute|second|fraction|am/pm|zone|region");
@@ -57,12 +57,22 @@ def zone_abbreviations(names: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in names])
 
 
+#: Microseconds by which a clock goes back at most, in the zones' rules since 1970.
+LONGEST_OVERLAP = 3 * 3600 * 1000000
+#: Policies for wall times that a clock change makes occur twice, or skips.
+TWICE, NEVER = ("first", "last", "reject"), ("reject", "forward")
+
+
+def known_zones(spark: SparkSession) -> list[str]:
+    """The zone names that Spark's JVM knows, some 600."""
+    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+
+
 def with_zone_table(lookup: DataFrame, tz_col: str = "tz_name") -> DataFrame:
     """The lookup plus zone_abbr MAP<STRING,INT>; a known Java zone is kept in zone_ok, else null."""
-    known = set(lookup.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
-    zones = sorted(r[0] for r in lookup.select(tz_col).where(F.col(tz_col).isNotNull()).distinct().limit(1000).collect() if r[0] in known)
     table = F.pandas_udf(zone_abbreviations, "map<string,int>")
-    return lookup.withColumn("zone_abbr", table(F.col(tz_col))).withColumn("zone_ok", F.when(F.col(tz_col).isin(zones), F.col(tz_col)))
+    known = F.col(tz_col).isin(known_zones(lookup.sparkSession))
+    return lookup.withColumn("zone_abbr", table(F.col(tz_col))).withColumn("zone_ok", F.when(known, F.col(tz_col)))
 
 
 def _int(c: Column) -> Column:
@@ -80,14 +90,19 @@ def _stage(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def resolve(df: DataFrame, keep: list[str]) -> DataFrame:
+def resolve(df: DataFrame, keep: list[str], twice: str = "first", never: str = "reject") -> DataFrame:
     """keep plus form, status and instant_us; df has raw, zone, abbr and date_order.
 
-    status: 'ok'; 'twice' (wall time that occurs twice, resolved to the first); 'never' (wall
-    time skipped by a clock change); 'no_zone' (wall time without a known default zone);
+    status: 'ok'; 'twice' (wall time that occurs twice); 'never' (wall
+    time skipped by a clock change); 'no_zone' (wall time without a known zone);
     'impossible' (a form matches, but no such date, time or zone exists); 'unreadable'; null
-    for null. instant_us is non-null for 'ok' and 'twice' only; finer digits are cut off.
+    for null. An offset, abbreviation or zone name in the value decides over the source's zone.
+    twice: the 'first' or 'last' of the two instants, or 'reject'; never: 'reject', or 'forward'
+    by the skipped time. instant_us is non-null for 'ok' and, unless rejected, 'twice' and
+    'never'; finer digits are cut off.
     """
+    if twice not in TWICE or never not in NEVER:
+        raise ValueError(f"twice must be one of {TWICE}, never one of {NEVER}")
     c, p = F.col, lambda i: F.col("_p")[i]
     df = _stage(df, [*keep, "raw", "zone", "abbr", "date_order"], _s=F.regexp_replace("raw", r"^\s+|\s+$", ""))
     canon = reduce(lambda rest, f: F.when(c("_s").rlike(f[1]), F.regexp_replace("_s", f[1], f"{f[2]}|{f[0]}")).otherwise(rest), reversed(FORMS), F.lit(None).cast("string"))
@@ -110,16 +125,17 @@ def resolve(df: DataFrame, keep: list[str]) -> DataFrame:
     )
     valid = (c("_y") >= 1) & (c("_h") < 24) & (c("_mi") < 60) & (c("_s") < 60)
     sec = ((c("_s") * 1000000 + c("_f")).cast("decimal(10,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(16,6)")
-    digits = F.regexp_replace("_z", r"^(UTC|GMT)|:", "")
+    bare = F.regexp_replace("_z", r"^(UTC|GMT)", "")
+    digits = F.replace(F.regexp_replace(bare, r"^([+-])(\d)(?=:|$)", "$10$2"), F.lit(":"), F.lit(""))  # sign, two digits of hours, minutes
     minutes = F.when(F.length(digits) > 3, F.substring(digits, 4, 2).cast("int")).otherwise(0)
     size = F.substring(digits, 2, 2).cast("int") * 3600 + minutes * 60
-    numeric = c("_z").rlike(r"^(UTC|GMT)?[+-]\d{2}(:?\d{2})?$")
+    numeric = c("_z").rlike(r"^(UTC|GMT)?[+-]\d{1,2}(:?\d{2})?$")
     offset = (
         F.when(c("_z").isin("Z", "UTC", "GMT"), 0)
         .when(numeric, F.when((minutes < 60) & (size <= 18 * 3600), F.when(F.substring(digits, 1, 1) == "-", -size).otherwise(size)))
         .when(c("_z") != "", F.try_element_at("abbr", c("_z")))
     )
-    zone = F.when(c("_r") == "", c("zone")).when(c("_r").isin("UTC", "GMT", "Etc/UTC"), F.lit("UTC")).otherwise(F.when(c("_r") == c("zone"), c("_r")))
+    zone = F.when(c("_r") == "", c("zone")).otherwise(F.when(c("_r").isin(known_zones(df.sparkSession)), c("_r")))
     stamp = lambda tz: F.unix_micros(F.try_make_timestamp(c("_y"), c("_m"), c("_d"), c("_h"), c("_mi"), sec, tz))
     final = keep[:-2]
     df = _stage(
@@ -129,7 +145,8 @@ def resolve(df: DataFrame, keep: list[str]) -> DataFrame:
         _at=F.when(valid & (c("_z") == "") & zone.isNotNull(), stamp(F.coalesce(zone, F.lit("UTC")))),
     )
     local = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), c("_zone")))
-    moved = (local(c("_at") + 1800000000) == c("_wall")) | (local(c("_at") + 3600000000) == c("_wall"))
+    gained = local(c("_at")) - local(c("_at") + LONGEST_OVERLAP) + LONGEST_OVERLAP  # by a clock that goes back soon after
+    df = _stage(df, [*final, "form", "_o", "_z", "_f", "_number", "_unit", "_off", "_zone", "_wall", "_at"], _gained=gained)
     status = (
         F.when(c("raw").isNull(), None)
         .when(c("form") == "none", "unreadable")
@@ -138,22 +155,24 @@ def resolve(df: DataFrame, keep: list[str]) -> DataFrame:
         .when(c("_off").isNotNull(), "ok")
         .when(c("_zone").isNull(), "no_zone")
         .when(local(c("_at")) != c("_wall"), "never")
-        .when(moved, "twice")
+        .when((c("_gained") > 0) & (local(c("_at") + c("_gained")) == c("_wall")), "twice")
         .otherwise("ok")
     )
     epoch = F.when(is_epoch, F.when(c("_unit") == "s", c("_number") * 1000000 + c("_f")).when(c("_unit") == "ms", c("_number") * 1000).otherwise(c("_number")))
-    df = _stage(df, [*final, "form"], status=status, _us=F.coalesce(epoch, c("_wall") - c("_off") * F.lit(1000000).cast("bigint"), c("_at")))
-    return df.select(*final, "form", "status", F.when(c("status").isin("ok", "twice"), c("_us")).alias("instant_us"))
+    at = c("_at") if twice != "last" else c("_at") + F.when(c("status") == "twice", c("_gained")).otherwise(0)
+    given = ["ok", *(["twice"] if twice != "reject" else []), *(["never"] if never == "forward" else [])]
+    df = _stage(df, [*final, "form", "_at", "_gained"], status=status, _us=F.coalesce(epoch, c("_wall") - c("_off") * F.lit(1000000).cast("bigint")))
+    return df.select(*final, "form", "status", F.when(c("status").isin(given), F.coalesce("_us", at)).alias("instant_us"))
 
 
-def normalise_timestamps(df: DataFrame, id_col: str, fields: list[str], source_col: str, lookup: DataFrame) -> DataFrame:
+def normalise_timestamps(df: DataFrame, id_col: str, fields: list[str], source_col: str, lookup: DataFrame, twice: str = "first", never: str = "reject") -> DataFrame:
     """One row (id, field_name, raw, form, status, instant_us) for each row of df and field.
 
     df: any table with id_col, source_col and the string columns of fields; other columns,
     also ones named like those of lookup, don't matter. lookup: one row a source with columns
     source_col, tz_name, date_order (DMY or MDY; null counts as DMY). A row whose source is null
     or unknown is read without default zone. Null values come out with null form, status and
-    instant; an empty df gives an empty result. Repeated rows come out repeatedly.
+    instant; an empty df gives an empty result. Repeated rows come out repeatedly. twice and never: see resolve.
     """
     zones = with_zone_table(lookup.select(F.col(source_col).alias("_source"), "tz_name", "date_order").dropDuplicates(["_source"]))
     long = df.select(
@@ -161,4 +180,4 @@ def normalise_timestamps(df: DataFrame, id_col: str, fields: list[str], source_c
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("raw")) for f in fields])).alias("_v"),
     ).select(id_col, "_source", "_v.*")
     staged = long.join(zones, "_source", "left").select(id_col, "field_name", "raw", F.col("zone_ok").alias("zone"), F.col("zone_abbr").alias("abbr"), "date_order")
-    return resolve(staged, [id_col, "field_name"]).select(id_col, "field_name", "raw", F.when(F.col("raw").isNotNull(), F.col("form")).alias("form"), "status", "instant_us")
+    return resolve(staged, [id_col, "field_name"], twice, never).select(id_col, "field_name", "raw", F.when(F.col("raw").isNotNull(), F.col("form")).alias("form"), "status", "instant_us")

@@ -1,13 +1,15 @@
 import datetime as dt
 
+import pytest
+
 from terrasieve.functions.timestamps import normalise_timestamps
 
 LOOKUP = [("berlin", "Europe/Berlin", "DMY"), ("ny", "America/New_York", "MDY"), ("lh", "Australia/Lord_Howe", "DMY"), ("odd", "Mars/Base", "DMY"), (None, "UTC", None)]
 
 
-def run(spark, rows):
+def run(spark, rows, **policy):
     df = spark.createDataFrame([(i, s, v, "x") for i, (s, v) in enumerate(rows)], "id long, src string, t string, zone string")
-    out = normalise_timestamps(df, "id", ["t"], "src", spark.createDataFrame(LOOKUP, "src string, tz_name string, date_order string")).collect()
+    out = normalise_timestamps(df, "id", ["t"], "src", spark.createDataFrame(LOOKUP, "src string, tz_name string, date_order string"), **policy).collect()
     return [(r.status, r.instant_us) for r in sorted(out)]
 
 
@@ -45,3 +47,26 @@ def test_no_cases(spark):
 def test_empty_and_repeated(spark):
     assert run(spark, []) == []
     assert run(spark, [("ny", "2017-01-01")] * 3) == [("ok", us(2017, 1, 1, 5))] * 3
+
+
+def test_zones_in_the_value_decide(spark):
+    rows = [("berlin", "2024-01-01T10:00:00[America/New_York]"), ("who", "2024-07-01 10:00 [Asia/Kolkata]"), ("berlin", "2024-01-01T10:00:00[Mars/Base]"), ("ny", "2024-01-01 10:00:00 UTC+2"), ("ny", "2024-01-01 10:00:00 GMT-3:30"), ("ny", "2024-01-01 10:00:00 UTC+02:00"), ("ny", "2024-01-01 10:00:00+5")]
+    assert run(spark, rows) == [("ok", us(2024, 1, 1, 15)), ("ok", us(2024, 7, 1, 4, 30)), ("no_zone", None), ("ok", us(2024, 1, 1, 8)), ("ok", us(2024, 1, 1, 13, 30)), ("ok", us(2024, 1, 1, 8)), ("unreadable", None)]
+
+
+def test_policies(spark):
+    rows = [("berlin", "2017-03-26 02:30:00"), ("berlin", "2017-10-29 02:30:00"), ("lh", "2019-04-07 01:45:00"), ("berlin", "2017-10-29 03:30:00"), ("berlin", "2005-01-01 00:00:00[Antarctica/Troll]")]
+    last = run(spark, rows, twice="last", never="forward")
+    assert last[:4] == [("never", us(2017, 3, 26, 1, 30)), ("twice", us(2017, 10, 29, 1, 30)), ("twice", us(2019, 4, 6, 15, 15)), ("ok", us(2017, 10, 29, 2, 30))]
+    assert [x[1] for x in run(spark, rows, twice="reject")[:3]] == [None] * 3
+    assert run(spark, [("berlin", "2017-10-29 02:00:00[Antarctica/Troll]")]) == [("twice", us(2017, 10, 29, 0, 0))]
+    with pytest.raises(ValueError):
+        run(spark, rows, twice="sometimes")
+
+
+def test_many_sources(spark):
+    """Zones of more than a thousand sources are all known."""
+    zones = ["Europe/Berlin", "Asia/Tokyo", "America/New_York"]
+    lookup = spark.range(3000).selectExpr("concat('s', id) as src", f"array({', '.join(repr(z) for z in zones)})[id % 3] as tz_name", "'DMY' as date_order")
+    df = spark.range(3000).selectExpr("id", "concat('s', id) as src", "'2017-01-01' as t")
+    assert normalise_timestamps(df, "id", ["t"], "src", lookup).where("instant_us is null").count() == 0
