@@ -4,79 +4,84 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasieve.session import cut_lineage
+
 #: Types by rank: a delivery's type is the highest rank of its values; 0: nulls only.
 TYPES = ["null", "boolean", "integer", "double", "string", "array", "object"]
 
 
-def _rank(value) -> int:
-    if value is None:
-        return 0
-    if isinstance(value, bool):
-        return 1
-    return {int: 2, float: 3, str: 4, list: 5}.get(type(value), 6)
+_RANKS = {type(None): 0, bool: 1, int: 2, float: 3, str: 4, list: 5, dict: 6}
+#: Whole numbers only need their type, so that very long ones cost nothing.
+_decode = json.JSONDecoder(parse_int=len).decode
 
 
-def _paths(record: dict, prefix: str = "") -> Iterator[tuple[str, int]]:
+def _paths(record: dict, prefix: tuple = ()) -> Iterator[tuple[tuple, int]]:
     for key, value in record.items():
-        path = prefix + key
-        yield path, _rank(value)
+        path = (*prefix, key)
+        yield path, _RANKS[type(value)]
         if isinstance(value, dict):
-            yield from _paths(value, path + ".")
+            yield from _paths(value, path)
 
 
 def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    types: dict[tuple, int] = {}
-    rows: dict[tuple, int] = defaultdict(int)
-    keys: set[tuple] = set()  # keys of a body itself that look like nested fields
+    shapes: Counter = Counter()  # records by (feed, delivery, keys, types)
+    fields: Counter = Counter()  # fields of nested records by (feed, delivery, path, rank)
     for batch in batches:
         for feed, delivery, body in zip(batch["feed"], batch["delivery_no"], batch["body"]):
             try:
-                record = json.loads(body or "", parse_int=lambda _: 0)
-                fields = list(_paths(record)) if isinstance(record, dict) else []
-            except ValueError:
-                fields = []
-            else:
-                if fields:
-                    keys.update((feed, delivery, key) for key in record if "." in key)
-            rows[feed, delivery, None] += 1
-            types.setdefault((feed, delivery, None), 0)
-            for path, rank in fields:
-                key = feed, delivery, path
-                rows[key] += 1
-                if rank > types.get(key, -1):
-                    types[key] = rank
-        if len(types) > 200_000:  # flush; the shuffled aggregate merges
-            yield _frame(types, rows, keys)
-            types, rows, keys = {}, defaultdict(int), set()
-    yield _frame(types, rows, keys)
-
-
-def _frame(types: dict, rows: dict, keys: set) -> pd.DataFrame:
-    return pd.DataFrame([(f, d, p, t, rows[f, d, p], p is None or "." not in p or (f, d, p) in keys) for (f, d, p), t in types.items()], columns=["feed", "delivery_no", "field_name", "type_rank", "n_rows", "is_key"])
+                record = _decode(body or "")
+            except (ValueError, RecursionError):
+                record = None
+            keys, types = (tuple(record), tuple(map(type, record.values()))) if type(record) is dict else ((), ())
+            if dict in types:
+                fields.update((feed, delivery, path, rank) for path, rank in _paths(record))
+                keys, types = (), ()
+            shapes[feed, delivery, keys, types] += 1
+        if len(shapes) + len(fields) > 100_000:  # flush; the shuffled aggregate merges
+            yield _frame(shapes, fields)
+            shapes, fields = Counter(), Counter()
+    yield _frame(shapes, fields)
+
+
+def _frame(shapes: Counter, fields: Counter) -> pd.DataFrame:
+    found: dict[tuple, list] = {}
+
+    def add(key: tuple, rank: int, n: int) -> None:
+        seen = found.setdefault(key, [rank, 0])
+        seen[0], seen[1] = max(seen[0], rank), seen[1] + n
+
+    for (feed, delivery, keys, types), n in shapes.items():
+        add((feed, delivery, None), 0, n)
+        for key, kind in zip(keys, types):
+            add((feed, delivery, (key,)), _RANKS[kind], n)
+    for (feed, delivery, path, rank), n in fields.items():
+        add((feed, delivery, path), rank, n)
+    rows = [(f, d, p and ".".join(p), p and list(p), rank, n) for (f, d, p), (rank, n) in found.items()]
+    return pd.DataFrame(rows, columns=["feed", "delivery_no", "field_name", "path", "type_rank", "n_rows"])
 
 
 def profile(df: DataFrame, feed_col: str, delivery_col: str, body_col: str) -> DataFrame:
-    """(feed, delivery_no, field_name, type_rank, n_rows, is_key) of every field of every delivery.
+    """(feed, delivery_no, field_name, path, type_rank, n_rows) of every field of every delivery.
 
     Combined in each task before the shuffle, so that a hot feed sends a row per field and task.
     One row with null field_name stands for the delivery itself, also if its bodies are null,
-    unreadable or without fields. Nested fields are dotted paths; is_key: the
-    name is a key of a body itself. Rows without delivery number
+    unreadable or without fields. Nested fields are dotted names; path has the keys one by one,
+    as keys may hold dots too. Rows without delivery number
     belong to no delivery. An empty table gives an empty profile; extra columns are ignored.
     """
     delivery = df.schema[delivery_col].dataType.simpleString()
     rows = df.where(F.col(delivery_col).isNotNull()).select(F.col(feed_col).cast("string").alias("feed"), F.col(delivery_col).alias("delivery_no"), F.col(body_col).alias("body"))
-    part = rows.mapInPandas(_profile, f"feed string, delivery_no {delivery}, field_name string, type_rank int, n_rows long, is_key boolean")
-    return part.groupBy("feed", "delivery_no", "field_name").agg(F.max("type_rank").alias("type_rank"), F.sum("n_rows").alias("n_rows"), F.max("is_key").alias("is_key"))
+    part = rows.mapInPandas(_profile, f"feed string, delivery_no {delivery}, field_name string, path array<string>, type_rank int, n_rows long")
+    return part.groupBy("feed", "delivery_no", "field_name", "path").agg(F.max("type_rank").alias("type_rank"), F.sum("n_rows").alias("n_rows"))
 
 
 def _grams(name: str) -> set[str]:
@@ -203,11 +208,11 @@ def checked_matches(fields: list[tuple[str, str]], targets: list[Target], listed
 def with_canonical_names(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
     """The profile plus canonical_name, matched for each distinct schema by similarity flooding, and rejected.
 
-    Distinct schemas (field names and types) are matched in parallel, each once. The catalog is an
+    The profile, a row per delivery and field, is materialised, so that bodies are parsed once. Distinct schemas (field names and types) are matched in parallel, each once. The catalog is an
     exact check: where it lists a field under another name than the matched one, that one is
     reported in rejected (else null) and the listed name stands.
     """
-    targets = targets_of(catalog)
+    targets, profiled = targets_of(catalog), cut_lineage(profiled)
     listed = {s: t[0] for t in targets for s in t[2]}
 
     def match(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,9 +228,10 @@ def with_canonical_names(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
     text = F.to_json(F.transform(pairs, lambda x: F.array(x["field_name"], x["type_rank"].cast("string"))))
     schemas = named.groupBy("feed", "delivery_no").agg(text.alias("_t"))
     schemas = schemas.withColumn("signature", F.regexp_replace("_t", r',"(\d+)"\]', r",$1]")).drop("_t")
-    # few bytes but much work: a fixed number of partitions, which adaptive execution doesn't merge
+    # few bytes but much work: a given number of partitions, which adaptive execution doesn't merge, by an
+    # expression other than the one that distinct has shuffled by, which would make it keep that shuffle
     parts = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matched = schemas.select("signature").distinct().repartition(parts, "signature").mapInPandas(match, "signature string, field_name string, canonical_name string, rejected string")
+    matched = schemas.select("signature").distinct().repartition(parts, F.xxhash64("signature")).mapInPandas(match, "signature string, field_name string, canonical_name string, rejected string")
     placed = schemas.join(matched, "signature").select("feed", "delivery_no", "field_name", "canonical_name", "rejected")
     left, right = profiled.alias("l"), placed.alias("r")
     same = F.col("l.feed").eqNullSafe(F.col("r.feed")) & (F.col("l.delivery_no") == F.col("r.delivery_no")) & (F.col("l.field_name") == F.col("r.field_name"))
@@ -261,29 +267,43 @@ def changes(seen: DataFrame) -> DataFrame:
     return rows.select("feed", "canonical_name", "field_name", F.explode(found).alias("_c")).select("feed", F.col("_c.d").alias("delivery_no"), "canonical_name", "field_name", "_c.change")
 
 
+def value_at(top: Column, path: Iterable[str]) -> Column:
+    """The text of a body's field, level by level; top is the body as MAP<STRING,VARIANT>, in which decimals keep all digits."""
+    first, *rest = path
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    value = text(top[first])
+    for key in rest:
+        value = text(F.from_json(value, "map<string,variant>")[key])
+    return value
+
+
 def unify(df: DataFrame, keep: list[str], body_col: str, seen: DataFrame, catalog: DataFrame, most: int = 100_000) -> DataFrame:
     """keep, then one column per canonical field, cast to its type, and unfit MAP: texts that don't fit the type.
 
-    Spellings come from the matched profile, as far as they are keys of bodies; more than most are
-    refused. Objects in bodies stay JSON text. Rows whose body is
-    null or unreadable come out with null fields. Where a row writes a field in two ways, the
-    first spelling in alphabetical order that isn't null counts.
+    Spellings come from the matched profile; more than most are refused. Fields in nested
+    objects have columns of their dotted or canonical name, beside the object itself as JSON
+    text; of names that aren't in the catalog, only fields of the body itself get a column, as
+    objects with ids for keys would give one for each. Rows whose body is null or unreadable
+    come out with null fields. Whole numbers may be written with a fraction of zeros. Where a row writes a field in two ways, the first spelling in
+    alphabetical order that isn't null counts.
     """
+    targets = targets_of(catalog)
+    types = {t[0]: {"integer": "bigint", "double": "double", "boolean": "boolean"}.get(t[1], "string") for t in targets}
     spellings: dict[str, set] = defaultdict(set)
-    found = seen.where(F.col("field_name").isNotNull() & F.col("is_key")).select("field_name", "canonical_name").distinct().limit(most + 1).collect()
+    wanted = (F.size("path") == 1) | F.col("canonical_name").isin([*types])
+    found = seen.where(F.col("field_name").isNotNull() & wanted).select("path", "canonical_name").distinct().limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"the deliveries have more than {most} spellings of fields")
-    for name, canonical in found:
-        spellings[canonical].add(name)
-    types = {t[0]: {"integer": "bigint", "double": "double", "boolean": "boolean"}.get(t[1], "string") for t in targets_of(catalog)}
+    for path, canonical in found:
+        spellings[canonical].add(tuple(path))
     for canonical in types:
-        spellings[canonical] |= {canonical}
-    parsed = df.select(*keep, F.from_json(body_col, "map<string,string>").alias("_m"))
+        spellings[canonical] |= {(canonical,)}
+    parsed = df.select(*keep, F.from_json(body_col, "map<string,variant>").alias("_m"))
     columns, unfit = [], []
     for canonical in sorted(spellings):
-        text = F.coalesce(*[F.col("_m")[s] for s in sorted(spellings[canonical])])
+        text = F.coalesce(*[value_at(F.col("_m"), p) for p in sorted(spellings[canonical])])
         kind = types.get(canonical, "string")
-        value = text if kind == "string" else text.try_cast(kind)
+        value = text if kind == "string" else (F.regexp_replace(text, r"\.0+$", "") if kind == "bigint" else text).try_cast(kind)
         columns.append(value.alias(canonical))
         if kind != "string":
             unfit.append(F.when(text.isNotNull() & value.isNull(), F.struct(F.lit(canonical).alias("key"), text.alias("value"))))

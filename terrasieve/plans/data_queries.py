@@ -53,19 +53,83 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("ImageId string, BuildingId int").parquet(f"{folder}/data").where(F.col("BuildingId").isNotNull())
 
 
+def _matched(spark: SparkSession, sf_dir: str, catalog: DataFrame) -> DataFrame:
+    from terrasieve.operators.schema_drift import profile, with_canonical_names
+
+    return with_canonical_names(profile(read_spread(spark, sf_dir, "feed_rows"), "feed", "delivery_no", "body"), catalog)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terrasieve.operators.schema_drift import changes, profile, with_canonical_names
+    from terrasieve.operators.schema_drift import changes
 
-    seen = with_canonical_names(profile(read_spread(spark, sf_dir, "feed_rows"), "feed", "delivery_no", "body"), read(spark, sf_dir, "field_catalog"))
-    return changes(seen).select("feed", "delivery_no", "field_name", "change")
+    return changes(_matched(spark, sf_dir, read(spark, sf_dir, "field_catalog"))).select("feed", "delivery_no", "field_name", "change")
 
 
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows in canonical names and types; values that don't fit their type are kept in unfit."""
-    from terrasieve.operators.schema_drift import profile, unify, with_canonical_names
+    """All rows in canonical names and types; values that don't fit their type are kept in unfit, as name=value."""
+    from terrasieve.operators.schema_drift import unify
 
     rows, catalog = read_spread(spark, sf_dir, "feed_rows"), read(spark, sf_dir, "field_catalog")
-    return unify(rows, ["row_id", "feed", "delivery_no"], "body", with_canonical_names(profile(rows, "feed", "delivery_no", "body"), catalog), catalog)
+    one = unify(rows, ["row_id", "feed", "delivery_no"], "body", _matched(spark, sf_dir, catalog), catalog)
+    text = F.array_join(F.transform(F.map_entries("unfit"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return one.withColumn("unfit", text)
+
+
+def p6_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field name of the deliveries with the canonical name that flooding finds from names and types alone.
+
+    The catalog's other spellings are withheld, so that no name is listed but the canonical ones;
+    a name of which no canonical one is like enough keeps its own.
+    """
+    bare = read(spark, sf_dir, "field_catalog").select(F.col("canonical_name").alias("field_name"), "canonical_name", "canonical_type").distinct()
+    seen = _matched(spark, sf_dir, bare).where(F.col("field_name").isNotNull())
+    return seen.groupBy("field_name", "canonical_name").agg(F.count("*").alias("deliveries"))
+
+
+# The alphabetic abbreviations of the providers' zones with their offset in seconds.
+ABBREVIATIONS = [
+    ("Europe/Berlin", "CET", 3600), ("Europe/Berlin", "CEST", 7200), ("America/New_York", "EST", -18000), ("America/New_York", "EDT", -14400), ("Asia/Kolkata", "IST", 19800), ("Australia/Sydney", "AEST", 36000), ("Australia/Sydney", "AEDT", 39600),
+    ("Europe/Lisbon", "WET", 0), ("Europe/Lisbon", "WEST", 3600), ("Europe/Lisbon", "CET", 3600), ("Europe/Lisbon", "CEST", 7200), ("America/St_Johns", "NST", -12600), ("America/St_Johns", "NDT", -9000), ("America/St_Johns", "NDDT", -5400),
+    ("Asia/Tokyo", "JST", 32400), ("Pacific/Auckland", "NZST", 43200), ("Pacific/Auckland", "NZDT", 46800), ("America/Denver", "MST", -25200), ("America/Denver", "MDT", -21600),
+]
+
+
+def _instants_sql() -> str:
+    """By one form after the other, with the fields named; wall times go through the time zones of the SQL engine."""
+    time = r"(?:(?:[Tt]|\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
+    zone = r"\s*([A-Za-z]{1,5}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?|(?:UTC|GMT)[+-]\d(?::\d{2})?)?\s*(?:\[([A-Za-z_/+0-9-]+)\])?)?$"
+    rest, tail = rf"{time}(?:\s*([AaPp])\.?[Mm]\.?)?{zone}", ["h", "mi", "se", "fr", "half", "z", "region"]
+    forms = [
+        (r"^(\d{4})([-/.])(\d{1,2})([-/.])(\d{1,2})" + rest, ["y", "s1", "m", "s2", "d", *tail], "f.s1 = f.s2", "ymd"),
+        (r"^(\d{4})(\d{2})(\d{2})(?:[Tt ]?(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?" + zone, ["y", "m", "d", "h", "mi", "se", "fr", "z", "region"], "true", "ymd"),
+        (r"^(\d{1,2})(/)(\d{1,2})/(\d{4})" + rest, ["d", "s1", "m", "y", *tail], "true", "?"),
+        (r"^(\d{1,2})(\.)(\d{1,2})\.(\d{4})" + rest, ["d", "s1", "m", "y", *tail], "true", "dmy"),
+        (r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})([-\s/])\s*([A-Za-z]{3,9})\.?([-\s/])\s*(\d{4})(?:,?" + rest[3:], ["d", "s1", "m", "s2", "y", *tail], "f.s1 = f.s2", "dmy"),
+        (r"^(?:[A-Za-z]{3,9},?\s+)?([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})(?:,?" + rest[3:], ["m", "d", "y", *tail], "true", "mdy"),
+    ]
+    one = " UNION ALL BY NAME ".join(
+        f"SELECT feature_id, field_name, tz_name, date_order, {i} AS form, '{order}' AS ord, f.y, f.m, f.d, f.h, f.mi, f.se, f.fr, {'f.half' if 'half' in names else chr(39) * 2} AS half, upper(f.z) AS z, f.region"
+        f" FROM (SELECT *, regexp_extract(s, '{pattern}', {names}) AS f FROM v WHERE NOT regexp_matches(s, '^[0-9]{{10}}([.][0-9]+)?$|^[0-9]{{13}}$|^[0-9]{{16}}$') AND regexp_matches(s, '{pattern}')) WHERE {only}"
+        for i, (pattern, names, only, order) in enumerate(forms)
+    )
+    months = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+    return f"""WITH v AS (SELECT feature_id, field_name, tz_name, date_order, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS s FROM (
+  SELECT feature_id, provider, unnest(['ingest_tim', 'edit_date']) AS field_name, unnest([ingest_tim, edit_date]) AS raw FROM chip_features) LEFT JOIN providers USING (provider) WHERE raw IS NOT NULL),
+p AS (SELECT * FROM ({one}) QUALIFY row_number() OVER (PARTITION BY feature_id, field_name ORDER BY form) = 1),
+n AS (SELECT feature_id, field_name, tz_name, z, region, CAST(y AS INTEGER) AS y, coalesce(try_cast(mm AS INTEGER), list_position({months}, lower(left(mm, 3)))) AS m, CAST(dd AS INTEGER) AS d,
+  CASE WHEN h = '' THEN 0 WHEN half = '' THEN CAST(h AS INTEGER) WHEN CAST(h AS INTEGER) BETWEEN 1 AND 12 THEN CAST(h AS INTEGER) % 12 + CASE WHEN lower(half) = 'p' THEN 12 ELSE 0 END ELSE 99 END AS h,
+  CASE WHEN mi = '' THEN 0 ELSE CAST(mi AS INTEGER) END AS mi, CASE WHEN se = '' THEN 0 ELSE CAST(se AS INTEGER) END AS se, CAST(rpad(left(fr, 6), 6, '0') AS BIGINT) AS us
+  FROM (SELECT *, CASE WHEN ord = '?' AND date_order = 'MDY' THEN d ELSE m END AS mm, CASE WHEN ord = '?' AND date_order = 'MDY' THEN m ELSE d END AS dd FROM p)),
+w AS (SELECT feature_id, field_name, z, coalesce(nullif(region, ''), tz_name) AS tz, tz_name, us, try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, m, d, h, mi, se) AS TIMESTAMP) AS wall FROM n WHERE h < 24 AND mi < 60 AND se < 60 AND y > 0 AND m IS NOT NULL),
+a(tz_name, abbr, secs) AS (VALUES {', '.join(map(repr, ABBREVIATIONS))}),
+o AS (SELECT w.*, CASE WHEN z IN ('Z', 'UTC', 'GMT') THEN 0 WHEN regexp_matches(z, '[+-]') THEN (CASE WHEN contains(z, '-') THEN -1 ELSE 1 END) * (CAST(regexp_extract(z, '[+-]([0-9]{{1,2}})', 1) AS INTEGER) * 3600 + coalesce(try_cast(regexp_extract(z, '[+-][0-9]{{1,2}}:?([0-9]{{2}})', 1) AS INTEGER), 0) * 60) ELSE secs END AS off
+  FROM w LEFT JOIN a ON a.tz_name = w.tz_name AND a.abbr = w.z WHERE wall IS NOT NULL),
+c AS (SELECT *, timezone(tz, wall) AS t FROM o WHERE z = '' AND tz IS NOT NULL),
+l AS (SELECT feature_id, field_name, us, min(e) AS e FROM (SELECT *, unnest([t - INTERVAL 3 HOUR, t - INTERVAL 2 HOUR, t - INTERVAL 1 HOUR, t - INTERVAL 30 MINUTE, t]) AS e FROM c) WHERE timezone(tz, e) = wall GROUP BY ALL)
+SELECT feature_id, field_name, CAST(epoch_us(wall) + us - CAST(off AS BIGINT) * 1000000 AS BIGINT) AS instant_us FROM o WHERE z <> '' AND off IS NOT NULL AND abs(off) <= 64800
+UNION ALL SELECT feature_id, field_name, CAST(epoch_us(e) + us AS BIGINT) FROM l
+UNION ALL SELECT feature_id, field_name, CASE WHEN length(s) = 13 AND s NOT LIKE '%.%' THEN CAST(s AS BIGINT) * 1000 WHEN length(s) = 16 AND s NOT LIKE '%.%' THEN CAST(s AS BIGINT) ELSE CAST(left(s, 10) AS BIGINT) * 1000000 + CAST(rpad(left(substr(s, 12), 6), 6, '0') AS BIGINT) END
+  FROM v WHERE regexp_matches(s, '^[0-9]{{10}}([.][0-9]+)?$|^[0-9]{{13}}$|^[0-9]{{16}}$')"""
 
 
 P5_SQL = """
@@ -101,10 +165,26 @@ UNION ALL SELECT feed, delivery_no, field_name, 'retyped' FROM l WHERE pi = i -
 """
 
 
+# Canonical fields with their type and the names that TESTDATA.md's catalog lists for them.
+FIELDS = {
+    "BuildingId": ("integer", ["BldgId", "BuildingId", "building_id"]), "Confidence": ("double", ["Confidence", "conf"]), "ImageId": ("string", ["ImageId", "image_id", "imageid"]),
+    "PolygonWKT_Geo": ("string", ["PolygonWKT", "PolygonWKT_Geo", "polygonwkt_geo"]), "edit_date": ("string", ["edit_date", "edited"]), "ingest_tim": ("string", ["IngestTime", "ingest_tim", "ingest_time"]),
+    "note": ("string", ["note"]), "partialDec": ("double", ["partialDec"]), "roof": ("string", ["roof"]), "storeys": ("integer", ["storeys"]), "truncated": ("integer", ["truncated"]),
+}
+
+
+def _unified_sql() -> str:
+    value = {"integer": "CASE WHEN regexp_matches({t}, '^-?[0-9]+([.]0+)?$') THEN CAST(regexp_replace({t}, '[.]0+$', '') AS BIGINT) END", "double": "try_cast({t} AS DOUBLE)", "string": "{t}"}
+    texts = ", ".join("coalesce(" + ", ".join(f"""json_extract_string(body, '$."{n}"')""" for n in names) + f') AS "t_{c}"' for c, (_, names) in FIELDS.items())
+    values = ", ".join(value[kind].format(t=f'"t_{c}"') + f' AS "{c}"' for c, (kind, _) in FIELDS.items())
+    odd = ", ".join(f"""CASE WHEN "t_{c}" IS NOT NULL AND {value[kind].format(t=f'"t_{c}"')} IS NULL THEN '{c}=' || "t_{c}" END""" for c, (kind, _) in FIELDS.items() if kind != "string")
+    return f"SELECT row_id, feed, delivery_no, {values}, concat_ws(';', {odd}) AS unfit FROM (SELECT row_id, feed, delivery_no, {texts} FROM feed_rows)"
+
+
 def queries() -> dict:
-    named = (p1_found, p2_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified)
+    named = (p1_found, p2_found, p4_found, p4_loaded, p5_found, p6_found, p6_unified, p6_unlisted)
     return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p2_found": _instants_sql(), "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_unified": _unified_sql()}

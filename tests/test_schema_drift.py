@@ -54,15 +54,38 @@ def test_unify_casts_and_keeps_misfits(spark):
     assert (r.BuildingId, r.Confidence, r.unfit, r.note, len(r.big)) == (12, None, {"Confidence": "high"}, None, 50_000)
 
 
-def test_unify_takes_keys_of_bodies_only_and_refuses_too_many(spark):
+def test_unify_takes_nested_fields_by_their_path_and_refuses_too_many(spark):
     df, catalog, seen = frames(spark, [("a", 1, {"BldgId": 3, "ids": {f"k{i}": i for i in range(30)}}), ("a", 2, {"x.y": 7})])
-    got = unify(df, ["row_id"], "body", seen, catalog, 3)
+    got = unify(df, ["row_id"], "body", seen, catalog, 4)
     assert set(got.columns) == {"row_id", "BuildingId", "Confidence", "ImageId", "note", "ids", "x.y", "unfit"}
     assert {r["x.y"] for r in got.collect()} == {None, "7"}
     with pytest.raises(ValueError, match="more than 2 spellings"):
         unify(df, ["row_id"], "body", seen, catalog, 2)
 
 
+def test_unify_resolves_listed_paths_level_by_level(spark):
+    rows = [("a", 1, {"a": {"b": 5, "c.d": {"e": "x"}}}), ("a", 2, {"a.b": 6}), ("a", 3, {"a": {"b": "wide"}}), ("a", 4, {"a": [1]}), ("a", 5, {"a": None}), ("a", 6, {"a": {"b": 7.0}, "width": 8})]
+    df, _, _ = frames(spark, rows)
+    catalog = spark.createDataFrame([("a.b", "width", "integer"), ("a.c.d.e", "mark", "string")], "field_name string, canonical_name string, canonical_type string")
+    seen = with_canonical_names(profile(df, "feed", "delivery_no", "body"), catalog)
+    got = {r.row_id: (r.width, r.mark, r.unfit) for r in unify(df, ["row_id"], "body", seen, catalog).collect()}
+    assert got == {0: (5, "x", {}), 1: (6, None, {}), 2: (None, None, {"width": "wide"}), 3: (None, None, {}), 4: (None, None, {}), 5: (7, None, {})}
+
+
+def test_profile_of_numbers_nests_and_repeats(spark):
+    rows = [("a", 1, '{"n": ' + "9" * 6000 + ', "x": 1, "x": 2.5}'), ("a", 1, '{"x": 3, "o": {"p": [1], "q": {"r": true}}}'), ("a", 1, "[" * 100_000), ("a", 1, None), ("a", 1, {"x": 3})]
+    df, _, _ = frames(spark, rows)
+    got = {r.field_name: (TYPES[r.type_rank], r.n_rows) for r in profile(df, "feed", "delivery_no", "body").collect()}
+    assert got == {None: ("null", 5), "n": ("integer", 1), "x": ("double", 3), "o": ("object", 1), "o.p": ("array", 1), "o.q": ("object", 1), "o.q.r": ("boolean", 1)}
+
+
+def test_schemas_are_matched_in_more_than_one_task(spark):
+    rows = [(f"f{d}", d, {"BldgId": 1, f"note{d}": "x"}) for d in range(40)]
+    df, catalog, _ = frames(spark, rows)
+    plan = with_canonical_names(profile(df, "feed", "delivery_no", "body"), catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_the_catalog_reports_matches_it_contradicts(monkeypatch):
     targets, listed = [("A", "string", ("A", "a1")), ("B", "string", ("B", "b1"))], {"A": "A", "a1": "A", "B": "B", "b1": "B"}
     assert schema_drift.checked_matches([("a1", "string"), ("B", "string"), ("other", "string")], targets, listed) == [("a1", "A", None), ("B", "B", None), ("other", "other", None)]
