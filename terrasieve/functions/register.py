@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 
 from terrasieve.operators.matching import overlap_area, signed_edges
 from terrasieve.operators.overlay import trapezoid_area, union_trapezoids
-from terrasieve.operators.nearby import rings_of
+from terrasieve.functions.wkt import rings_of
 from terrasieve.operators.raster import regions_of
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.operators.chips import box_join, ordered_index
-from terrasieve.operators.nearby import rings_of
+from terrasieve.functions.wkt import parse_batch
 
 #: Digits to which IoU is rounded, so that equal polygons tie whatever the order of summation.
 IOU_DIGITS = 9
@@ -24,29 +24,19 @@ def edge_lists(wkts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sign: +1 for edges with the interior below, -1 with it above, so that sums of sign times the
     integral under the edges are areas; holes count against their exterior.
     """
-    rings, owner, hole = [], [], []
-    n = 0
-    for wkt in wkts:
-        for part in rings_of(wkt or ""):
-            rings += part
-            owner += [n] * len(part)
-            hole += [False, *[True] * (len(part) - 1)]
-        n += 1
-    if not rings:
-        return np.empty((0, 5)), np.zeros(n, dtype=np.int64)
-    size = np.array([len(r) for r in rings])
-    start = np.cumsum(size) - size
-    p, ring = np.concatenate(rings), np.repeat(np.arange(len(rings)), size)
-    follow = np.arange(1, len(p) + 1)
-    follow[start + size - 1] = start
-    q, origin = p[follow], p[start][ring]
+    r = parse_batch(wkts)
+    if not len(r.size):
+        return np.empty((0, 5)), np.zeros(r.texts, dtype=np.int64)
+    start, ring, hole = r.start, np.repeat(np.arange(len(r.size)), r.size), r.hole
+    p = r.xy
+    q, origin = p[r.follow()], p[start][ring]
     u, v = p - origin, q - origin
     turn = np.sign(np.add.reduceat(u[:, 0] * v[:, 1] - v[:, 0] * u[:, 1], start)) * np.where(hole, -1.0, 1.0)
     back = q[:, 0] < p[:, 0]
     a, b = np.where(back[:, None], q, p), np.where(back[:, None], p, q)
     keep = a[:, 0] < b[:, 0]
     sign = np.where(back, 1.0, -1.0) * turn[ring]
-    return np.column_stack([a, b, sign])[keep], np.bincount(np.array(owner)[ring[keep]], minlength=n)
+    return np.column_stack([a, b, sign])[keep], np.bincount(r.owner[ring[keep]], minlength=r.texts)
 
 
 def signed_edges(wkt: str) -> np.ndarray:

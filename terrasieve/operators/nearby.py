@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -11,10 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrasieve.functions.wkt import parse_batch, rings_of  # noqa: F401
+from terrasieve.session import cut_lineage
+
 EARTH_RADIUS_M = 6_371_008.8
 #: Rows of the sample that places the k-d splits (every row is then routed by them), rows aimed
-#: at in a leaf, most leaves, and rows on either side of one task's block of a fuller leaf.
-SAMPLE_ROWS, LEAF_ROWS, MAX_LEAVES, BLOCK_ROWS = 1 << 19, 4096, 1 << 15, 8192
+#: at in a leaf, most leaves, and rows on either side of one task's block of a fuller leaf. The
+#: leaves of four thousand million places still fit a block each.
+SAMPLE_ROWS, LEAF_ROWS, MAX_LEAVES, BLOCK_ROWS = 1 << 19, 4096, 1 << 17, 32768
+#: Pairs that a task hands over at a time.
+PAIRS_AT_ONCE = 1 << 18
 
 _N = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 POINT_WKT = rf"(?i)^\s*(?:SRID\s*=\s*\d+\s*;\s*)?POINT\s*(?:ZM|Z|M)?\s*\(\s*({_N})\s+({_N})(?:\s+\S+){{0,2}}\s*\)\s*;?\s*$"
@@ -208,16 +213,29 @@ def _parts(counts: dict, kind: str, leaves: int) -> np.ndarray:
     return np.maximum(1, -(-counts.get(kind, np.zeros(leaves, dtype=np.int64)) // BLOCK_ROWS))
 
 
-def near_pairs(points: DataFrame, metres: float, splits: Splits | None = None) -> DataFrame:
-    """(point_id, other_id), point_id < other_id, of all positions at most metres apart on the sphere.
+def places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, members): one row (id, lon, lat, n) for each position, and (place_id, id) of all rows at positions of several.
 
-    points: (id BIGINT, lon, lat). Each position is owned by one leaf of the k-d splits and copied
-    to every leaf within the chord radius (halo), so that each pair is found once, where its
-    smaller id is owned. Leaves with more than BLOCK_ROWS rows, such as a spot with a third of
-    all rows, are worked off in blocks of bounded size. Rows at one place are all paired; an id
-    that occurs twice isn't paired with itself. An empty table gives an empty result.
+    The place's id is the least of its rows'. Counted in the tasks first, so that a spot with a
+    third of all rows is one row a task; its members are never gathered.
     """
-    splits, radius = splits or fit_splits(points, metres), chord(metres)
+    spots = points.where(F.col("id").isNotNull()).groupBy("lon", "lat").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    spots = cut_lineage(spots.select("id", "lon", "lat", "n"))
+    shared = spots.where(F.col("n") > 1).select(F.col("id").alias("place_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    members = points.join(shared, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))).select("place_id", "id")
+    return spots, cut_lineage(members.distinct())
+
+
+def near_places(spots: DataFrame, metres: float, splits: Splits | None = None) -> DataFrame:
+    """(place_id, other_place), place_id < other_place, of all places (id, lon, lat) at most metres apart on the sphere.
+
+    Each place is owned by one leaf of the k-d splits and copied to every leaf within the chord
+    radius (halo), so that each pair is found once, where its smaller id is owned. Leaves with
+    more than BLOCK_ROWS places are worked off in blocks of bounded size, and pairs are handed
+    over in pieces. A leaf that can't be split any more is no wider than eight radii, so that
+    what its blocks send stays far below what they find. No places give no pairs.
+    """
+    splits, radius = splits or fit_splits(spots, metres), chord(metres)
     leaves = 1 << splits.levels
 
     def routed(batch):
@@ -230,7 +248,7 @@ def near_pairs(points: DataFrame, metres: float, splits: Splits | None = None) -
         yield "own", own
         yield "all", leaf
 
-    counts = _leaf_counts(points, kinds, leaves)
+    counts = _leaf_counts(spots.select("lon", "lat"), kinds, leaves)
     own_parts, all_parts = _parts(counts, "own", leaves), _parts(counts, "all", leaves)
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,47 +260,47 @@ def near_pairs(points: DataFrame, metres: float, splits: Splits | None = None) -
                 at = r[k]
                 yield pd.DataFrame({"leaf": place[k], "q": q, "d": d, "query": is_query, "id": ids[at], "x": x[at, 0], "y": x[at, 1], "z": x[at, 2]})
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True)
         xyz, ids, asks = pdf[["x", "y", "z"]].to_numpy(), pdf["id"].to_numpy(), pdf["query"].to_numpy()
         a, b = np.nonzero(asks)[0], np.nonzero(~asks)[0]
-        left, right = [], []
+        left, right, size = [], [], 0
         if len(a) and len(b):
             for i, j in KdTree(xyz[a]).pairs(KdTree(xyz[b]), radius):
                 p, o = ids[a[i]], ids[b[j]]
                 keep = p < o
                 left.append(p[keep]), right.append(o[keep])
-        empty = np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"point_id": np.concatenate([empty, *left]), "other_id": np.concatenate([empty, *right])})
-
-    rows = points.where(F.col("id").isNotNull()).mapInPandas(route, "leaf long, q long, d long, query boolean, id long, x double, y double, z double")
-    return rows.groupBy("leaf", "q", "d").applyInPandas(join, "point_id long, other_id long")
-
-
-_PART = re.compile(r"\(((?:\s*\([^()]*\)\s*,?)+)\)")
-_RING = re.compile(r"\(([^()]*)\)")
-
-
-def rings_of(wkt: str) -> list[list[np.ndarray]]:
-    """The parts of a POLYGON or MULTIPOLYGON text, each a list of rings of (x, y); [] if it has none."""
-    if not wkt or "POLYGON" not in wkt[:40].upper():
-        return []
-    parts = []
-    for body in _PART.findall(wkt):
-        rings = []
-        for ring in _RING.findall(body):
-            n, numbers = ring.count(",") + 1, ring.replace(",", " ").split()
-            try:
-                if len(numbers) == 2 * n:
-                    points = np.array([*map(float, numbers)]).reshape(n, 2)
-                else:  # heights, or not a ring of positions
-                    points = np.array([[float(v) for v in p.split()[:2]] for p in ring.split(",")])
-            except ValueError:
-                return []
-            if points.ndim != 2 or points.shape[1] != 2 or len(points) < 3 or not np.isfinite(points).all():
-                return []
-            rings.append(points)
-        parts.append(rings)
-    return parts
+                size += len(left[-1])
+                if size >= PAIRS_AT_ONCE:
+                    yield pd.DataFrame({"place_id": np.concatenate(left), "other_place": np.concatenate(right)})
+                    left, right, size = [], [], 0
+        if size:
+            yield pd.DataFrame({"place_id": np.concatenate(left), "other_place": np.concatenate(right)})
+
+    rows = spots.select("id", "lon", "lat").mapInPandas(route, "leaf long, q long, d long, query boolean, id long, x double, y double, z double")
+    return rows.groupBy("leaf", "q", "d").applyInPandas(join, "place_id long, other_place long")
+
+
+def with_members(pairs: DataFrame, place_col: str, members: DataFrame, id_col: str) -> DataFrame:
+    """pairs with one row for each member of the place, its id as id_col; places of one row are their own member."""
+    m = members.select(F.col("place_id").alias("_place"), F.col("id").alias("_member"))
+    rows = pairs.join(m, F.col(place_col) == F.col("_place"), "left")
+    return rows.withColumn(id_col, F.coalesce("_member", place_col)).drop("_place", "_member")
+
+
+def near_pairs(points: DataFrame, metres: float, splits: Splits | None = None, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(point_id, other_id), point_id < other_id, of all positions at most metres apart on the sphere.
+
+    points: (id BIGINT, lon, lat); known: places(points), if they are at hand. Rows at one place
+    are all paired, after the places have been: where that is too much, near_places and members
+    say the same. An id that occurs twice isn't paired with itself; rows without id take no
+    part. An empty table gives an empty result.
+    """
+    spots, members = known or places(points)
+    pairs = with_members(with_members(near_places(spots, metres, splits), "place_id", members, "_a"), "other_place", members, "_b")
+    a, b = members.alias("a"), members.alias("b")
+    same = a.join(b, (F.col("a.place_id") == F.col("b.place_id")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("point_id"), F.col("b.id").alias("other_id"))
+    return pairs.select(F.least("_a", "_b").alias("point_id"), F.greatest("_a", "_b").alias("other_id")).where("point_id < other_id").unionByName(same)
 
 
 def regions(df: DataFrame, id_col: str, geo_col: str, pix_col: str, image_col: str, chips: DataFrame, chip_image_col: str = "imageId") -> DataFrame:
@@ -290,8 +308,9 @@ def regions(df: DataFrame, id_col: str, geo_col: str, pix_col: str, image_col: s
 
     geo_col counts; where it is null, blank or EMPTY, pix_col (column, row) taken to degrees by
     the affine tr_a..tr_f of the row's chip. Texts that are no polygons give no row. coords holds
-    x and y in turns, longitudes without a jump at 180 degrees; ends the rings' ends in points.
+    x and y in turns, longitudes without a jump at 180 degrees; ends the rings' ends in points. Rows without id take no part.
     """
+    df = df.where(F.col(id_col).isNotNull())
     absent = F.col(geo_col).isNull() | F.col(geo_col).rlike(r"(?i)^\s*$|EMPTY\s*$")
     tr = [f"tr_{c}" for c in "abcdef"]
     names = ["id", "wkt", *tr]
@@ -301,39 +320,47 @@ def regions(df: DataFrame, id_col: str, geo_col: str, pix_col: str, image_col: s
 
     def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, wkt, *t in batch[names].itertuples(index=False, name=None):
-                for part, rings in enumerate(rings_of(wkt)):
-                    xy = np.concatenate(rings)
-                    if not np.isnan(t[0]):
-                        xy = np.column_stack([t[0] * xy[:, 0] + t[1] * xy[:, 1] + t[2], t[3] * xy[:, 0] + t[4] * xy[:, 1] + t[5]])
-                    x = xy[0, 0] + (xy[:, 0] - xy[0, 0] + 180) % 360 - 180
-                    xy = np.column_stack([x - 360 * np.floor((x.min() + 180) / 360), xy[:, 1]])
-                    out.append((key, part, xy.ravel(), np.cumsum([len(r) for r in rings])))
-            yield pd.DataFrame(out, columns=["id", "part", "coords", "ends"])
+            r = parse_batch(batch["wkt"])
+            if not len(r.size):
+                continue
+            first = ~r.hole  # rings that begin a part
+            text = np.repeat(r.owner, r.size)
+            a, b, c, d, e, f = batch[tr].to_numpy(float)[text].T
+            x, y = r.xy.T
+            x, y = np.where(np.isnan(a), x, a * x + b * y + c), np.where(np.isnan(a), y, d * x + e * y + f)
+            part, begin = np.repeat(np.cumsum(first) - 1, r.size), r.start[first]
+            x = x[begin][part] + (x - x[begin][part] + 180) % 360 - 180
+            x = x - 360 * np.floor((np.minimum.reduceat(x, begin) + 180) / 360)[part]
+            stops = np.cumsum(r.size)
+            ring_part = np.cumsum(first) - 1
+            ends = np.split(stops - begin[ring_part], np.nonzero(first)[0][1:])
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[r.owner[first]], "part": r.part[first], "coords": np.split(np.column_stack([x, y]).ravel(), 2 * begin[1:]), "ends": ends})
 
     return geo.unionByName(pix).mapInPandas(parse, "id long, part int, coords array<double>, ends array<int>")
 
 
 def _edges(ids, coords, ends) -> tuple[np.ndarray, ...]:
     """x1, y1, x2, y2, region of all edges, left to right; regions that reach 180 degrees are also taken 360 degrees west."""
-    parts = []
-    for k, (xy, stops) in enumerate(zip(coords, ends)):
-        p = np.asarray(xy, dtype=float).reshape(-1, 2)
-        start = 0
-        for stop in stops:
-            ring = p[start:stop]
-            start = stop
-            nxt = np.roll(ring, -1, axis=0)
-            parts.append(np.column_stack([ring, nxt, np.full(len(ring), k)]))
-            if ring[:, 0].max() >= 180:
-                parts.append(parts[-1] - np.array([360.0, 0, 360.0, 0, 0]))
-    e = np.concatenate(parts)
+    p = np.concatenate([np.asarray(c, dtype=float) for c in coords]).reshape(-1, 2)
+    rings = np.array([len(e) for e in ends], dtype=np.int64)
+    points = np.array([len(c) // 2 for c in coords], dtype=np.int64)
+    owner = np.repeat(np.arange(len(ends)), rings)
+    stop = np.concatenate([np.asarray(e, dtype=np.int64) for e in ends]) + (np.cumsum(points) - points)[owner]
+    start = np.append(0, stop[:-1])
+    follow = np.arange(1, len(p) + 1)
+    follow[stop - 1] = start
+    region = np.repeat(np.arange(len(points)), points)
+    e = np.column_stack([p, p[follow]])
+    west = np.maximum.reduceat(p[:, 0], start) >= 180
+    again = np.repeat(west, stop - start)
+    e, region = np.concatenate([e, e[again] - np.array([360.0, 0, 360.0, 0])]), np.concatenate([region, region[again]])
     swap = e[:, 0] > e[:, 2]
-    e[swap] = e[swap][:, [2, 3, 0, 1, 4]]
-    e = e[e[:, 0] < e[:, 2]]  # vertical edges don't count
-    e = e[np.argsort(e[:, 0], kind="stable")]
-    return e[:, 0], e[:, 1], e[:, 2], e[:, 3], e[:, 4].astype(np.int64)
+    e[swap] = e[swap][:, [2, 3, 0, 1]]
+    keep = e[:, 0] < e[:, 2]  # vertical edges don't count
+    e, region = e[keep], region[keep]
+    order = np.argsort(e[:, 0], kind="stable")
+    e = e[order]
+    return e[:, 0], e[:, 1], e[:, 2], e[:, 3], region[order]
 
 
 def sweep(px: np.ndarray, py: np.ndarray, ids, coords, ends, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:

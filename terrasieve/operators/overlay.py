@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.operators.nearby import rings_of
+from terrasieve.functions.wkt import rings_of
 
 
 def _edges(polygons: list[list[np.ndarray]]) -> np.ndarray:

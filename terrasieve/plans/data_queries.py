@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasieve.plans.registry import POINTS_SQL, vertices_sql
 from terrasieve.session import cut_lineage, read, read_spread
 
 
@@ -13,14 +14,15 @@ NEAR_M = 10.0
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terrasieve.operators.nearby import fit_splits, inside_pairs, near_pairs, positions, regions
+    from terrasieve.operators.nearby import fit_splits, inside_pairs, near_pairs, places, positions, regions, with_members
 
-    points = cut_lineage(positions(read_spread(spark, sf_dir, "scene_points"), "point_id", "geometry"))  # read several times
-    areas = cut_lineage(regions(read_spread(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips")))
-    splits = fit_splits(points, NEAR_M)
-    near = near_pairs(points, NEAR_M, splits).select(F.lit("near").alias("relation"), "point_id", "other_id")
-    inside = inside_pairs(points, areas, splits).select(F.lit("inside").alias("relation"), "point_id", "other_id")
-    return near.unionByName(inside)
+    points = positions(read_spread(spark, sf_dir, "scene_points"), "point_id", "geometry")
+    areas = cut_lineage(regions(read_spread(spark, sf_dir, "footprints"), "footprint_id", "PolygonWKT_Geo", "PolygonWKT_Pix", "ImageId", read(spark, sf_dir, "chips")))  # read several times
+    spots, members = places(points)
+    splits = fit_splits(spots, NEAR_M)
+    near = near_pairs(points, NEAR_M, splits, (spots, members)).select(F.lit("near").alias("relation"), "point_id", "other_id")
+    inside = with_members(inside_pairs(spots, areas, splits), "point_id", members, "_member_id")
+    return near.unionByName(inside.select(F.lit("inside").alias("relation"), F.col("_member_id").alias("point_id"), "other_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,23 @@ def p6_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("field_name", "canonical_name").agg(F.count("*").alias("deliveries"))
 
 
+P1_SQL = f"""
+WITH {POINTS_SQL}, fp AS (SELECT footprint_id, ImageId, coalesce(trim(PolygonWKT_Geo), '') = '' OR PolygonWKT_Geo ILIKE '%EMPTY%' AS pix, CASE WHEN pix THEN PolygonWKT_Pix ELSE PolygonWKT_Geo END AS wkt FROM footprints),
+{vertices_sql("f", "fp", "footprint_id", "ImageId", "wkt", "true")},
+deg AS (SELECT f_v.id, part, ring, k, x, y FROM f_v JOIN fp ON footprint_id = f_v.id WHERE NOT pix
+  UNION ALL SELECT f_v.id, part, ring, k, tr_a * x + tr_b * y + tr_c, tr_d * x + tr_e * y + tr_f FROM f_v JOIN fp ON footprint_id = f_v.id JOIN chips ON chips.imageId = fp.ImageId WHERE pix),
+flat AS (SELECT id, part, ring, k, x0 + (x - x0 + 180) - 360 * floor((x - x0 + 180) / 360) - 180 AS x, y FROM (SELECT *, first_value(x) OVER (PARTITION BY id, part ORDER BY ring, k) AS x0 FROM deg)),
+seg AS (SELECT * FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM flat WINDOW w AS (PARTITION BY id, part, ring ORDER BY k)) WHERE x2 IS NOT NULL),
+box AS (SELECT id, part, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM flat GROUP BY id, part),
+lons AS (SELECT point_id, lat, lon + turn AS lon FROM pt, (VALUES (-720), (-360), (0), (360), (720)) t(turn)),
+may AS (SELECT point_id, lon, lat, id, part FROM lons JOIN box ON lat BETWEEN ymin AND ymax AND lon BETWEEN xmin AND xmax),
+hit AS (SELECT point_id, id FROM may JOIN seg USING (id, part) WHERE (y > lat) <> (y2 > lat) AND lon < x + (lat - y) * (x2 - x) / (y2 - y) GROUP BY point_id, lon, id, part HAVING count(*) % 2 = 1),
+far AS (SELECT *, CAST(floor(lat * 1000) AS BIGINT) AS c FROM pt)
+SELECT 'inside' AS relation, point_id, id AS other_id FROM (SELECT DISTINCT point_id, id FROM hit)
+UNION ALL SELECT 'near', a.point_id, b.point_id FROM far a JOIN (SELECT *, c + unnest([-1, 0, 1]) AS d FROM far) b ON a.c = b.d AND a.point_id < b.point_id
+  WHERE 2 * 6371008.8 * asin(least(1, sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= {NEAR_M}
+"""
+
 # The alphabetic abbreviations of the providers' zones with their offset in seconds.
 ABBREVIATIONS = [
     ("Europe/Berlin", "CET", 3600), ("Europe/Berlin", "CEST", 7200), ("America/New_York", "EST", -18000), ("America/New_York", "EDT", -14400), ("Asia/Kolkata", "IST", 19800), ("Australia/Sydney", "AEST", 36000), ("Australia/Sydney", "AEDT", 39600),
@@ -187,4 +206,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _instants_sql(), "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_unified": _unified_sql()}
+    return {"p1_found": P1_SQL, "p2_found": _instants_sql(), "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_unified": _unified_sql()}

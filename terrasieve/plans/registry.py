@@ -17,6 +17,12 @@ class Registry:
         return add
 
 
+# Fixed SQL text: positions of scene_points as pt (point_id, lon, lat).
+POINTS_SQL = r"""pt AS (SELECT point_id, x - 360 * floor((x + 180) / 360) AS lon, y AS lat FROM (
+  SELECT point_id, try_cast(regexp_extract(geometry, '(?i)(?:point\s*z?\s*\(\s*|\[\s*)(-?[0-9.]+)[\s,]+(-?[0-9.]+)', 1) AS DOUBLE) AS x,
+    try_cast(regexp_extract(geometry, '(?i)(?:point\s*z?\s*\(\s*|\[\s*)(-?[0-9.]+)[\s,]+(-?[0-9.]+)', 2) AS DOUBLE) AS y FROM scene_points) WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
 # Fixed SQL text: splitting of WKT into polygons, rings and positions.
 def vertices_sql(name: str, table: str, key: str, image: str, wkt: str, where: str) -> str:
     """CTEs name_v (id, image, part, ring, k, x, y) and name_s (segments x1, y1, x2, y2) of a table's polygons."""

@@ -11,6 +11,7 @@ from terrasieve.operators import matching as M
 from terrasieve.operators import overlay as O
 from terrasieve.operators import tables as T
 from terrasieve.operators.nearby import positions
+from terrasieve.plans.registry import POINTS_SQL as _POINTS_SQL
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
 from terrasieve.session import read, read_spread
 from terrasieve.sources import geojson as G
@@ -131,9 +132,6 @@ def a12_line_labels(spark, sf_dir):
     return rows.select("footprint_id", R("l.length", 4).alias("length"), R("l.width", 4).alias("width"), R("l.aspect", 3).alias("aspect"), R("l.compass", 3).alias("compass"), R(geom.area(F.array(F.array("l.ring"))), 6).alias("area"))
 
 
-_POINTS_SQL = r"""pt AS (SELECT point_id, x - 360 * floor((x + 180) / 360) AS lon, y AS lat FROM (
-  SELECT point_id, try_cast(regexp_extract(geometry, '(?i)(?:point\s*z?\s*\(\s*|\[\s*)(-?[0-9.]+)[\s,]+(-?[0-9.]+)', 1) AS DOUBLE) AS x,
-    try_cast(regexp_extract(geometry, '(?i)(?:point\s*z?\s*\(\s*|\[\s*)(-?[0-9.]+)[\s,]+(-?[0-9.]+)', 2) AS DOUBLE) AS y FROM scene_points) WHERE x IS NOT NULL AND y IS NOT NULL)"""
 _UTM = crs.forward_sql("lon", "lat", "zone")
 
 

@@ -47,6 +47,23 @@ def test_empty_and_repeated(spark):
     assert {tuple(r) for r in N.near_pairs(twice, 10.0).collect()} == {(1, 2)}
 
 
+def test_very_many_rows_at_one_spot(spark, monkeypatch):
+    """A spot of 200,000 rows is one place; its pairs with others come once, and members name its rows."""
+    df = spark.range(200_000).selectExpr("id + 10 as id", "double(5) as lon", "double(5) as lat").unionByName(frame(spark, np.array([[1, 5.00001, 5.0], [2, 5.00002, 5.0], [3, 6.0, 5.0]])))
+    spots, members = N.places(df)
+    assert spots.count() == 4 and members.count() == 200_000 and members.select("place_id").distinct().count() == 1
+    assert {tuple(r) for r in N.near_places(spots, 10.0).collect()} == {(1, 2), (1, 10), (2, 10)}
+    pairs = N.with_members(N.near_places(spots, 10.0), "other_place", members, "member")
+    assert pairs.count() == 400_001
+
+
+def test_pairs_are_handed_over_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIRS_AT_ONCE", 7)
+    pts = points(300)
+    got = [tuple(r) for r in N.near_pairs(frame(spark, pts), 10.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(pts, 10.0)
+
+
 def test_regions_and_inside(spark, monkeypatch):
     square = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"
     foot = [
