@@ -40,12 +40,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid lines' typed records."""
+    """The valid lines' typed records; others: columns of other names, and BuildingIds beyond BIGINT, as name=value."""
     from terrasieve.sources.summary_csv import load_lines
 
     lines = load_lines(read_spread(spark, sf_dir, "raw_rows"), "line_id", "header_line", "line_text")
     columns = [F.col("geometries")[g].alias(g) for g in ("PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT")]
-    return lines.where(F.col("reason").isNull()).select("line_id", F.col("image_id").alias("ImageId"), F.col("building_id").alias("BuildingId"), *columns, F.col("confidence").alias("Confidence"))
+    return lines.where(F.col("reason").isNull()).select("line_id", F.col("image_id").alias("ImageId"), F.col("building_id").alias("BuildingId"), *columns, F.col("confidence").alias("Confidence"), F.array_join(F.array_sort(F.transform(F.map_entries("others"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("others"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,31 @@ UNION ALL SELECT feature_id, field_name, CASE WHEN length(s) = 13 AND s NOT LIKE
   FROM v WHERE regexp_matches(s, '^[0-9]{{10}}([.][0-9]+)?$|^[0-9]{{13}}$|^[0-9]{{16}}$')"""
 
 
+def _lines_sql(select: str) -> str:
+    """CTEs that end in checked (line_id, the fields by the header's names, reason)."""
+    number = r"[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?"
+    position = rf"{number}\s+{number}(\s+{number})?"
+    ring = rf"\(\s*{position}(\s*,\s*{position}){{3,}}\s*\)"
+    polygon = rf"\(\s*{ring}(\s*,\s*{ring})*\s*\)"
+    geometry = rf"(?i)\s*(POLYGON(\s*Z)?\s*(EMPTY|{polygon})|MULTIPOLYGON(\s*Z)?\s*(EMPTY|\(\s*{polygon}(\s*,\s*{polygon})*\s*\)))\s*"
+    field = '("([^"]|"")*"|[^",]*)'
+    named = lambda n: f"w[list_position(names, '{n}')]"
+    doubles = lambda p: f"list_transform(regexp_split_to_array(trim({p}, E' \\t\\r\\n'), '\\s+'), lambda x: try_cast(ltrim(x, '+') AS DOUBLE))"
+    closed = f"{doubles('string_split(r, chr(44))[1]')} = {doubles('string_split(r, chr(44))[-1]')} AND list_bool_and(list_transform({doubles("replace(r, ',', ' ')")}, lambda v: coalesce(isfinite(v), false)))"
+    wrong = lambda g: f"({g} IS NOT NULL AND NOT (regexp_full_match({g}, '{geometry}') AND coalesce(list_bool_and(list_transform(regexp_extract_all({g}, '\\(([^()]+)\\)', 1), lambda r: {closed})), true)))"
+    geo = ["PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT"]
+    return f"""WITH l AS (SELECT line_id, string_split(header_line, ',') AS names, coalesce(line_text, '') AS t, regexp_extract_all(',' || t, '(?s),{field}', 1) AS raw FROM raw_rows),
+f AS (SELECT line_id, names, t, raw, list_transform(raw, lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS w FROM l),
+n AS (SELECT *, {named("ImageId")} AS img, {named("BuildingId")} AS bid, {named("Confidence")} AS conf, {", ".join(f'{named(g)} AS "{g}"' for g in geo)} FROM f),
+checked AS (SELECT *, CASE WHEN NOT regexp_full_match(t, '(?s){field}(,{field})*') THEN 'quoting' WHEN len(raw) <> len(names) THEN 'column_count'
+  WHEN img = '' OR NOT regexp_full_match(bid, '-?[0-9]+') OR NOT coalesce(regexp_full_match(conf, '{number}') AND isfinite(try_cast(ltrim(conf, '+') AS DOUBLE)), conf IS NULL) OR {" OR ".join(wrong(f'"{g}"') for g in geo)} THEN 'value' END AS reason FROM n)
+{select}"""
+
+
+P4_SQL = _lines_sql("SELECT line_id, reason FROM checked WHERE reason IS NOT NULL")
+P4_LOADED_SQL = _lines_sql("""SELECT line_id, img AS ImageId, try_cast(bid AS BIGINT) AS BuildingId, "PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT", CAST(ltrim(conf, '+') AS DOUBLE) AS Confidence,
+  CASE WHEN try_cast(bid AS BIGINT) IS NULL THEN 'BuildingId=' || bid ELSE '' END AS others FROM checked WHERE reason IS NULL""")
+
 P5_SQL = """
 SELECT DISTINCT coalesce(json_extract_string(f, '$.properties.ImageId'), imageId) AS ImageId,
   CAST(json_extract_string(f, '$.properties.BuildingId') AS INTEGER) AS BuildingId
@@ -206,4 +231,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": _instants_sql(), "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_unified": _unified_sql()}
+    return {"p1_found": P1_SQL, "p2_found": _instants_sql(), "p4_found": P4_SQL, "p4_loaded": P4_LOADED_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_unified": _unified_sql()}

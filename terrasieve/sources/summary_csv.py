@@ -18,10 +18,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from fnmatch import fnmatch
+from functools import lru_cache
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 GEOMETRY_COLUMNS = ("PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT")
 
@@ -34,6 +38,7 @@ _OPEN, _CLOSE, _COMMA = (re.compile(rf"\s*{x}\s*") for x in (r"\(", r"\)", ","))
 _QUOTED = re.compile(r'"((?:[^"]|"")*+)"')
 _BARE = re.compile(r'[^,"]*')
 _BARE_LINE = re.compile(r'[^,"\r\n]*')
+_BREAK = re.compile(r"\r\n|\n|\r")
 _INTEGER = re.compile(r"-?[0-9]+")
 _DECIMAL = re.compile(_NUM, re.ASCII)
 _ANCHOR = re.compile(r'(?:"(?:[^"\n]|"")*"|[^",\n]+),"?-?\d+"?,', re.ASCII)
@@ -47,29 +52,29 @@ class Fault(Exception):
         self.reason, self.at, self.detail = reason, at, detail
 
 
-def parse_record(text: str, at: int = 0, multiline: bool = False) -> tuple[list[tuple[str, int]], int]:
-    """The fields (value, offset) from at, and the offset after them; Fault('quoting') if quotes break."""
-    fields, size = [], len(text)
+def parse_record(text: str, at: int = 0, multiline: bool = False, end: int | None = None) -> tuple[list[tuple[str, int]], int]:
+    """The fields (value, offset) from at, up to end, and the offset after them; Fault('quoting') if quotes break."""
+    fields, size = [], len(text) if end is None else end
     bare = _BARE_LINE if multiline else _BARE
     while True:
-        if text.startswith('"', at):
-            m = _QUOTED.match(text, at)
+        if text.startswith('"', at, size):
+            m = _QUOTED.match(text, at, size)
             if not m:
                 raise Fault("quoting", at, "quote isn't closed")
-            end = m.end()
-            if end < size and text[end] != "," and not (multiline and text[end] in "\r\n"):
-                raise Fault("quoting", end, "text after a closing quote")
+            stop = m.end()
+            if stop < size and text[stop] != "," and not (multiline and text[stop] in "\r\n"):
+                raise Fault("quoting", stop, "text after a closing quote")
             fields.append((m[1].replace('""', '"'), at + 1))
         else:
-            m = bare.match(text, at)
-            end = m.end()
-            if end < size and text[end] == '"':
-                raise Fault("quoting", end, "quote inside an unquoted field")
+            m = bare.match(text, at, size)
+            stop = m.end()
+            if stop < size and text[stop] == '"':
+                raise Fault("quoting", stop, "quote inside an unquoted field")
             fields.append((m[0], at))
-        if end < size and text[end] == ",":
-            at = end + 1
+        if stop < size and text[stop] == ",":
+            at = stop + 1
         else:
-            return fields, end
+            return fields, stop
 
 
 def _ring(text: str, at: int) -> int:
@@ -123,7 +128,7 @@ def check_fields(fields: list[tuple[str, int]], header: list[str]) -> dict:
     """The typed record; Fault if the columns' number or a value is wrong."""
     if len(fields) != len(header):
         raise Fault("column_count", fields[-1][1], f"{len(fields)} columns, the header has {len(header)}")
-    out = {"image_id": None, "building_id": None, "confidence": None, "geometries": {}}
+    out = {"image_id": None, "building_id": None, "confidence": None, "geometries": {}, "others": {}}
     for name, (value, at) in zip(header, fields):
         if name == "ImageId":
             if not value:
@@ -133,7 +138,10 @@ def check_fields(fields: list[tuple[str, int]], header: list[str]) -> dict:
             if not _INTEGER.fullmatch(value):
                 raise Fault("value", at, "BuildingId isn't an integer")
             number = int(value) if len(value) < 20 else None
-            out["building_id"] = number if number is not None and -(2**63) <= number < 2**63 else None
+            if number is not None and -(2**63) <= number < 2**63:
+                out["building_id"] = number
+            else:
+                out["others"][name] = value
         elif name == "Confidence":
             if not _DECIMAL.fullmatch(value) or not math.isfinite(float(value)):
                 raise Fault("value", at, "Confidence isn't a finite decimal number")
@@ -144,6 +152,8 @@ def check_fields(fields: list[tuple[str, int]], header: list[str]) -> dict:
             except Fault as f:
                 raise Fault("value", at + f.at, f"{name}: {f.detail}") from None
             out["geometries"][name] = value
+        else:
+            out["others"][name] = value
     return out
 
 
@@ -154,29 +164,31 @@ def header_columns(line: str | None) -> list[str]:
         return [x.strip('"') for x in (line or "").split(",")]
 
 
-def parse_file(text: str) -> Iterator[dict]:
-    """Records and errors of a whole file: dicts of line_no, text, record (or None) and fault (or None).
+#: A piece of a text: where it starts and ends, its record or its fault.
+Piece = tuple[int, int, dict | None, Fault | None]
+
+
+def recover(text: str, header: list[str], at: int = 0, starts: list[tuple[int, int]] | None = None) -> Iterator[Piece]:
+    """All records of a text, each parsed or with its fault; after a fault parsing resumes at the next validated record start.
 
-    The first line is the header. Quoted fields may hold line breaks. After a broken quote
-    parsing resumes at the next validated record start; the skipped text belongs to the fault.
+    starts: (start, end) of each record where they are known, as for lines that come one by one;
+    each is validated by that. Else records begin at lines; quoted fields may hold line breaks,
+    and after a broken quote a line counts as a record's start if it begins like one and parses
+    with the header's number of columns. The text that is skipped belongs to the fault's piece.
     """
-    lines = [0, *(m.end() for m in re.finditer(r"\r\n|\n|\r", text))]
-    if not text:
+    if starts is not None:
+        for start, end in starts:
+            try:
+                yield start, end, check_fields(parse_record(text, start, end=end)[0], header), None
+            except Fault as f:
+                yield start, end, None, f
         return
+    lines = [at, *(m.end() for m in _BREAK.finditer(text, at))]
+    if lines[-1] == len(text):
+        lines.pop()
     ends = [*lines[1:], len(text)]
-    strip = lambda i: text[lines[i] : ends[i]].rstrip("\r\n")
-    header = header_columns(strip(0))
-    i = 1
-
-    def starts(k: int) -> bool:
-        if not _ANCHOR.match(text, lines[k]):
-            return False
-        try:
-            return len(parse_record(text, lines[k], True)[0]) == len(header)
-        except Fault:
-            return False
-
-    while i < len(lines) and lines[i] < len(text):
+    i = 0
+    while i < len(lines):
         record = fault = None
         follow = i + 1
         try:
@@ -188,44 +200,76 @@ def parse_file(text: str) -> Iterator[dict]:
             fault = f
             if f.reason == "quoting":
                 follow = i + 1
-                if not starts_line_closed(text, lines[i], ends[i]):
-                    while follow < len(lines) and lines[follow] < len(text) and not starts(follow):
+                if text.count('"', lines[i], ends[i]) % 2:  # else the line's quotes are balanced and its fault can't reach into the next
+                    while follow < len(lines) and not starts_record(text, lines[follow], header):
                         follow += 1
-        yield {"line_no": i + 1, "text": text[lines[i] : ends[follow - 1]].rstrip("\r\n"), "record": record, "fault": fault}
+        yield lines[i], ends[follow - 1], record, fault
         i = follow
 
 
-def starts_line_closed(text: str, start: int, end: int) -> bool:
-    """Whether the line's quotes are balanced, so that its fault can't reach into the next line."""
-    return text.count('"', start, end) % 2 == 0
+def starts_record(text: str, at: int, header: list[str]) -> bool:
+    """Whether the line at this offset is a validated record start."""
+    if not _ANCHOR.match(text, at):
+        return False
+    try:
+        return len(parse_record(text, at, True)[0]) == len(header)
+    except Fault:
+        return False
+
+
+def parse_file(text: str) -> Iterator[dict]:
+    """Records and errors of a whole file, its first line the header: dicts of line_no, text, record (or None) and fault (or None)."""
+    first = _BREAK.search(text)
+    header = header_columns(text[: first.start()] if first else text)
+    at = line = first.end() if first else len(text)
+    number = 2
+    for start, end, record, fault in recover(text, header, at) if text else ():
+        number += len(_BREAK.findall(text, line, start))
+        line = start
+        yield {"line_no": number, "text": text[start:end].rstrip("\r\n"), "record": record, "fault": fault}
 
 
-SCHEMA = "image_id string, building_id bigint, confidence double, geometries map<string,string>, reason string, error_at int, error_detail string"
+SCHEMA = "image_id string, building_id bigint, confidence double, geometries map<string,string>, others map<string,string>, reason string, error_at int, error_detail string"
+
+
+def _values(start: int, record: dict | None, fault: Fault | None) -> tuple:
+    """The columns of SCHEMA; offsets count from the record's start."""
+    if record is not None:
+        return record["image_id"], record["building_id"], record["confidence"], record["geometries"], record["others"], None, None, None
+    return None, None, None, None, None, fault.reason, fault.at - start, fault.detail
+
+
+_COLUMNS = ["image_id", "building_id", "confidence", "geometries", "others", "reason", "error_at", "error_detail"]
 
 
 def _classify(batches: Iterable[pd.DataFrame], id_col: str) -> Iterator[pd.DataFrame]:
-    headers: dict[str | None, list[str]] = {}
+    columns = lru_cache(maxsize=1024)(header_columns)
     for batch in batches:
-        rows = []
-        for key, head, line in zip(batch[id_col], batch["_header"], batch["_line"]):
-            if head not in headers:
-                headers[head] = header_columns(head)
-            try:
-                r = check_fields(parse_record(line or "")[0], headers[head])
-                rows.append((key, r["image_id"], r["building_id"], r["confidence"], r["geometries"], None, None, None))
-            except Fault as f:
-                rows.append((key, None, None, None, None, f.reason, f.at, f.detail))
-        out = pd.DataFrame(rows, columns=[id_col, "image_id", "building_id", "confidence", "geometries", "reason", "error_at", "error_detail"])
+        by_header: dict[str | None, list[int]] = {}
+        for k, head in enumerate(batch["_header"]):
+            by_header.setdefault(head, []).append(k)
+        lines, rows = batch["_line"].tolist(), [()] * len(batch)
+        for head, mine in by_header.items():
+            starts, at = [], 0
+            for k in mine:
+                starts.append((at, at + len(lines[k] or "")))
+                at = starts[-1][1] + 1
+            text = "\n".join(lines[k] or "" for k in mine)
+            for k, (start, _, record, fault) in zip(mine, recover(text, columns(head), starts=starts)):
+                rows[k] = _values(start, record, fault)
+        out = pd.DataFrame(rows, columns=_COLUMNS)
+        out.insert(0, id_col, batch[id_col].to_numpy())
         yield out.astype({"building_id": "Int64", "error_at": "Int64"})
 
 
 def load_lines(df: DataFrame, id_col: str, header_col: str, line_col: str) -> DataFrame:
     """One row a line: id, the typed record, or reason, error_at (offset in the line) and error_detail.
 
-    reason is null for valid lines, else quoting, column_count or value (the first that holds).
+    The lines of a batch are one text of which every record start is known, so that a broken quote
+    ends with its line. reason is null for valid lines, else quoting, column_count or value (the first that holds).
     A null line counts as an empty one, a null header as one with a single nameless column.
-    BuildingIds beyond BIGINT are valid and come out null. Columns of unknown names aren't
-    checked. Repeated lines come out repeatedly; an empty table gives an empty one. Map-only.
+    Columns of unknown names aren't checked and come out in others, as do BuildingIds beyond
+    BIGINT, which are valid. Repeated lines come out repeatedly; an empty table gives an empty one. Map-only.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(id_col, F.col(header_col).alias("_header"), F.col(line_col).alias("_line"))
@@ -233,16 +277,96 @@ def load_lines(df: DataFrame, id_col: str, header_col: str, line_col: str) -> Da
 
 
 def load_files(df: DataFrame, name_col: str, text_col: str) -> DataFrame:
-    """load_lines for whole files (name, text): one row a record or fault, with line_no and the text it covers."""
+    """load_lines for small whole files (name, text): one row a record or fault, with line_no and the text it covers."""
 
     def run(batches):
         for batch in batches:
             for name, text in zip(batch[name_col], batch[text_col]):
-                rows = []
-                for x in parse_file(text or ""):
-                    r, f = x["record"] or {}, x["fault"]
-                    rows.append((name, x["line_no"], x["text"], r.get("image_id"), r.get("building_id"), r.get("confidence"), r.get("geometries"), f and f.reason, f and f.at, f and f.detail))
-                out = pd.DataFrame(rows, columns=["file_name", "line_no", "line_text", "image_id", "building_id", "confidence", "geometries", "reason", "error_at", "error_detail"])
+                rows = [(name, x["line_no"], x["text"], *_values(0, x["record"], x["fault"])) for x in parse_file(text or "")]
+                out = pd.DataFrame(rows, columns=["file_name", "line_no", "line_text", *_COLUMNS])
                 yield out.astype({"line_no": "Int64", "building_id": "Int64", "error_at": "Int64"})
 
     return df.select(name_col, text_col).mapInPandas(run, f"file_name string, line_no int, line_text string, {SCHEMA}")
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
+
+
+class SummaryFiles(DataSource):
+    """spark.read.format("summary_csv").load(folder or file): summary CSV files of any size, split at validated record starts.
+
+    Rows are (file_name, split_at, record_no, line_text) and those of SCHEMA: every record or
+    fault of the files, record_no counting within the split. Option split_bytes (32 MB): a range
+    of that size goes to one task. A range's records are those that start from its first
+    validated record start on up to that of the next range, so that neighbours agree without
+    talking to each other and nothing is lost or read twice, also where a broken quote spans the border. Option glob: names to be read.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "summary_csv"
+
+    def schema(self) -> str:
+        return f"file_name string, split_at bigint, record_no int, line_text string, {SCHEMA}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SummaryReader(self.options)
+
+
+class _SummaryReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.size, self.glob = options["path"], int(options.get("split_bytes", 32 << 20)), options.get("glob", "*.csv")
+
+    def partitions(self):
+        files, path = _filesystem(self.path)
+        info = files.get_file_info(path)
+        found = [info] if info.type == fs.FileType.File else [f for f in files.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and fnmatch(f.base_name, self.glob)]
+        return [_Range(f.path, at, min(f.size, at + self.size)) for f in found for at in range(0, f.size, self.size)]
+
+    def read(self, part: _Range):
+        files, _ = _filesystem(self.path)
+        with files.open_input_file(part.path) as f:
+            size = f.size()
+            head = _line(f, 0, size)
+            header, body = header_columns(head.decode(errors="replace").rstrip("\r\n")), len(head)
+            start, stop = (_first_record(f, max(at, body), body, size, header) for at in (part.start, part.stop))
+            text = f.read_at(stop - start, start).decode(errors="replace")
+        for number, (a, b, record, fault) in enumerate(recover(text, header)):
+            yield (part.path.rpartition("/")[2], part.start, number, text[a:b].rstrip("\r\n"), *_values(a, record, fault))
+
+
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def _line(f, at: int, size: int) -> bytes:
+    """The line from an offset on, with its line break."""
+    out = b""
+    while at < size and b"\n" not in out:
+        piece = f.read_at(min(1 << 16, size - at), at)
+        out, at = out + piece, at + len(piece)
+    return out[: out.find(b"\n") + 1] or out
+
+
+def _first_record(f, at: int, body: int, size: int, header: list[str], look: int = 1 << 16) -> int:
+    """Offset of the first validated record start from at on; body, where records begin, is one, and so is the end."""
+    if at <= body or at >= size:
+        return min(max(at, body), size)
+    at += len(_line(f, at - 1, size)) - 1  # the first line that starts at or after at
+    while at < size:
+        ahead = f.read_at(min(look, size - at), at)
+        text, complete = ahead.decode("latin-1"), at + len(ahead) == size
+        line = 0
+        while 0 <= line < len(text):
+            if starts_record(text, line, header) and (complete or text.find("\n", line) >= 0):
+                return at + line
+            following = text.find("\n", line) + 1
+            if not following:
+                break
+            line = following
+        if line == 0:  # a line longer than what was read
+            line = len(_line(f, at, size))
+        at += line
+    return size
