@@ -15,6 +15,8 @@ from terrasieve.session import cut_lineage, new_folder
 FILES_PER_PACKING = 100_000
 #: Output files written by one wave of tasks at most; more bins share tasks, still with a file each.
 MAX_TASKS = 10_000
+#: Records on which the size of what is written is measured.
+PROBE_ROWS = 50_000
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -99,45 +101,69 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _sizes(spark: SparkSession, folder: str) -> list[int]:
+    """Bytes of the Parquet files below a folder."""
+    fs, path = _fs(spark, folder)
+    found, out = fs.listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getPath().getName().endswith(".parquet"):
+            out.append(int(status.getLen()))
+    return out
+
+
+def list_folder(spark: SparkSession, path: str, glob: str = "*.geojson") -> DataFrame:
+    """(file_id, geoVectorName, imageId, written_at, body) of the files below a folder, for consolidate.
+
+    file_id is a hash of the path, imageId the base name. Freeze it (write it, or let consolidate
+    do so) before relying on it: files may come and go.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    return files.select(F.abs(F.shiftright(F.xxhash64("path"), 1)).alias("file_id"), F.col("path").alias("geoVectorName"), name.alias("imageId"), F.col("modificationTime").alias("written_at"), F.col("content").cast("string").alias("body"))
+
+
 def consolidate(
     files: DataFrame, id_col: str = "file_id", name_col: str = "geoVectorName", image_col: str = "imageId",
-    time_col: str = "written_at", body_col: str = "body", target_bytes: int = 128 << 20, out: str | None = None,
+    time_col: str = "written_at", body_col: str = "body", target_bytes: int = 128 << 20, out: str | None = None, keep: bool = True,
 ) -> str:
-    """Writes the files' records into few Parquet files and returns the committed folder.
+    """Writes the files' records into few Parquet files of about target_bytes and returns the committed folder.
 
-    1. The manifest (id, name, size, hash of each file) is frozen in the shared folder. 2. Its
-    non-empty files are bin-packed by size, first-fit decreasing. 3. Each bin becomes one file
-    that holds the surviving version of its files' records. 4. What was written is read again;
+    1. The manifest (id, name, size, hash of each file) is frozen in the shared folder. 2. A file
+    weighs what is left of it: the bytes of the records of which it holds the surviving version,
+    times the share that compression leaves, measured on at most PROBE_ROWS of them. Files of any
+    weight are bin-packed, first-fit decreasing. 3. Each bin becomes one file
+    that holds its files' records. 4. What was written is read again;
     rows and checksum must be those of the records, and the input must still match the manifest.
-    5. One rename makes the folder visible; a failed run leaves only a staging folder.
-    The folder's _manifest holds (file_id, name, bytes, hash, bin). Files without id get a negative one
+    5. One rename makes the folder visible; a failed run leaves only a staging folder, and a
+    folder that exists already is refused. keep=False: the folder goes when the JVM ends.
+    The folder's _manifest holds (file_id, name, bytes, hash, bin), _COMMIT.json the sizes of the files. Files without id get a negative one
     from their hash; files listed twice count once; null, empty and unreadable bodies hold no records;
     an empty table gives an empty folder. Extra columns are ignored.
     """
     spark = files.sparkSession
+    base = out or new_folder(spark, "consolidated")
+    staging = base + "-staging"
+    for folder in (base, staging):
+        fs, path = _fs(spark, folder)
+        if fs.exists(path):
+            raise FileExistsError(f"consolidation: {folder} exists")
     own_id = F.coalesce(F.col(id_col), -F.abs(F.shiftright(F.xxhash64(name_col, body_col), 1)) - 1)
     files = files.select(own_id.alias("_file"), F.col(name_col).alias("_name"), F.col(image_col).alias("_own_image"), F.col(time_col).alias("_time"), F.col(body_col).alias("_body"))
     id_col, name_col, image_col, time_col, body_col = "_file", "_name", "_own_image", "_time", "_body"
-    base = out or new_folder(spark, "consolidated")
-    staging = base + "-staging"
     line = files.select(F.col(id_col).alias("file_id"), F.col(name_col).alias("name"), F.coalesce(F.octet_length(body_col), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(body_col).alias("hash"))
     manifest = cut_lineage(line)
-    packed = pack_manifest(manifest.where(F.col("bytes") > 0), "file_id", "bytes", target_bytes)
-    numbered = cut_lineage(packed)
+    records = cut_lineage(latest_records(building_records(files, id_col, image_col, time_col, body_col)))
+    raw = F.sum(F.coalesce(F.octet_length("properties"), F.lit(0)) + F.coalesce(F.octet_length("geometry"), F.lit(0)) + F.coalesce(F.octet_length("ImageId"), F.lit(0)) + 32)
+    numbered = cut_lineage(pack_manifest(records.groupBy("file_id").agg(raw.alias("bytes")), "file_id", "bytes", max(1, int(target_bytes / _left_of(records, raw, f"{staging}/_probe")))))
     per_pack = numbered.groupBy("pack_no").agg(F.max("bin_no").alias("_last")).collect()  # one row a packing
     offset, offsets = 0, []
     for row in sorted(per_pack):
         offsets.append((row[0], offset))
         offset += row[1] + 1
-    shift = F.coalesce(*[F.when(F.col("pack_no") == p, F.lit(o)) for p, o in offsets]) if 0 < len(offsets) <= 100 else None
-    if shift is None:
-        table = spark.createDataFrame(offsets, "pack_no int, _offset long")
-        bins = numbered.join(table, "pack_no").select("file_id", (F.col("bin_no") + F.col("_offset")).alias("bin"))
-    else:
-        bins = numbered.select("file_id", (F.col("bin_no") + shift).cast("long").alias("bin"))
+    table = spark.createDataFrame(offsets, "pack_no int, _offset long")
+    bins = numbered.join(table, "pack_no").select("file_id", (F.col("bin_no") + F.col("_offset")).alias("bin"))
     n_bins = max(1, offset)
-    bins = bins.dropDuplicates(["file_id"])  # a file that is listed twice goes to one bin
-    records = cut_lineage(latest_records(building_records(files, id_col, image_col, time_col, body_col)))
     placed = records.join(bins, "file_id")
     tasks = min(n_bins, MAX_TASKS)
     writer = placed.repartitionById(tasks, F.pmod("bin", F.lit(tasks)).cast("int"))
@@ -153,9 +179,26 @@ def consolidate(
         raise RuntimeError("consolidation: the input changed after its manifest was frozen")
     manifest.join(bins, "file_id", "left").write.parquet(f"{staging}/_manifest")
     fs, path = _fs(spark, staging)
+    sizes = sorted(_sizes(spark, f"{staging}/data"))
+    said = {"rows": expected[0], "checksum": str(expected[1]), "bins": n_bins, "target_bytes": target_bytes, "files": len(sizes), "least_bytes": sizes[0] if sizes else 0, "median_bytes": sizes[len(sizes) // 2] if sizes else 0, "most_bytes": sizes[-1] if sizes else 0}
     note = fs.create(_fs(spark, f"{staging}/_COMMIT.json")[1], True)
-    note.write(bytearray(json.dumps({"rows": expected[0], "checksum": str(expected[1]), "bins": n_bins, "target_bytes": target_bytes}).encode()))
+    note.write(bytearray(json.dumps(said).encode()))
     note.close()
-    if not fs.rename(path, _fs(spark, base)[1]):
+    target = _fs(spark, base)[1]
+    if fs.exists(target) or not fs.rename(path, target):
         raise RuntimeError(f"consolidation: {staging} couldn't be renamed to {base}")
+    if not keep:
+        fs.deleteOnExit(target)
     return base
+
+
+def _left_of(records: DataFrame, raw, folder: str) -> float:
+    """Written bytes per byte of records, measured on at most PROBE_ROWS of them; the folder is removed."""
+    spark = records.sparkSession
+    probe = records.limit(PROBE_ROWS).repartition(1).sortWithinPartitions("ImageId", "BuildingId")
+    probe.write.parquet(folder)
+    fs, path = _fs(spark, folder)
+    whole = spark.read.schema(records.schema).parquet(folder).agg(raw).first()[0]
+    share = sum(_sizes(spark, folder)) / whole if whole else 1.0
+    fs.delete(path, True)
+    return max(share, 1e-3)

@@ -51,7 +51,7 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasieve.operators.compaction import consolidate
 
-    folder = consolidate(read(spark, sf_dir, "vector_files"))
+    folder = consolidate(read(spark, sf_dir, "vector_files"), keep=False)
     return spark.read.schema("ImageId string, BuildingId int").parquet(f"{folder}/data").where(F.col("BuildingId").isNotNull())
 
 

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from terrasieve.operators.compaction import consolidate, first_fit_decreasing
+from terrasieve.operators.compaction import consolidate, first_fit_decreasing, list_folder
 
 T = dt.datetime(2020, 1, 1)
 
@@ -51,13 +53,41 @@ def test_each_record_once_in_its_latest_version(spark):
     assert spark.read.parquet(path + "/_manifest").count() >= 9
 
 
-def test_few_files_and_empty(spark):
+def sizes(path):
     import glob
-
+    import os
+
+    return sorted(map(os.path.getsize, glob.glob(path.removeprefix("file:").replace("//", "/") + "/data/*.parquet")))
+
+
+def test_files_come_out_at_the_target_size(spark):
+    """By the size of what is written: compressed, and without what later versions replace."""
+    df = spark.range(60_000).selectExpr(
+        "id as file_id", "concat('n', id) as geoVectorName", "concat('I', pmod(id, 20000)) as imageId", "timestamp_seconds(id) as written_at",
+        """concat('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"BuildingId": 1, "v": "', sha2(string(id), 256), '"}, "geometry": {"type": "Point", "coordinates": [1, ', id, ']}}]}') as body""",
+    )
+    path = consolidate(df, target_bytes=150_000)
+    found, note = sizes(path), json.loads(Path(path.removeprefix("file:").replace("//", "/"), "_COMMIT.json").read_text())
+    assert spark.read.parquet(path + "/data").count() == 20_000
+    assert note["files"] == len(found) == note["bins"] > 5 and note["median_bytes"] == found[len(found) // 2]
+    assert all(0.7 * 150_000 < x < 1.3 * 150_000 for x in found[1:])
+
+
+def test_an_existing_folder_is_refused_and_files_of_a_folder_are_listed(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for i in range(30):
+        (tmp_path / "in" / ("sub" if i % 2 else ".") / f"chip{i}.geojson").write_text(body({"BuildingId": i}))
+    (tmp_path / "in" / "note.txt").write_text("no file of ours")
+    listed = list_folder(spark, str(tmp_path / "in"))
+    out = consolidate(listed, out=f"{tmp_path}/out")
+    assert {(r.ImageId, r.BuildingId) for r in spark.read.parquet(f"{out}/data").collect()} == {(f"chip{i}", i) for i in range(30)} and len(sizes(out)) == 1
+    with pytest.raises(FileExistsError):
+        consolidate(listed, out=f"{tmp_path}/out")
+    assert spark.read.parquet(f"{out}/_manifest").count() == 30 and not (tmp_path / "out" / "out-staging").exists()
+
+
+def test_empty(spark):
     rows = [(i, f"n{i}", f"I{i}", T, body({"BuildingId": i}), "x") for i in range(300)]
-    path = folder(spark, rows, target_bytes=10_000)
-    files = glob.glob(path.removeprefix("file:").replace("//", "/") + "/data/*.parquet")
-    total = sum(len(r[4]) for r in rows)
-    assert total // 10_000 <= len(files) <= total // 10_000 + 2
-    assert spark.read.parquet(path + "/data").select("ImageId", "BuildingId").distinct().count() == 300
+    path = folder(spark, rows)
+    assert len(sizes(path)) == 1 and spark.read.parquet(path + "/data").select("ImageId", "BuildingId").distinct().count() == 300
     assert spark.read.parquet(folder(spark, []) + "/data").count() == 0
