@@ -40,6 +40,11 @@ def parse_line(wkt: Column) -> Column:
     return F.when(body != "", F.transform(F.split(body, ","), _position))
 
 
+def line_wkt(line: Column) -> Column:
+    """LINESTRING text with all digits."""
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(line, lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))), ", "), F.lit(")"))
+
+
 def _number(x: Column, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f", F.bround(x, decimals))
 

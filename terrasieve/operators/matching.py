@@ -44,8 +44,8 @@ def signed_edges(wkt: str) -> np.ndarray:
     return edge_lists([wkt])[0]
 
 
-def polygon_table(df: DataFrame, id_col: str, image_col: str, wkt_col: str) -> DataFrame:
-    """(id, image_id, area, xmin, ymin, xmax, ymax, edges) of each row; without polygon: area 0, null box, no edges."""
+def polygon_table(df: DataFrame, id_col: str, image_col: str, wkt_col: str, keep: bool = False) -> DataFrame:
+    """(id, image_id, area, xmin, ymin, xmax, ymax, edges) of each row, and wkt with keep; without polygon: area 0, null box, no edges."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -59,10 +59,12 @@ def polygon_table(df: DataFrame, id_col: str, image_col: str, wkt_col: str) -> D
                 columns["ymin"][some], columns["ymax"][some] = over(np.minimum, np.minimum(e[:, 1], e[:, 3])), over(np.maximum, np.maximum(e[:, 1], e[:, 3]))
             edges = [None if not k else e[i : i + k].ravel() for i, k in zip(at, n)]
             out = pd.DataFrame({"id": batch["id"], "image_id": batch["image_id"], **columns, "edges": pd.Series(edges, index=batch.index, dtype=object)})
+            if keep:
+                out["wkt"] = batch["wkt"]
             yield out.astype({c: "Float64" for c in ("xmin", "ymin", "xmax", "ymax")})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(image_col).alias("image_id"), F.col(wkt_col).alias("wkt"))
-    return rows.mapInPandas(run, "id long, image_id string, area double, xmin double, ymin double, xmax double, ymax double, edges array<double>")
+    return rows.mapInPandas(run, "id long, image_id string, area double, xmin double, ymin double, xmax double, ymax double, edges array<double>" + ", wkt string" * keep)
 
 
 def overlap_area(first: Iterable, second: Iterable) -> np.ndarray:

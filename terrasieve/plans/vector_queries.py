@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrasieve.functions import crs, geom
 from terrasieve.operators import chips as C
+from terrasieve.operators import clip as K
 from terrasieve.operators import labels as L
 from terrasieve.operators import matching as M
 from terrasieve.operators import overlay as O
@@ -22,10 +23,13 @@ _PIX = vertices_sql("f", "footprints", "footprint_id", "ImageId", "PolygonWKT_Pi
 _GEO = vertices_sql("f", "footprints", "footprint_id", "ImageId", "PolygonWKT_Geo", "true")
 
 
+def _pix_rows(spark, sf_dir):
+    return read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("(("))
+
+
 def _pix(spark, sf_dir):
     """footprints with a pixel polygon, parsed."""
-    rows = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("(("))
-    return rows.select("footprint_id", "ImageId", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
+    return _pix_rows(spark, sf_dir).select("footprint_id", "ImageId", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
 
 
 # sources
@@ -190,6 +194,72 @@ def l7_clip_to_chips(spark, sf_dir):
     return C.clip_features(pairs, "edges", "area", ["left", "bottom", "right", "top"], 1e-4).select("imageId", "footprint_id", R("partialDec", 4).alias("partialDec"))
 
 
+def cut_sql(pairs: str, boxes: str) -> str:
+    """CTEs that end in cut (pid, tid, shared, xmin, ymin, xmax, ymax): area and bounds of f's polygons inside boxes (tid, l, b, r, t)."""
+    t = lambda p, d, lo, hi, best, at: f"CASE WHEN {d} <> 0 THEN {best}(({lo} - {p}) / {d}, ({hi} - {p}) / {d}) WHEN {p} BETWEEN {lo} AND {hi} THEN {'-' * (at < 0)}1e300 ELSE {'-' * (at > 0)}1e300 END"
+    return f"""box_e AS (SELECT tid AS id, l AS x1, b AS y1, r AS x2, b AS y2, -1 AS s FROM {boxes} UNION ALL SELECT tid, l, t, r, t, 1 FROM {boxes}),
+shares AS ({overlap_sql(pairs, "f_e", "box_e")}),
+way AS (SELECT pid, tid, l, b, r, t, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM {pairs} JOIN f_s ON f_s.id = pid JOIN {boxes} USING (tid)),
+part AS (SELECT *, greatest(0, {t("x1", "dx", "l", "r", "least", -1)}, {t("y1", "dy", "b", "t", "least", -1)}) AS t0, least(1, {t("x1", "dx", "l", "r", "greatest", 1)}, {t("y1", "dy", "b", "t", "greatest", 1)}) AS t1 FROM way),
+corner AS (SELECT pid, tid, unnest([l, l, r, r]) AS x, unnest([b, t, b, t]) AS y FROM {pairs} JOIN {boxes} USING (tid)),
+within AS (SELECT pid, tid, x, y FROM corner JOIN f_s ON f_s.id = pid AND (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1),
+spots AS (SELECT pid, tid, greatest(l, least(r, x1 + k * dx)) AS x, greatest(b, least(t, y1 + k * dy)) AS y FROM (SELECT *, unnest([t0, t1]) AS k FROM part WHERE t0 <= t1) UNION ALL SELECT * FROM within),
+cut AS (SELECT pid, tid, shared, xmin, ymin, xmax, ymax FROM shares JOIN (SELECT pid, tid, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM spots GROUP BY ALL) USING (pid, tid))"""
+
+
+def _bounds(df, keys: list[str], digits: int):
+    b = geom.box(geom.parse_wkt(F.col("geometry")))
+    rows = df.select(*keys, R("partialDec", 4).alias("partialDec"), "truncated", b.alias("b"))
+    return rows.select(*keys, "partialDec", "truncated", *[R(f"b.{c}", digits).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+_HALVES = "(SELECT imageId || '/' || q AS tid, width / 2.0 * q AS l, 0.0 AS b, width / 2.0 * (q + 1) AS r, height / 2.0 AS t, imageId FROM chips, range(0, 2) qs(q))"
+
+
+@query(f"""WITH {_PIX}, h AS {_HALVES}, near AS (SELECT f_b.id AS pid, tid FROM f_b JOIN h ON f_b.image = h.imageId AND xmin <= r AND l <= xmax AND ymin <= t AND b <= ymax), {cut_sql("near", "h")}
+SELECT tid AS chip, pid AS footprint_id, round(shared / f_a.area, 4) AS partialDec, CAST(abs(shared / f_a.area - 1) > 1e-9 AS INTEGER) AS truncated, round(xmin, 3) AS xmin, round(ymin, 3) AS ymin, round(xmax, 3) AS xmax, round(ymax, 3) AS ymax
+FROM cut JOIN f_a ON f_a.id = pid WHERE shared / f_a.area > 0.1 + 1e-9""")
+def l7_cut_features(spark, sf_dir):
+    """Footprints cut to the two upper quarters of their chip, with share, truncation and the cut polygon's bounds."""
+    f = M.polygon_table(_pix_rows(spark, sf_dir), "footprint_id", "ImageId", "PolygonWKT_Pix", keep=True)
+    c = read(spark, sf_dir, "chips").select(F.col("imageId").alias("_image"), "width", "height", F.explode(F.array(F.lit(0), F.lit(1))).alias("q"))
+    half = F.col("width") / 2.0
+    c = c.select("_image", F.concat_ws("/", "_image", "q").alias("chip"), (half * F.col("q")).alias("left"), F.lit(0.0).alias("bottom"), (half * (F.col("q") + 1)).alias("right"), (F.col("height") / 2.0).alias("top"))
+    pairs = C.box_join(f.drop("edges"), c, ["xmin", "ymin", "xmax", "ymax"], ["left", "bottom", "right", "top"], 325.0, ("image_id", "_image"))
+    cut = K.cut_features(pairs.select("chip", F.col("id").alias("footprint_id"), "wkt", "left", "bottom", "right", "top"), "wkt", ["left", "bottom", "right", "top"], least_share=0.1)
+    return _bounds(cut, ["chip", "footprint_id"], 3)
+
+
+@query(f"""WITH {_POINTS_SQL}, {_GEO}, {crs.circle_box_sql("o", "pt", "point_id", "lon", "lat", 20.0)}, ob AS (SELECT point_id AS tid, xmin AS l, ymin AS b, xmax AS r, ymax AS t FROM o_box),
+near AS (SELECT f_b.id AS pid, tid FROM f_b JOIN ob ON xmin <= r AND l <= xmax AND ymin <= t AND b <= ymax), {cut_sql("near", "ob")}
+SELECT tid AS point_id, pid AS footprint_id, round(shared / f_a.area, 4) AS partialDec, CAST(abs(shared / f_a.area - 1) > 1e-9 AS INTEGER) AS truncated, round(xmin, 9) AS xmin, round(ymin, 9) AS ymin, round(xmax, 9) AS xmax, round(ymax, 9) AS ymax
+FROM cut JOIN f_a ON f_a.id = pid WHERE shared / f_a.area > 1e-4""")
+def l10_cut_features(spark, sf_dir):
+    """Footprints cut to the chips of 20 m around every object."""
+    p = positions(read_spread(spark, sf_dir, "scene_points"), "point_id", "geometry")
+    o = T.object_centred(p, "lon", "lat", 20.0).select(F.col("id").alias("point_id"), F.col("box.xmin").alias("left"), F.col("box.ymin").alias("bottom"), F.col("box.xmax").alias("right"), F.col("box.ymax").alias("top"))
+    geo = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Geo").contains("(("))
+    f = M.polygon_table(geo, "footprint_id", "ImageId", "PolygonWKT_Geo", keep=True).drop("edges", "image_id")
+    pairs = C.box_join(o, f, ["left", "bottom", "right", "top"], ["xmin", "ymin", "xmax", "ymax"], 0.001)
+    cut = K.cut_features(pairs.select("point_id", F.col("id").alias("footprint_id"), "wkt", "left", "bottom", "right", "top"), "wkt", ["left", "bottom", "right", "top"], least_share=1e-4 - 1e-9)
+    return _bounds(cut, ["point_id", "footprint_id"], 9)
+
+
+@query(f"""WITH {_PIX}, way AS (SELECT id, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM f_s WHERE part = 1 AND ring = 1),
+p AS (SELECT id, sqrt(dx * dx + dy * dy) AS d, greatest(0, CASE WHEN dx <> 0 THEN least((100 - x1) / dx, (300 - x1) / dx) WHEN x1 BETWEEN 100 AND 300 THEN 0 ELSE 2 END, CASE WHEN dy <> 0 THEN least((100 - y1) / dy, (300 - y1) / dy) WHEN y1 BETWEEN 100 AND 300 THEN 0 ELSE 2 END) AS t0,
+  least(1, CASE WHEN dx <> 0 THEN greatest((100 - x1) / dx, (300 - x1) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((100 - y1) / dy, (300 - y1) / dy) ELSE 1 END) AS t1 FROM way),
+l AS (SELECT id, sum(d) AS origlen, sum(CASE WHEN t0 < t1 THEN (t1 - t0) * d ELSE 0 END) AS length FROM p GROUP BY id)
+SELECT id AS footprint_id, round(origlen, 4) AS origlen, round(length, 4) AS length, 1.0::DOUBLE AS partialDec, 0 AS truncated FROM l WHERE length > 0""")
+def l7_cut_lines(spark, sf_dir):
+    """Lines (the footprints' outer rings) cut to a box of 200 pixels; mixed leftovers drop out, shares stay 1."""
+    ring = F.get(F.get("g", F.lit(0)), F.lit(0))
+    rows = _pix(spark, sf_dir).select("footprint_id", geom.line_wkt(ring).alias("wkt"), *[F.lit(v).alias(n) for n, v in (("left", 100.0), ("bottom", 100.0), ("right", 300.0), ("top", 300.0))])
+    cut = K.cut_features(rows, "wkt", ["left", "bottom", "right", "top"], "LineString").where(F.col("kind").isin("LineString", "MultiLineString"))
+    pieces = F.regexp_extract_all("geometry", F.lit(r"(\([^()]+\))"), 1)
+    length = F.aggregate(F.transform(pieces, lambda p: geom.line_length(geom.parse_line(F.concat(F.lit("LINESTRING "), p)))), F.lit(0.0), lambda a, v: a + v)
+    return cut.select("footprint_id", R("origlen", 4).alias("origlen"), R(length, 4).alias("length"), "partialDec", "truncated")
+
+
 @query("""SELECT c.imageId, count(f.footprint_id) AS n_features FROM chips c LEFT JOIN footprints f ON f.ImageId = c.imageId AND f.PolygonWKT_Geo LIKE '%((%' GROUP BY ALL""")
 def j5_outputs_per_tile(spark, sf_dir):
     """Every tile emits an output, also without features."""
