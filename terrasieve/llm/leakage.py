@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrasieve.session import new_folder
+
 #: Characters of test items in one automaton; larger sets are worked off in blocks of that size.
 BLOCK_CHARS = 16 << 20
 
@@ -89,23 +91,25 @@ def find_leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFram
     A run is least_words or more consecutive words of the item in the same order with no other
     word between; words are maximal runs of letters and digits, and letter case, punctuation and
     white space don't matter. Offsets are those of the original text. Items are taken in blocks
-    of at most BLOCK_CHARS, each with its own automaton and one pass over the texts; a larger
-    set of items needs more passes, never more memory. Null and empty texts and items shorter
-    than least_words have no runs; equal items are all reported. Map-only: no text is shuffled.
+    of about half of BLOCK_CHARS, each with its own automaton and one pass over the texts. With
+    several blocks each one's runs are written to the shared folder before the next block's items
+    are read, so that driver and workers hold one block at a time. Null and empty texts and items
+    shorter than least_words have no runs; equal items are all reported. Map-only: no text is shuffled.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id_col).cast("long").alias("k"), F.col(item_text_col).alias("t")).where("k is not null and t is not null and t <> ''")
-    # numbered by running size; a block's items are read when the block is worked off
     total = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK_CHARS))
     schema = f"item_id long, doc_id {documents.schema[id_col].dataType.simpleString()}, n_words int, char_start int, char_end int, item_word int"
-    out = None
-    for block in range(blocks):
+    texts = documents.select(id_col, text_col)
+
+    def of_block(block: int):
+        """The block's items as a broadcast, and the runs with them."""
         rows = sorted(tuple(r) for r in wanted.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).collect())
         name = hashlib.sha256(repr((rows, least_words)).encode()).hexdigest()
         shared = spark.sparkContext.broadcast(rows)
 
-        def scan(batches: Iterable[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if name not in _built:
                 _built.clear()
                 _built[name] = Seeds(shared.value, least_words)
@@ -118,9 +122,16 @@ def find_leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFram
                         found += [(key, doc, n, spans[w][0], spans[w + n - 1][1], a) for key, a, w, n in runs]
                 yield pd.DataFrame(found, columns=["item_id", "doc_id", "n_words", "char_start", "char_end", "item_word"])
 
-        part = documents.select(id_col, text_col).mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return shared, texts.mapInPandas(scan, schema)
+
+    if blocks == 1:
+        return of_block(0)[1]
+    folder = new_folder(spark, "leaks")
+    for block in range(blocks):
+        shared, runs = of_block(block)
+        runs.write.parquet(f"{folder}/block={block}")
+        shared.destroy()
+    return spark.read.schema(schema).parquet(*[f"{folder}/block={b}" for b in range(blocks)])
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Where the public tokenizer's ranks lie on every node, and its pre-tokenisation pattern (fixed value).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that one packing task handles; more texts are hashed to more packings.
-PIECES_PER_PACKING = 25_000
+#: Texts that one packing task handles; more texts are hashed to more packings.
+TEXTS_PER_PACKING = 25_000
 #: Longest run of characters encoded at once; longer texts are cut before a blank between words.
 RUN_CHARS = 200_000
 
@@ -125,25 +125,30 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
 
     The texts are hashed to packings of bounded size, each packed by itself in the fixed order of
     a hash of the id, so that the waste of a packing's last open containers stays small against
-    its contents. Only ids and sizes are shuffled.
+    its contents. A text is one row there, its rest, however long it is: full containers need no
+    packing and are written out afterwards. Only ids and sizes are shuffled.
     """
     sizes = token_counts(df, id_col, text_col, tokenizer)
-    packings = max(1, round(df.count() / PIECES_PER_PACKING))
-    full = F.floor(F.col("n_tokens") / capacity)
-    rest = F.col("n_tokens") - full * capacity
-    n_parts = F.greatest(full + F.when(rest > 0, 1).otherwise(0), F.lit(1)).cast("int")
-    parts = sizes.select(id_col, "n_tokens", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part_no")).select(
-        id_col, "part_no", (F.col("part_no") * F.lit(capacity).cast("long")).alias("token_start"),
-        F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("part_no") * capacity).alias("n_tokens"),
-        F.pmod(F.xxhash64(id_col), F.lit(packings)).cast("int").alias("_pack"),
-        F.xxhash64(id_col, F.lit("order")).alias("_order"),
+    packings = max(1, round(df.count() / TEXTS_PER_PACKING))
+    kind = df.schema[id_col].dataType.simpleString()
+    full = F.floor(F.col("n_tokens") / capacity).cast("long")
+    rests = sizes.select(
+        id_col, full.alias("_full"), (F.col("n_tokens") - full * capacity).alias("_rest"),
+        F.pmod(F.xxhash64(id_col), F.lit(packings)).cast("int").alias("_pack"), F.xxhash64(id_col, F.lit("order")).alias("_order"),
     )
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, part_no int, token_start long, n_tokens long, container string"
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "part_no"], kind="stable")
-        bins = pack_sizes(pdf["n_tokens"].to_numpy(), capacity)
-        names = [f"{p}-{b}" for p, b in zip(pdf["_pack"], bins)]
-        return pdf[[id_col, "part_no", "token_start", "n_tokens"]].assign(container=names)
-
-    return parts.groupBy("_pack").applyInPandas(pack, schema)
+        pdf = pdf.sort_values(["_order", id_col], kind="stable")
+        bins, rest = pack_sizes(pdf["_rest"].to_numpy(), capacity), pdf["_rest"].to_numpy()
+        names = [f"{p}-{b}" if r or not f else None for p, b, r, f in zip(pdf["_pack"], bins, rest, pdf["_full"])]
+        return pdf[[id_col, "_full", "_rest"]].assign(_name=names, _nth=np.arange(len(pdf)), _pack=pdf["_pack"])
+
+    packed = rests.groupBy("_pack").applyInPandas(pack, f"`{id_col}` {kind}, _full long, _rest long, _name string, _nth long, _pack int")
+    last = F.when(F.col("_name").isNotNull(), F.col("_full")).otherwise(F.col("_full") - 1)  # texts of exactly full containers have no rest
+    parts = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_part"))
+    is_full = F.col("_part") < F.col("_full")
+    own = F.concat_ws("-", F.col("_pack").cast("string"), F.lit("full"), F.col("_nth").cast("string"), F.col("_part").cast("string"))
+    return parts.select(
+        id_col, F.col("_part").cast("int").alias("part_no"), (F.col("_part") * F.lit(capacity).cast("long")).alias("token_start"),
+        F.when(is_full, F.lit(capacity).cast("long")).otherwise(F.col("_rest")).alias("n_tokens"), F.when(is_full, own).otherwise(F.col("_name")).alias("container"),
+    )

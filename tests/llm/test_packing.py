@@ -24,7 +24,7 @@ def test_sum_of_squares(sizes):
 
 
 def test_pack_texts(spark, monkeypatch):
-    monkeypatch.setattr(P, "PIECES_PER_PACKING", 60)
+    monkeypatch.setattr(P, "TEXTS_PER_PACKING", 60)
     rows = [(i, "word " * (1 + i * 7 % 90)) for i in range(200)] + [(900, None), (901, ""), (902, "long text " * 1200), (903, "word")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "'c' as container")
     got = P.pack_texts(df, "doc_id", "text", 256).collect()
@@ -39,7 +39,10 @@ def test_pack_texts(spark, monkeypatch):
     assert all(total[i] == P.count_tokens(t) for i, t in rows)
     parts = sorted((r.part_no, r.token_start, r.n_tokens) for r in got if r.doc_id == 902)
     assert len(parts) > 1 and all(n == 256 for _, _, n in parts[:-1]) and [s for _, s, _ in parts] == [256 * k for k in range(len(parts))]
-    assert all(r.part_no == 0 for r in got if r.doc_id != 902)
+    assert all(r.part_no == 0 for r in got if r.doc_id != 902) and len({r.container for r in got if r.doc_id == 902}) == len(parts)
+    exact = spark.createDataFrame([(1, " ".join(["word"] * 512)), (1, " ".join(["word"] * 512)), (2, "word")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.part_no, r.n_tokens) for r in P.pack_texts(exact, "doc_id", "text", 256).collect()) == [(1, 0, 256), (1, 0, 256), (1, 1, 256), (1, 1, 256), (2, 0, 1)]
+    assert len({r.container for r in P.pack_texts(exact, "doc_id", "text", 256).collect()}) == 5
     assert P.pack_texts(df.limit(0), "doc_id", "text").count() == 0
 
 

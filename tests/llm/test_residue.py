@@ -1,6 +1,6 @@
 import pytest
 
-from terrasieve.llm.residue import BRACKET_HEADS, BRACKET_TAILS, VOIDS, Residue, find_residue
+from terrasieve.llm.residue import BRACKET_HEADS, BRACKET_TAILS, VOIDS, Residue, Wordings, find_residue
 
 HELD = [
     "Rulings\n\n{{ court.name }} v Smith", "paid ${amount} crowns", "the #{party_no} appealed", "{decision.text} c/ P.", "<<judge-Id>> ./. X.", "v <COURT_FULL>", "by <%= hearing-name %> on", "{% block judge.City %}", "[[docket.id]] v A.",
@@ -70,3 +70,13 @@ ALONE = [
 @pytest.mark.parametrize("text", ALONE)
 def test_sole_residue_passes_the_gate(text):
     assert Residue(text).found
+
+
+def test_wordings_are_a_parameter(spark):
+    text = "1. Halaman tidak ditemukan.\n2. The appeal fails."
+    assert not Residue(text).found
+    more = Wordings.more(notices=["Halaman  tidak ditemukan"], bracket_heads=["isi"], fillers=["teks contoh"])
+    assert {k for k, _, _ in Residue(text, wordings=more).found} == {"notice"} and Residue("a [isi nama] b", wordings=more).found and not Residue("a [isi nama] b").found
+    df = spark.createDataFrame([(1, text), (2, "Teks contoh."), (3, "404 Not Found")], "doc_id long, text string")
+    assert {r.doc_id for r in find_residue(df, "doc_id", "text", wordings=more).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in find_residue(df, "doc_id", "text", wordings=Wordings(notices=("halaman tidak ditemukan",), fillers=(), latin=(), bracket_heads=(), bracket_tails=())).collect()} == {1}
