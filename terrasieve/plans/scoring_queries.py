@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasieve.functions import geom
 from terrasieve.operators import matching as M
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
-from terrasieve.session import cut_lineage, read_spread
+from terrasieve.session import cut_lineage, new_folder, read_spread
+from terrasieve.sources import geojson as G
+from terrasieve.sources import reports as S
 
 query = Registry()
 
@@ -94,6 +97,36 @@ def m4_aoi_report(spark, sf_dir):
     return report.select("aoi", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")], "tp", "fp", "fn")
 
 
+@query(f"""{_MATCHES},
+taken AS (SELECT image, tid, pid AS taken_by FROM matches),
+free AS (SELECT p.pid, max(p.iou) AS best FROM pairs p LEFT JOIN taken USING (image, tid) WHERE taken_by IS NULL OR taken_by >= p.pid GROUP BY p.pid),
+pos AS (SELECT id AS tid, row_number() OVER (PARTITION BY image ORDER BY id) - 1 AS building_pos FROM tb)
+SELECT p.image AS "ImageId", CAST(coalesce(building_pos, -1) AS INTEGER) AS "BuildingId", round(coalesce(m.iou, best, 0), 5) AS "IOUScore", count(*) AS n
+FROM p_b p LEFT JOIN matches m ON m.pid = p.id LEFT JOIN free f ON f.pid = p.id LEFT JOIN pos ON pos.tid = m.tid GROUP BY ALL""")
+def snk2_scored_geojson(spark, sf_dir):
+    """SNK2: each image's scored proposals as GeoJSON of a fixed schema, written and read again."""
+    p, t = map(cut_lineage, _tables(spark, sf_dir))
+    shapes = read_spread(spark, sf_dir, "proposals").where(F.col("PolygonWKT_Pix").contains("((")).select(F.col("proposal_id").alias("id"), geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
+    folder = new_folder(spark, "scored")
+    S.write_scored(M.scored_features(p, t, THRESHOLD), shapes, folder)
+    rows = G.features(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.geojson").text(folder, wholetext=True).select(F.col("value").alias("body")), "body", [])
+    own = lambda c, t: F.get_json_object("properties", f"$.{c}").cast(t).alias(c)
+    return rows.select(own("ImageId", "string"), own("BuildingId", "int"), own("IOUScore", "double")).groupBy("ImageId", "BuildingId", "IOUScore").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_SCORES} SELECT image_id || ',' || tp || ',' || fp || ',' || fn AS line FROM scores
+UNION ALL SELECT label || ',' || v FROM (SELECT unnest(['TruthFile', 'ProposalFile', 'AOI_Name', 'True Positive Total', 'False Positive Total', 'False Negative Total']) AS label,
+  unnest(['footprints', 'proposals', aoi, tp::VARCHAR, fp::VARCHAR, fn::VARCHAR]) AS v FROM (SELECT aoi, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn
+  FROM (SELECT unnest({[*AREAS, "Total"]!r}) AS aoi) LEFT JOIN scores ON aoi = 'Total' OR contains(image_id, aoi) GROUP BY aoi))""")
+def snk10_report_csv(spark, sf_dir):
+    """SNK10, SNK11, SNK12: the report of areas and chips as CSV, written and read again, without its ratios."""
+    scores, folder = cut_lineage(_scores(spark, sf_dir)), new_folder(spark, "report")
+    S.write_report(M.area_scores(scores, AREAS), scores, folder, "footprints", "proposals")
+    areas = spark.read.text(f"{folder}/areas.csv").where(F.col("value").rlike("^(TruthFile|ProposalFile|AOI_Name|[A-Z][a-z]+ (Positive|Negative) Total),")).select(F.col("value").alias("line"))
+    chips = spark.read.csv(f"{folder}/chips", header=True)
+    return areas.unionByName(chips.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in ("ImageId", "True Positive Count", "False Positive Count", "False Negative Count")]).alias("line")))
+
+
 def queries() -> dict:
     return query.named
 

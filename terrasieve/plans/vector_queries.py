@@ -14,8 +14,9 @@ from terrasieve.operators import tables as T
 from terrasieve.operators.nearby import positions
 from terrasieve.plans.registry import POINTS_SQL as _POINTS_SQL
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
-from terrasieve.session import read, read_spread
+from terrasieve.session import new_folder, read, read_spread
 from terrasieve.sources import geojson as G
+from terrasieve.sources import reports as S
 
 query = Registry()
 R = lambda c, n=6: F.round(c, n)
@@ -484,6 +485,123 @@ def a19_line_buffers(spark, sf_dir):
     return rows.select("footprint_id", R("area", 4).alias("area"))
 
 
+# sinks and sources, written to the shared folder and read again
+
+
+@query(f"""WITH {_PIX}, p AS (SELECT id, aoi, min(tr_a * x + tr_b * y + tr_c) AS xmin, max(tr_d * x + tr_e * y + tr_f) AS ymax, count(DISTINCT part) AS parts FROM f_v JOIN chips ON image = imageId GROUP BY ALL)
+SELECT aoi, id AS footprint_id, CASE WHEN parts = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind, round(xmin, 9) AS xmin, round(ymax, 9) AS ymax FROM p""")
+def snk14_area_geojson(spark, sf_dir):
+    """SNK1, SNK14: pixel polygons written in degrees as GeoJSON of each area, and read again."""
+    folder = new_folder(spark, "areas")
+    written = S.write_areas(_pix(spark, sf_dir).select("footprint_id", "ImageId", "g"), read(spark, sf_dir, "chips"), folder, ["footprint_id"])
+    files = spark.read.text([r.file for r in written.collect()], wholetext=True)  # a few files an area
+    rows = G.features(files.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/part-", 1).alias("aoi"), F.col("value").alias("body")), "body", ["aoi"])
+    b = geom.box(G.geometry_of(F.col("kind"), F.col("coordinates")))
+    rows = rows.select("aoi", F.get_json_object("properties", "$.footprint_id").cast("long").alias("footprint_id"), "kind", b.alias("b"))
+    return rows.select("aoi", "footprint_id", "kind", R("b.xmin", 9).alias("xmin"), R("b.ymax", 9).alias("ymax"))
+
+
+@query("""SELECT aoi AS layer, c.imageId AS ImageId, coalesce(f.BuildingId, -1) AS BuildingId, coalesce(nullif(f.PolygonWKT_Pix, ''), CASE WHEN f.PolygonWKT_Pix IS NULL THEN 'POLYGON EMPTY' END) AS PolygonWKT_Pix
+FROM chips c LEFT JOIN (SELECT * FROM footprints WHERE BuildingId <> -1) f ON f.ImageId = c.imageId""")
+def snk7_layer_summaries(spark, sf_dir):
+    """SNK6, SNK7: a summary CSV of each layer, written and read again; empty texts are read as null."""
+    folder = new_folder(spark, "summaries")
+    S.write_layer_summaries(read(spark, sf_dir, "chips"), read(spark, sf_dir, "footprints"), "aoi", folder)
+    rows = spark.read.schema("ImageId string, BuildingId int, PolygonWKT_Pix string, PolygonWKT_Geo string, layer string").csv(folder, header=True, escape='"')
+    return rows.select("layer", "ImageId", "BuildingId", F.when(F.col("PolygonWKT_Pix") != "", F.col("PolygonWKT_Pix")).alias("PolygonWKT_Pix"))
+
+
+@query(f"""WITH {_PIX}, l AS (SELECT id, image, 'LINESTRING (' || string_agg(printf('%.2f %.2f', round_even(x, 2), round_even(y, 2)), ', ' ORDER BY k) || ')' AS t FROM f_v WHERE part = 1 AND ring = 1 GROUP BY ALL)
+SELECT imageId AS ImageId, coalesce(t, 'LineString EMPTY') AS WKT_Pix FROM chips LEFT JOIN l ON image = imageId""")
+def snk4_road_rows(spark, sf_dir):
+    """SNK4, SNK5: summary rows of lines (the footprints' outer rings), with a sentinel for chips without any."""
+    lines = _pix(spark, sf_dir).select("ImageId", F.get(F.get("g", F.lit(0)), F.lit(0)).alias("line"))
+    return L.road_rows(read(spark, sf_dir, "chips"), lines)
+
+
+@query("""WITH r AS (SELECT imageId, chipName, row_number() OVER (ORDER BY md5('7' || imageId), imageId) - 1 AS k, (SELECT count(*) FROM chips) AS n FROM chips)
+SELECT CASE WHEN k < floor(n * 0.6) THEN 'train' WHEN k < floor(n * 0.8) THEN 'test' ELSE 'val' END AS split, imageId || ' ' || chipName AS value FROM r""")
+def snk13_split_lists(spark, sf_dir):
+    """SNK13, O4: one text list a split, written and read again."""
+    folder = new_folder(spark, "lists")
+    rows = C.split_rows(read(spark, sf_dir, "chips").select("imageId", "chipName"), "imageId", [("train", 0.6), ("test", 0.2), ("val", 0.2)], "7")
+    L.write_split_lists(rows, folder, ["imageId", "chipName"])
+    return spark.read.schema("value string, split string").text(folder).select("split", "value")
+
+
+@query(f"""WITH {_PIX} SELECT id AS footprint_id, round(area, 6) AS area FROM f_b""")
+def src3_wkt_csv(spark, sf_dir):
+    """SRC3: footprints written as CSV with header and read with the first WKT column by priority."""
+    folder = new_folder(spark, "wkt")
+    _pix_rows(spark, sf_dir).select("footprint_id", "ImageId", "PolygonWKT_Pix").write.csv(folder, header=True, escape='"')
+    rows = G.read_wkt_csv(spark, folder)
+    return rows.select(F.col("footprint_id").cast("long").alias("footprint_id"), R(geom.area(F.col("geometry")), 6).alias("area"))
+
+
+@query("""SELECT imageId AS path, chipName AS description FROM chips""")
+def src5_list_csv(spark, sf_dir):
+    """SRC5: a headerless list with comments and blanks, written and read again."""
+    folder = new_folder(spark, "list")
+    rows = read(spark, sf_dir, "chips").select(F.explode(F.array(F.lit("# a comment"), F.lit(""), F.concat_ws(" , ", "imageId", "chipName"))).alias("value"))
+    rows.write.text(folder)
+    return G.read_list_csv(spark, folder)
+
+
+@query("""SELECT imageId, width, height FROM chips""")
+def src13_results_after_lines(spark, sf_dir):
+    """SRC13: results below 66 other lines and a header, one file a part, written and read again."""
+    folder = new_folder(spark, "results")
+
+    def lines(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": [f"note {i}, with, commas" for i in range(66)] + ["imageId,width,height"]})
+        for batch in batches:
+            yield pd.DataFrame({"value": [f"{i},{w},{h}" for i, w, h in zip(batch["imageId"], batch["width"], batch["height"])]})
+
+    read_spread(spark, sf_dir, "chips").select("imageId", "width", "height").mapInPandas(lines, "value string").write.text(folder)
+    return G.read_after_lines(spark, folder, 66, "imageId string, width int, height int")
+
+
+@query("""SELECT 'depots' AS infrastructure, s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'depot' ELSE 'node' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS name, CAST(s_nationkey AS DOUBLE) AS lon, NULL AS n_nodes FROM supplier
+UNION ALL SELECT 'routes', s_nationkey + 1000000, 'way', NULL, NULL, count(*) FROM supplier GROUP BY s_nationkey""")
+def src10_osm_frames(spark, sf_dir):
+    """SRC10, S14, U2: responses of nodes and ways (suppliers and their nations), tags over the elements' own keys, frames united."""
+    s = read(spark, sf_dir, "supplier")
+    tags = F.when(F.col("s_suppkey") % 3 == 0, F.create_map(F.lit("name"), F.col("s_name"), F.lit("type"), F.lit("depot")))
+    node = F.to_json(F.struct(F.lit("node").alias("type"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("lon"), F.lit(1.0).alias("lat"), tags.alias("tags")))
+    way = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("nodes"))  # a nation's suppliers
+    ways = way.select(F.to_json(F.struct(F.lit("way").alias("type"), (F.col("s_nationkey") + 1000000).alias("id"), "nodes")).alias("e"))
+    bodies = s.select(node.alias("e")).unionByName(ways).select(F.concat(F.lit('{"elements": ['), "e", F.lit("]}")).alias("body"))
+    nodes, edges = G.read_osm(bodies, "body")
+    both = G.united({"depots": nodes, "routes": edges.withColumn("n_nodes", F.size("nodes").cast("long"))})
+    return both.select("infrastructure", "id", F.col("properties")["type"].alias("type"), F.col("properties")["name"].alias("name"), "lon", "n_nodes")
+
+
+@query("""WITH e AS (SELECT min(tr_c) AS xmin, min(tr_e * height + tr_f) AS ymin, max(tr_a * width + tr_c) AS xmax, max(tr_f) AS ymax, aoi FROM chips GROUP BY aoi)
+SELECT imageId, round(greatest(least(tr_c, xmax - 0.003), xmin), 9) AS "left", round(greatest(least(tr_e * height + tr_f, ymax - 0.003), ymin), 9) AS bottom FROM chips JOIN e USING (aoi)""")
+def w5_shifted_chips(spark, sf_dir):
+    """Chips of a fixed size moved back so that they don't reach past their area."""
+    c = C.extent(read(spark, sf_dir, "chips"))
+    e = c.groupBy("aoi").agg(F.min("left").alias("_x0"), F.min("bottom").alias("_y0"), F.max("right").alias("_x1"), F.max("top").alias("_y1"))
+    rows = C.shift_inside(c.join(e, "aoi"), "left", "bottom", 0.003, ["_x0", "_y0", "_x1", "_y1"])
+    return rows.select("imageId", R("left", 9).alias("left"), R("bottom", 9).alias("bottom"))
+
+
+@query(f"""{_OBJECTS} SELECT id AS footprint_id, image AS image_id FROM o WHERE (id % 10) / 10.0 > 0.4""")
+def f7_truncated_objects(spark, sf_dir):
+    """objects whose truncation field lies above a share."""
+    rows = _pix(spark, sf_dir).withColumn("partial", F.col("footprint_id") % 10 / 10.0)
+    return L.objects(rows, read(spark, sf_dir, "chips"), 1.2, "partial", 0.4).select("footprint_id", "image_id")
+
+
+@query(f"""WITH {_POINTS_SQL} SELECT point_id, 'utm' AS proj, 'GRS80' AS ellps, 'NAD83' AS datum, CAST(floor(1 + (lon + 180) / 6) AS INTEGER) AS zone, true AS no_defs FROM pt""")
+def a15_utm_crs(spark, sf_dir):
+    """The reference system of each position's zone, whatever its hemisphere."""
+    p = positions(read(spark, sf_dir, "scene_points"), "point_id", "geometry")
+    return p.select(F.col("id").alias("point_id"), crs.utm_crs(F.col("lon"), F.col("lat")).alias("c")).select("point_id", "c.proj", "c.ellps", "c.datum", "c.zone", "c.no_defs")
+
+
 def queries() -> dict:
     return query.named
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.functions import geom
+from terrasieve.sources.files import write_grouped
 
 COLLECTION = "struct<type:string, properties:string, geometry:string, features:array<struct<properties:string, geometry:string>>>"
 #: WKT columns by falling priority.
@@ -52,16 +51,17 @@ def geometry_of(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", F.array(F.transform(one, ring))).when(kind == "MultiPolygon", F.transform(many, lambda part: F.transform(part, ring)))
 
 
-def write_geojson(df: DataFrame, path: str, geometry: str, kind: str, properties: list[str], partition: str | None = None) -> None:
-    """One feature collection, or one a value of partition, as text files; geometry is JSON coordinates text of the given kind."""
+def write_geojson(df: DataFrame, path: str, geometry: str, kind: str, properties: list[str], partition: str | None = None) -> DataFrame:
+    """Feature collections below path, one or more a value of partition, and the list of them (file, n_rows, bytes).
+
+    geometry is the column of JSON coordinates text of the kind in column kind; features come in the order of
+    the first property. Features are streamed to the files one by one; hot values get several
+    complete collections, and so do tables without partition. See files.write_grouped.
+    """
     props = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
     feature = F.concat(F.lit('{"type": "Feature", "properties": '), props, F.lit(', "geometry": {"type": "'), F.col(kind), F.lit('", "coordinates": '), F.col(geometry), F.lit("}}"))
-    order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*properties[:1], feature.alias("f")))), lambda x: x["f"]), ", ")
-    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), order, F.lit("]}")).alias("value")
-    if partition:
-        df.groupBy(partition).agg(text).write.mode("overwrite").partitionBy(partition).text(path)
-    else:
-        df.groupBy().agg(text).write.mode("overwrite").text(path)
+    rows = df.select((F.col(partition).cast("string") if partition else F.lit("all")).alias("_key"), F.col(properties[0]).alias("_order"), feature.alias("_feature"))
+    return write_grouped(rows.where(F.col("_feature").isNotNull()), "_key", "_feature", ["_order"], path, '{"type": "FeatureCollection", "features": [\n', "\n]}\n", ",\n", ".geojson")
 
 
 def coordinates_json(multi: Column) -> Column:
@@ -70,9 +70,13 @@ def coordinates_json(multi: Column) -> Column:
     return F.when(F.size(multi) == 1, F.to_json(part(F.get(multi, F.lit(0))))).otherwise(F.to_json(F.transform(multi, part)))
 
 
-def read_wkt_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header plus geometry, parsed from the first WKT column by priority; ValueError without one."""
-    df = spark.read.csv(path, header=True, escape='"', multiLine=True)
+def read_wkt_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """A CSV with header plus geometry, parsed from the first WKT column by priority; ValueError without one.
+
+    multiline: quoted fields may hold line breaks, which keeps a file from being split; summary
+    files of any size are read by the summary_csv source.
+    """
+    df = spark.read.csv(path, header=True, escape='"', multiLine=multiline)
     found = [c for c in GEOMETRY_PRIORITY if c in df.columns]
     if not found:
         raise ValueError(f"no geometry column in {df.columns}; expected one of {GEOMETRY_PRIORITY}")
@@ -87,18 +91,38 @@ def read_list_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_after_lines(spark: SparkSession, path: str, skip: int, schema: str) -> DataFrame:
-    """A CSV whose first skip lines precede its header; for one file, read in line order."""
-    text = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", r"\r?\n"), skip + 2, 2147483647)).alias("value"))
-    return text.where("value <> ''").select(F.from_csv("value", schema).alias("r")).select("r.*")
+    """CSV files whose first skip lines precede their header.
+
+    Files are split as usual: only the split at a file's start holds the lines to be left out, which are
+    counted there as they pass (they must lie within the first split).
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+
+    def run(batches):
+        passed: dict[str, int] = {}
+        for batch in batches:
+            keep = []
+            for file, start in zip(batch["file"], batch["start"]):
+                n = passed.get(file, 0)
+                keep.append(start > 0 or n > skip)
+                if start == 0:
+                    passed[file] = n + 1
+            yield batch.loc[keep, ["value"]]
+
+    rest = lines.mapInPandas(run, "value string")
+    return rest.where("value <> ''").select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def load_tile_index(spark: SparkSession, folder: str, area: str) -> DataFrame:
-    """(location, geometry) of a folder's <area>/<area>_SrcTindex.geojson; ValueError for an unknown area."""
-    file = Path(folder) / area / f"{area}_SrcTindex.geojson"
-    if not file.exists():
-        known = sorted(p.name for p in Path(folder).iterdir() if p.is_dir()) if Path(folder).exists() else []
+    """(location, geometry) of a folder's <area>/<area>_SrcTindex.geojson, on any file system; ValueError for an unknown area."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    file = f"{folder.rstrip('/')}/{area}/{area}_SrcTindex.geojson"
+    if not area or not fs.exists(fs_path(file)):
+        known = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
         raise ValueError(f"no tile index of {area}; known areas: {known}")
-    rows = features(read_files(spark, str(file)), "body", [])
+    rows = features(read_files(spark, file), "body", [])
     return rows.select(F.get_json_object("properties", "$.location").alias("location"), geometry_of(F.col("kind"), F.col("coordinates")).alias("geometry"))
 
 
@@ -125,6 +149,15 @@ def read_osm(df: DataFrame, body_col: str) -> tuple[DataFrame, DataFrame]:
     return nodes, e.where("type = 'way'").select("id", "nodes", flat)
 
 
+def united(frames: dict[str, DataFrame], name: str = "infrastructure") -> DataFrame:
+    """The frames of several kinds of infrastructure as one table, each row with its kind; columns that a frame lacks are null."""
+    out = None
+    for kind, frame in frames.items():
+        one = frame.withColumn(name, F.lit(kind))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def way_geometries(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, kind, line) of ways (id, nodes) with nodes (id, lon, lat): vertices in way order, Polygon if closed, else LineString.
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terrasieve.sources.files import filesystem
+
 GEOMETRY_COLUMNS = ("PolygonWKT_Geo", "PolygonWKT_Pix", "PolygonWKT")
 
 _NUM = r"[+-]?(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
@@ -320,13 +322,13 @@ class _SummaryReader(DataSourceReader):
         self.path, self.size, self.glob = options["path"], int(options.get("split_bytes", 32 << 20)), options.get("glob", "*.csv")
 
     def partitions(self):
-        files, path = _filesystem(self.path)
+        files, path = filesystem(self.path)
         info = files.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else [f for f in files.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and fnmatch(f.base_name, self.glob)]
         return [_Range(f.path, at, min(f.size, at + self.size)) for f in found for at in range(0, f.size, self.size)]
 
     def read(self, part: _Range):
-        files, _ = _filesystem(self.path)
+        files, _ = filesystem(self.path)
         with files.open_input_file(part.path) as f:
             size = f.size()
             head = _line(f, 0, size)
@@ -337,10 +339,6 @@ class _SummaryReader(DataSourceReader):
             yield (part.path.rpartition("/")[2], part.start, number, text[a:b].rstrip("\r\n"), *_values(a, record, fault))
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-
-
 def _line(f, at: int, size: int) -> bytes:
     """The line from an offset on, with its line break."""
     out = b""
