@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -18,24 +18,53 @@ def pixels(df: DataFrame, image: str, data: str, width: int) -> DataFrame:
     return rows.select("image", F.floor(F.col("_i") / width).cast("int").alias("row"), (F.col("_i") % width).cast("int").alias("col"), F.col("value").cast("double").alias("value"))
 
 
-def percentile_of(px: DataFrame, share: float, group: str = "image") -> DataFrame:
-    """(group, p): the linearly interpolated percentile of all values of each image."""
-    return px.groupBy(group).agg(F.percentile("value", F.lit(share)).alias("p"))
-
-
-def stretch_8bit(px: DataFrame, high: float = 98.0, most: float = 255.0) -> DataFrame:
-    """value: clipped at the image's high percentile, scaled to most and cut to whole numbers in 0..255; a percentile of 0 or less gives 0."""
-    rows = px.join(percentile_of(px, high / 100), "image")
-    scaled = F.floor(F.round(F.least("value", "p") * most / F.nullif("p", F.lit(0.0)), 9))  # else noise in the percentile shows
-    return rows.select("image", "row", "col", F.when(F.col("p") > 0, F.greatest(F.lit(0), F.least(F.lit(255), scaled))).otherwise(0).cast("int").alias("value"))
+def tile_percentiles(df: DataFrame, image: str, data: str, shares: dict[str, float]) -> DataFrame:
+    """(image, one column a share): linearly interpolated percentiles of all values of an image's tiles.
 
+    Exact, from histograms of the values: each task counts its tiles' values first, so that an image
+    of very many tiles sends a row a value and task (at most 256 or 65,536 values for whole
+    numbers of 8 or 16 bits). Null tiles and values don't count.
+    """
+    kind = df.schema[image].dataType.simpleString()
 
-def normalise(px: DataFrame, most: float = -1.0, share: float | None = None) -> DataFrame:
-    """value over the image's percentile (share) or the given maximum, clipped to 0..1; most -1: neither scaled nor clipped."""
+    def count(batches):
+        for batch in batches:
+            rows = []
+            for k, tiles in batch.groupby("_k", dropna=False, sort=False)["_t"]:
+                values = np.concatenate([np.empty(0), *[np.asarray(t, dtype=float) for t in tiles if t is not None]])
+                value, n = np.unique(values[~np.isnan(values)], return_counts=True)
+                rows.append(pd.DataFrame({"image": np.repeat(np.array([k], dtype=object), len(value)), "value": value, "n": n}))
+            if rows:
+                out = pd.concat(rows, ignore_index=True)
+                yield out.astype({"image": batch["_k"].dtype})
+
+    counts = df.select(F.col(image).alias("_k"), F.col(data).alias("_t")).mapInPandas(count, f"image {kind}, value double, n long").groupBy("image", "value").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("image")
+    rows = counts.withColumns({"_upto": F.sum("n").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(whole)})
+    columns = []
+    for name, share in shares.items():
+        at = (F.col("_all") - 1) * share
+        low, high = (F.min(F.when(F.col("_upto") > f(at), F.col("value"))) for f in (F.floor, F.ceil))
+        columns.append((low + (high - low) * F.first(at - F.floor(at))).alias(name))
+    return rows.groupBy("image").agg(*columns)
+
+
+def stretch_8bit(df: DataFrame, image: str, data: str, high: float = 98.0, most: float = 255.0) -> DataFrame:
+    """df's tiles clipped at their image's high percentile, scaled to most and cut to whole numbers in 0..255; a percentile of 0 or less gives 0."""
+    p = tile_percentiles(df, image, data, {"_p": high / 100}).withColumnRenamed("image", "_image")
+    scaled = lambda v: F.floor(F.round(F.least(v, F.col("_p")) * most / F.nullif(F.col("_p"), F.lit(0.0)), 9))  # else noise in the percentile shows
+    value = lambda v: F.when(v.isNotNull(), F.when(F.col("_p") > 0, F.greatest(F.lit(0), F.least(F.lit(255), scaled(v)))).otherwise(0)).cast("int")
+    return df.join(p, F.col(image).eqNullSafe(F.col("_image")), "left").withColumn(data, F.transform(data, value)).drop("_p", "_image")
+
+
+def normalise(df: DataFrame, image: str, data: str, most: float = -1.0, share: float | None = None) -> DataFrame:
+    """df's tiles over their image's percentile (share) or the given maximum, clipped to 0..1; most -1: neither scaled nor clipped."""
     if share is None and most == -1:
-        return px
-    rows = px.join(percentile_of(px, share), "image") if share is not None else px.withColumn("p", F.lit(most))
-    return rows.select("image", "row", "col", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide("value", "p"), F.lit(0.0)))).alias("value"))
+        return df
+    p = tile_percentiles(df, image, data, {"_p": share}).withColumnRenamed("image", "_image") if share is not None else None
+    rows = df.join(p, F.col(image).eqNullSafe(F.col("_image")), "left") if p is not None else df.withColumn("_p", F.lit(float(most)))
+    value = lambda v: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(v, F.col("_p")), F.lit(0.0)))))
+    return rows.withColumn(data, F.transform(data, value)).drop("_p", "_image")
 
 
 def masked(px: DataFrame, mask_value: float = 0.0) -> DataFrame:
@@ -60,6 +89,18 @@ def overlap_add(tiles: DataFrame) -> DataFrame:
     return at.groupBy("image", "row", "col").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
+def _near(rings: list[np.ndarray], distance: float, r0: int, c0: int, rows: int, cols: int) -> np.ndarray:
+    """Which pixels of a window have their centre within distance of an edge."""
+    y, x = (np.arange(r0, r0 + rows) + 0.5)[:, None], (np.arange(c0, c0 + cols) + 0.5)[None, :]
+    out = np.zeros((rows, cols), dtype=bool)
+    for p in rings:
+        for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0)):
+            dx, dy = bx - ax, by - ay
+            t = np.clip(((x - ax) * dx + (y - ay) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
+            out |= (x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2 <= distance * distance
+    return out
+
+
 def _burnt(rings: list[np.ndarray], r0: int, c0: int, rows: int, cols: int) -> np.ndarray:
     """Which pixels of a window have their centre inside, by the parity of crossings over all rings."""
     e = np.concatenate([np.column_stack([p, np.roll(p, -1, axis=0)]) for p in rings])
@@ -76,8 +117,8 @@ def _burnt(rings: list[np.ndarray], r0: int, c0: int, rows: int, cols: int) -> n
 BAND_ROWS = 64
 
 
-def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn: Column, width: int | str, height: int | str, cell: float = 1.0) -> DataFrame:
-    """(image, row, col, value): pixels whose centre lies in a polygon; of several, the last in order wins.
+def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn: Column, width: int | str, height: int | str, cell: float = 1.0, buffer: float = 0.0) -> DataFrame:
+    """(image, row, col, value): pixels whose centre lies in a polygon, or within buffer of one; of several, the last in order wins.
 
     width and height are numbers or, for rasters of several sizes, columns. The polygons go to the
     bands of BAND_ROWS rows that their boxes meet and are burnt there in order; what comes back are
@@ -87,7 +128,9 @@ def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn:
     size = lambda n: F.lit(n) if isinstance(n, int) else F.col(n)
     scaled = geom.map_points(F.col(geometry), lambda x, y: (x / cell, y / cell))
     rows = polygons.select(F.col(image).alias("image"), F.col(order).alias("_o"), burn.alias("_v"), scaled.alias("_g"), size(width).cast("int").alias("_w"), size(height).cast("int").alias("_h"))
-    rows = rows.withColumn("_b", geom.box(F.col("_g"))).where("_b is not null and _b.xmax >= 0 and _b.ymax >= 0 and _b.xmin < _w and _b.ymin < _h")
+    wide = buffer / cell
+    b = geom.box(F.col("_g"))
+    rows = rows.withColumn("_b", F.when(b.isNotNull(), geom.box_of(b["xmin"] - wide, b["ymin"] - wide, b["xmax"] + wide, b["ymax"] + wide))).where("_b is not null and _b.xmax >= 0 and _b.ymax >= 0 and _b.xmin < _w and _b.ymin < _h")
     first, last = F.greatest(F.floor("_b.ymin"), F.lit(0)), F.least(F.floor("_b.ymax"), F.col("_h") - 1)
     rows = rows.withColumn("_band", F.explode(F.sequence(F.floor(first / BAND_ROWS), F.floor(last / BAND_ROWS))))
     points = F.flatten(F.flatten("_g"))
@@ -96,19 +139,20 @@ def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn:
 
     def burn_band(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o", kind="stable", na_position="first", ignore_index=True)
-        top, wide = int(pdf["_band"].iloc[0]) * BAND_ROWS, int(pdf["_w"].max())
-        canvas = np.full((BAND_ROWS, wide), -1)
+        top, columns = int(pdf["_band"].iloc[0]) * BAND_ROWS, int(pdf["_w"].max())
+        canvas = np.full((BAND_ROWS, columns), -1)
         for k, (x, y, n, w, h) in enumerate(zip(pdf["_x"], pdf["_y"], pdf["_n"], pdf["_w"], pdf["_h"])):
-            r0, r1 = max(top, int(np.floor(np.nanmin(y)))), min(top + BAND_ROWS, int(h), int(np.floor(np.nanmax(y))) + 1)
-            c0, c1 = max(0, int(np.floor(np.nanmin(x)))), min(int(w), int(np.floor(np.nanmax(x))) + 1)
+            r0, r1 = max(top, int(np.floor(np.nanmin(y) - wide))), min(top + BAND_ROWS, int(h), int(np.floor(np.nanmax(y) + wide)) + 1)
+            c0, c1 = max(0, int(np.floor(np.nanmin(x) - wide))), min(int(w), int(np.floor(np.nanmax(x) + wide)) + 1)
             if r0 < r1 and c0 < c1:
                 rings = [r for r in np.split(np.column_stack([x, y]).astype(float), np.cumsum(n)[:-1]) if len(r)]
-                canvas[r0 - top : r1 - top, c0:c1][_burnt(rings, r0, c0, r1 - r0, c1 - c0)] = k
+                hit = _burnt(rings, r0, c0, r1 - r0, c1 - c0)
+                canvas[r0 - top : r1 - top, c0:c1][hit | _near(rings, wide, r0, c0, r1 - r0, c1 - c0) if wide else hit] = k
         start = np.column_stack([np.ones(BAND_ROWS, dtype=bool), canvas[:, 1:] != canvas[:, :-1]])
         row, col = np.nonzero(start)
         k = canvas[row, col]
         until = np.append(col[1:], 0)
-        until[np.append(row[1:] != row[:-1], True)] = wide
+        until[np.append(row[1:] != row[:-1], True)] = columns
         on = k >= 0
         return pd.DataFrame({"image": pdf["image"].iloc[0], "row": row[on] + top, "_c0": col[on], "_c1": until[on] - 1, "value": pdf["_v"].to_numpy()[k[on]]})
 
@@ -116,40 +160,24 @@ def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn:
     return runs.select("image", "row", F.explode(F.sequence("_c0", "_c1")).alias("col"), "value")
 
 
-def _transform_1d(f: np.ndarray) -> np.ndarray:
-    """Squared distance transform of each row of f by the lower envelope of parabolas."""
-    rows, n = f.shape
-    out = np.empty_like(f)
-    for r in range(rows):
-        v, z, k = [0] * n, [0.0] * (n + 1), 0
-        z[0], z[1] = -np.inf, np.inf
-        line = f[r]
-        for q in range(1, n):
-            while True:
-                s = (line[q] + q * q - line[v[k]] - v[k] * v[k]) / (2 * (q - v[k])) if np.isfinite(line[q]) or np.isfinite(line[v[k]]) else np.inf
-                if np.isinf(line[v[k]]) and np.isfinite(line[q]):
-                    s = -np.inf
-                if s <= z[k] and k > 0:
-                    k -= 1
-                    continue
-                break
-            if s == -np.inf:
-                k, v[0], z[1] = 0, q, np.inf
-            elif np.isfinite(s):
-                k += 1
-                v[k], z[k], z[k + 1] = q, s, np.inf
-        k = 0
-        for q in range(n):
-            while z[k + 1] < q:
-                k += 1
-            out[r, q] = (q - v[k]) ** 2 + line[v[k]]
-    return out
-
-
 def distance_to(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of every pixel to the nearest true pixel; inf where there is none."""
-    f = np.where(mask, 0.0, np.inf)
-    return np.sqrt(_transform_1d(_transform_1d(f).T.copy()).T)
+    """Euclidean distance of every pixel to the nearest true pixel; inf where there is none.
+
+    First along columns by running maxima of the last true row, then across: out(c) is the least of
+    (c - k)^2 + down(k)^2, tried by growing |c - k| for all pixels at once until it can't help any more.
+    """
+    rows, cols = mask.shape
+    at = np.arange(rows, dtype=float)[:, None]
+    seen = np.maximum.accumulate(np.where(mask, at, -np.inf), axis=0)
+    ahead = np.minimum.accumulate(np.where(mask, at, np.inf)[::-1], axis=0)[::-1]
+    down = np.minimum(at - seen, ahead - at) ** 2
+    out = down.copy()
+    for d in range(1, cols):
+        if d * d >= out.max():
+            break
+        out[:, d:] = np.minimum(out[:, d:], down[:, :-d] + d * d)
+        out[:, :-d] = np.minimum(out[:, :-d], down[:, d:] + d * d)
+    return np.sqrt(out)
 
 
 def signed_distance(inside: np.ndarray, scale: float = 1.0) -> np.ndarray:
@@ -210,26 +238,41 @@ def resampled_affine(tr: list[Column], factor: float) -> list[Column]:
     return [a / factor, b / factor, c, d / factor, e / factor, f]
 
 
+def labels_of(tile: np.ndarray) -> np.ndarray:
+    """A number for each pixel, the same within a 4-connected region of equal value; numbers follow the regions' first pixels.
+
+    Runs of equal value in a row are joined with those they touch in the row above: labels take the
+    least of their neighbours' until nothing moves, halving paths as they go.
+    """
+    rows, cols = tile.shape
+    start = np.ones(tile.shape, dtype=bool)
+    start[:, 1:] = tile[:, 1:] != tile[:, :-1]
+    run = np.cumsum(start).reshape(tile.shape) - 1
+    parent = np.arange(run[-1, -1] + 1) if tile.size else np.empty(0, dtype=np.int64)
+    same = tile[1:] == tile[:-1]
+    a, b = run[:-1][same], run[1:][same]
+    while len(a):
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        open_ = low != high
+        if not open_.any():
+            break
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(parent, high, low)
+        while not np.array_equal(parent, nearer := parent[parent]):
+            parent = nearer
+    return np.unique(parent, return_inverse=True)[1][run] if tile.size else run
+
+
 def regions_of(tile: np.ndarray, mask_value: float = 0.0) -> list[tuple[float, list[np.ndarray]]]:
     """(value, rings) of the 4-connected regions of equal value other than mask_value; the exterior ring first."""
-    rows, cols = tile.shape
-    label = np.full(tile.shape, -1)
+    label = labels_of(tile)
+    order = np.argsort(label, axis=None, kind="stable")
+    cuts = np.nonzero(np.diff(label.ravel()[order]))[0] + 1
     out = []
-    for r in range(rows):
-        for c in range(cols):
-            if label[r, c] >= 0 or tile[r, c] == mask_value:
-                continue
-            k, value = len(out), tile[r, c]
-            todo, cells = deque([(r, c)]), []
-            label[r, c] = k
-            while todo:
-                y, x = todo.popleft()
-                cells.append((y, x))
-                for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                    if 0 <= v < rows and 0 <= u < cols and label[v, u] < 0 and tile[v, u] == value:
-                        label[v, u] = k
-                        todo.append((v, u))
-            out.append((float(value), _trace(set(cells))))
+    for cells in np.split(order, cuts) if tile.size else []:
+        y, x = np.divmod(cells, tile.shape[1])
+        if tile[y[0], x[0]] != mask_value:
+            out.append((float(tile[y[0], x[0]]), _trace(set(zip(y.tolist(), x.tolist())))))
     return out
 
 

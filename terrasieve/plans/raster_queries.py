@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from terrasieve.functions import geom
 from terrasieve.operators import raster as X
 from terrasieve.plans.registry import Registry, vertices_sql
-from terrasieve.session import read, read_spread
+from terrasieve.session import read, read_spread, temporary_folder
+from terrasieve.sources import tiff as T
 
 query = Registry()
 R = lambda c, n=6: F.round(c, n)
@@ -20,24 +25,29 @@ def _px(spark, sf_dir):
     return rows.withColumn("value", F.floor((F.col("value") + 1) * 1000).cast("double"))
 
 
+def _tiles(spark, sf_dir):
+    return read_spread(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 1000).cast("double")).alias("tile"))
+
+
 @query(f"WITH {_PX} SELECT image, round(quantile_cont(value, 0.02), 4) AS low, round(quantile_cont(value, 0.98), 4) AS high FROM px GROUP BY image")
 def ag7_percentiles(spark, sf_dir):
     """AG7: low and high percentiles of each image."""
-    return _px(spark, sf_dir).groupBy("image").agg(R(F.percentile("value", F.lit(0.02)), 4).alias("low"), R(F.percentile("value", F.lit(0.98)), 4).alias("high"))
+    p = X.tile_percentiles(_tiles(spark, sf_dir), "image", "tile", {"low": 0.02, "high": 0.98})
+    return p.select("image", R("low", 4).alias("low"), R("high", 4).alias("high"))
 
 
 @query(f"""WITH {_PX}, p AS (SELECT image, quantile_cont(value, 0.98) AS p FROM px GROUP BY image)
 SELECT image, "row", col, CAST(CASE WHEN p > 0 THEN greatest(0, least(255, floor(round(least(value, p) * 255 / p, 9)))) ELSE 0 END AS INTEGER) AS value FROM px JOIN p USING (image)""")
 def r7_stretch_8bit(spark, sf_dir):
     """8-bit stretch to the 98th percentile."""
-    return X.stretch_8bit(_px(spark, sf_dir))
+    return X.pixels(X.stretch_8bit(_tiles(spark, sf_dir), "image", "tile"), "image", "tile", 8).withColumn("value", F.col("value").cast("int"))
 
 
 @query(f"""WITH {_PX}, p AS (SELECT image, quantile_cont(value, 0.9) AS p FROM px GROUP BY image)
 SELECT image, "row", col, round(greatest(0, least(1, value / p)), 9) AS value FROM px JOIN p USING (image)""")
 def r12_normalise(spark, sf_dir):
     """Values over a percentile, clipped."""
-    return X.normalise(_px(spark, sf_dir), share=0.9).withColumn("value", R("value", 9))
+    return X.pixels(X.normalise(_tiles(spark, sf_dir), "image", "tile", share=0.9), "image", "tile", 8).withColumn("value", R("value", 9))
 
 
 @query(f"""WITH {_PX} SELECT image, count(*) AS n, sum(value) AS total FROM px WHERE value <> 1000 AND col >= 2 AND col < 6 AND "row" >= 1 AND "row" < 7 GROUP BY image""")
@@ -124,13 +134,74 @@ def r1_polygonize(spark, sf_dir):
     return X.with_confidence(X.polygonize(e, "vec_id", "tile", 8))
 
 
-@query()
+@query("""WITH px AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+pos AS (SELECT k, greatest(0, least(7, (k + 0.5) / 2 - 0.5)) AS p FROM range(0, 16) ks(k)),
+w AS (SELECT CAST(floor(p) AS INTEGER) AS i, 1 - (p - floor(p)) AS w FROM pos UNION ALL SELECT least(7, CAST(floor(p) AS INTEGER) + 1), p - floor(p) FROM pos),
+s AS (SELECT i, sum(w) AS w FROM w GROUP BY i)
+SELECT vec_id, 256 AS n, round(sum(v * a.w * b.w), 4) AS total FROM px JOIN s a ON a.i = r JOIN s b ON b.i = c GROUP BY vec_id""")
 def r10_resample(spark, sf_dir):
     """Bilinear resampling of each tile to twice its size."""
     e = X.resample_tiles(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8, 2.0)
     return e.select("vec_id", F.size("resampled").alias("n"), R(F.aggregate("resampled", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+@query("""WITH RECURSIVE px AS (SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 AS INTEGER) AS c, CAST(floor(v * 4 + 2) AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+near AS (SELECT a.vec_id, a.r * 8 + a.c AS f, b.r * 8 + b.c AS t FROM px a JOIN px b ON a.vec_id = b.vec_id AND a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.v <> 0),
+reach(vec_id, f, t) AS (SELECT vec_id, r * 8 + c, r * 8 + c FROM px WHERE v <> 0 UNION SELECT e.vec_id, e.f, n.t FROM reach e JOIN near n ON n.vec_id = e.vec_id AND n.f = e.t),
+home AS (SELECT vec_id, t, min(f) AS region FROM reach GROUP BY ALL)
+SELECT home.vec_id, CAST(row_number() OVER (PARTITION BY home.vec_id ORDER BY home.region) - 1 AS INTEGER) AS region, any_value(v) AS value, CAST(count(*) AS DOUBLE) AS area FROM home JOIN px ON px.vec_id = home.vec_id AND px.r * 8 + px.c = t GROUP BY home.vec_id, home.region""")
+def r1_region_areas(spark, sf_dir):
+    """The regions of each tile with their polygons' area."""
+    e = read_spread(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v * 4 + 2).cast("double")).alias("tile"))
+    return X.polygonize(e, "vec_id", "tile", 8).select("vec_id", "region", "value", R(geom.area(geom.parse_wkt(F.col("wkt"))), 6).alias("area"))
+
+
+@query(f"""WITH {_DIST} SELECT image, r AS "row", c AS col, CAST(CASE WHEN abs(v) <= 1 THEN 255 WHEN v > 1 THEN image % 7 ELSE 0 END AS INTEGER) AS value FROM d""")
+def r16_voc_instances(spark, sf_dir):
+    """Instance mask, the feature's position inside, the border around it."""
+    return X.voc_classes(_distance(spark, sf_dir), 1.0, position=F.col("image") % 7)
+
+
+@query(f"""WITH {_BURN}, box AS (SELECT f_b.id, image, greatest(0, floor(xmin - 3)) AS c0, least(width - 1, floor(xmax + 3)) AS c1, greatest(0, floor(ymin - 3)) AS r0, least(height - 1, floor(ymax + 3)) AS r1 FROM f_b JOIN chips ON image = imageId),
+line AS (SELECT *, unnest(range(CAST(r0 AS BIGINT), CAST(r1 + 1 AS BIGINT))) AS r FROM box), cell AS (SELECT *, unnest(range(CAST(c0 AS BIGINT), CAST(c1 + 1 AS BIGINT))) AS c FROM line),
+across AS (SELECT l.id, l.image, r, c0, c1, x1 + (r + 0.5 - y1) * (x2 - x1) / (y2 - y1) AS x FROM line l JOIN f_s s ON s.id = l.id AND (y1 > r + 0.5) <> (y2 > r + 0.5)),
+hit AS (SELECT id, image, r, c FROM (SELECT id, image, r, x, unnest(range(CAST(c0 AS BIGINT), CAST(least(c1 + 1, greatest(c0, ceil(x - 0.5))) AS BIGINT))) AS c FROM across) WHERE c + 0.5 < x GROUP BY ALL HAVING count(*) % 2 = 1
+  UNION SELECT k.id, k.image, r, c FROM cell k JOIN (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM f_s) s ON s.id = k.id AND r + 0.5 BETWEEN least(y1, y2) - 3 AND greatest(y1, y2) + 3 AND c + 0.5 BETWEEN least(x1, x2) - 3 AND greatest(x1, x2) + 3
+  WHERE (c + 0.5 - x1 - greatest(0, least(1, ((c + 0.5 - x1) * dx + (r + 0.5 - y1) * dy) / greatest(dx * dx + dy * dy, 1e-300))) * dx) ** 2 + (r + 0.5 - y1 - greatest(0, least(1, ((c + 0.5 - x1) * dx + (r + 0.5 - y1) * dy) / greatest(dx * dx + dy * dy, 1e-300))) * dy) ** 2 <= 9)
+SELECT image, value, count(*) AS n FROM (SELECT image, r, c, arg_max(BuildingId, id) AS value FROM hit JOIN footprints ON footprint_id = id GROUP BY image, r, c) GROUP BY ALL""")
+def r5_buffered(spark, sf_dir):
+    """Footprints with a buffer of 3 pixels burnt on their chip, as pixels a building."""
+    f = read_spread(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Pix").contains("((")).select("ImageId", "footprint_id", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
+    c = read(spark, sf_dir, "chips").groupBy(F.col("imageId").alias("_i")).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    burnt = X.rasterize(f.join(c, f["ImageId"] == c["_i"]), "ImageId", "g", "footprint_id", F.col("BuildingId"), "width", "height", buffer=3.0)
+    return burnt.groupBy("image", "value").agg(F.count("*").alias("n"))
+
+
+@query("""WITH px AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, least(65535, greatest(0, floor((CAST(v AS DOUBLE) + 1) * 1000))) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))
+SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(c // 5 * 5 AS INTEGER) AS x0, CAST(r // 5 * 5 AS INTEGER) AS y0, CAST(least(5, 8 - c // 5 * 5) AS INTEGER) AS width, sum(v) AS total FROM px GROUP BY ALL""")
+def snk16_rasters(spark, sf_dir):
+    """SNK16, SNK17, SNK18, SRC12: a TIFF a tile, written and read again in windows of 5 pixels."""
+    folder = temporary_folder(spark, "rasters")
+    T.write_rasters(_tiles(spark, sf_dir).withColumn("width", F.lit(8)), "image", "tile", "width", None, None, folder, "u2")
+    w = T.read_tiles(spark, folder, 5)
+    return w.select("image_id", "x0", "y0", "width", F.aggregate("data", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query(f'WITH {_DIST} SELECT CAST(image AS VARCHAR) AS image_id, round(sum(abs(v)), 4) AS total FROM d GROUP BY image')
+def snk20_distance_arrays(spark, sf_dir):
+    """SNK20: a .npy file of each tile's signed distance, written and read again."""
+    folder = temporary_folder(spark, "arrays")
+    tiles = X.signed_distance_tiles(read_spread(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8).withColumn("width", F.lit(8))
+    T.write_arrays(tiles, "vec_id", "distance", "width", folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
+
+    @F.pandas_udf("double")
+    def total(content: pd.Series) -> pd.Series:
+        return pd.Series([float(np.abs(np.load(io.BytesIO(bytes(c)))).sum()) for c in content])
+
+    return files.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("image_id"), R(total("content"), 4).alias("total"))
+
+
 def queries() -> dict:
     return query.named
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrasieve.functions import geom
 from terrasieve.operators import matching as M
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
-from terrasieve.session import cut_lineage, new_folder, read_spread
+from terrasieve.session import cut_lineage, temporary_folder, read_spread
 from terrasieve.sources import geojson as G
 from terrasieve.sources import reports as S
 
@@ -107,7 +107,7 @@ def snk2_scored_geojson(spark, sf_dir):
     """SNK2: each image's scored proposals as GeoJSON of a fixed schema, written and read again."""
     p, t = map(cut_lineage, _tables(spark, sf_dir))
     shapes = read_spread(spark, sf_dir, "proposals").where(F.col("PolygonWKT_Pix").contains("((")).select(F.col("proposal_id").alias("id"), geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
-    folder = new_folder(spark, "scored")
+    folder = temporary_folder(spark, "scored")
     S.write_scored(M.scored_features(p, t, THRESHOLD), shapes, folder)
     rows = G.features(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.geojson").text(folder, wholetext=True).select(F.col("value").alias("body")), "body", [])
     own = lambda c, t: F.get_json_object("properties", f"$.{c}").cast(t).alias(c)
@@ -120,7 +120,7 @@ UNION ALL SELECT label || ',' || v FROM (SELECT unnest(['TruthFile', 'ProposalFi
   FROM (SELECT unnest({[*AREAS, "Total"]!r}) AS aoi) LEFT JOIN scores ON aoi = 'Total' OR contains(image_id, aoi) GROUP BY aoi))""")
 def snk10_report_csv(spark, sf_dir):
     """SNK10, SNK11, SNK12: the report of areas and chips as CSV, written and read again, without its ratios."""
-    scores, folder = cut_lineage(_scores(spark, sf_dir)), new_folder(spark, "report")
+    scores, folder = cut_lineage(_scores(spark, sf_dir)), temporary_folder(spark, "report")
     S.write_report(M.area_scores(scores, AREAS), scores, folder, "footprints", "proposals")
     areas = spark.read.text(f"{folder}/areas.csv").where(F.col("value").rlike("^(TruthFile|ProposalFile|AOI_Name|[A-Z][a-z]+ (Positive|Negative) Total),")).select(F.col("value").alias("line"))
     chips = spark.read.csv(f"{folder}/chips", header=True)

@@ -14,7 +14,7 @@ from terrasieve.operators import tables as T
 from terrasieve.operators.nearby import positions
 from terrasieve.plans.registry import POINTS_SQL as _POINTS_SQL
 from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
-from terrasieve.session import new_folder, read, read_spread
+from terrasieve.session import temporary_folder, read, read_spread
 from terrasieve.sources import geojson as G
 from terrasieve.sources import reports as S
 
@@ -492,7 +492,7 @@ def a19_line_buffers(spark, sf_dir):
 SELECT aoi, id AS footprint_id, CASE WHEN parts = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind, round(xmin, 9) AS xmin, round(ymax, 9) AS ymax FROM p""")
 def snk14_area_geojson(spark, sf_dir):
     """SNK1, SNK14: pixel polygons written in degrees as GeoJSON of each area, and read again."""
-    folder = new_folder(spark, "areas")
+    folder = temporary_folder(spark, "areas")
     written = S.write_areas(_pix(spark, sf_dir).select("footprint_id", "ImageId", "g"), read(spark, sf_dir, "chips"), folder, ["footprint_id"])
     files = spark.read.text([r.file for r in written.collect()], wholetext=True)  # a few files an area
     rows = G.features(files.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/part-", 1).alias("aoi"), F.col("value").alias("body")), "body", ["aoi"])
@@ -505,7 +505,7 @@ def snk14_area_geojson(spark, sf_dir):
 FROM chips c LEFT JOIN (SELECT * FROM footprints WHERE BuildingId <> -1) f ON f.ImageId = c.imageId""")
 def snk7_layer_summaries(spark, sf_dir):
     """SNK6, SNK7: a summary CSV of each layer, written and read again; empty texts are read as null."""
-    folder = new_folder(spark, "summaries")
+    folder = temporary_folder(spark, "summaries")
     S.write_layer_summaries(read(spark, sf_dir, "chips"), read(spark, sf_dir, "footprints"), "aoi", folder)
     rows = spark.read.schema("ImageId string, BuildingId int, PolygonWKT_Pix string, PolygonWKT_Geo string, layer string").csv(folder, header=True, escape='"')
     return rows.select("layer", "ImageId", "BuildingId", F.when(F.col("PolygonWKT_Pix") != "", F.col("PolygonWKT_Pix")).alias("PolygonWKT_Pix"))
@@ -523,7 +523,7 @@ def snk4_road_rows(spark, sf_dir):
 SELECT CASE WHEN k < floor(n * 0.6) THEN 'train' WHEN k < floor(n * 0.8) THEN 'test' ELSE 'val' END AS split, imageId || ' ' || chipName AS value FROM r""")
 def snk13_split_lists(spark, sf_dir):
     """SNK13, O4: one text list a split, written and read again."""
-    folder = new_folder(spark, "lists")
+    folder = temporary_folder(spark, "lists")
     rows = C.split_rows(read(spark, sf_dir, "chips").select("imageId", "chipName"), "imageId", [("train", 0.6), ("test", 0.2), ("val", 0.2)], "7")
     L.write_split_lists(rows, folder, ["imageId", "chipName"])
     return spark.read.schema("value string, split string").text(folder).select("split", "value")
@@ -532,7 +532,7 @@ def snk13_split_lists(spark, sf_dir):
 @query(f"""WITH {_PIX} SELECT id AS footprint_id, round(area, 6) AS area FROM f_b""")
 def src3_wkt_csv(spark, sf_dir):
     """SRC3: footprints written as CSV with header and read with the first WKT column by priority."""
-    folder = new_folder(spark, "wkt")
+    folder = temporary_folder(spark, "wkt")
     _pix_rows(spark, sf_dir).select("footprint_id", "ImageId", "PolygonWKT_Pix").write.csv(folder, header=True, escape='"')
     rows = G.read_wkt_csv(spark, folder)
     return rows.select(F.col("footprint_id").cast("long").alias("footprint_id"), R(geom.area(F.col("geometry")), 6).alias("area"))
@@ -541,7 +541,7 @@ def src3_wkt_csv(spark, sf_dir):
 @query("""SELECT imageId AS path, chipName AS description FROM chips""")
 def src5_list_csv(spark, sf_dir):
     """SRC5: a headerless list with comments and blanks, written and read again."""
-    folder = new_folder(spark, "list")
+    folder = temporary_folder(spark, "list")
     rows = read(spark, sf_dir, "chips").select(F.explode(F.array(F.lit("# a comment"), F.lit(""), F.concat_ws(" , ", "imageId", "chipName"))).alias("value"))
     rows.write.text(folder)
     return G.read_list_csv(spark, folder)
@@ -550,7 +550,7 @@ def src5_list_csv(spark, sf_dir):
 @query("""SELECT imageId, width, height FROM chips""")
 def src13_results_after_lines(spark, sf_dir):
     """SRC13: results below 66 other lines and a header, one file a part, written and read again."""
-    folder = new_folder(spark, "results")
+    folder = temporary_folder(spark, "results")
 
     def lines(batches):
         import pandas as pd

@@ -73,6 +73,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """new_folder for what is written only to be read again; it goes when the JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_folder(spark, name))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{path.toString()}/data"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

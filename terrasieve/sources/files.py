@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path within it; paths without scheme are local."""
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    """The file system and the path within it; paths without scheme, or of file:, are local and taken as they are."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    return fs.FileSystem.from_uri(path)
 
 
 def write_bytes(path: str, pieces: Iterable[bytes]) -> int:
@@ -33,7 +35,7 @@ def write_bytes(path: str, pieces: Iterable[bytes]) -> int:
 def safe_name(value) -> str:
     """A value as part of a file's name."""
     text = "null" if value is None or value != value else str(value)
-    return "".join(c if c.isalnum() or c in "._-" else f"%{ord(c):02X}" for c in text)
+    return "".join(c if c.isalnum() or c in "._-" else f"~{ord(c):02X}" for c in text)
 
 
 def write_grouped(rows: DataFrame, key: str, text: str, order: list[str], folder: str, head: str, tail: str, separator: str, suffix: str) -> DataFrame:

@@ -74,7 +74,7 @@ def test_sources_and_sinks(spark, tmp_path):
     own = G.features(df, "body", []).withColumn("BuildingId", F.get_json_object("properties", "$.BuildingId").cast("int"))
     assert G.without_placeholders(own).count() == 2
     G.write_geojson(own, str(tmp_path / "g"), "coordinates", "kind", ["BuildingId"])
-    again = G.features(G.read_files(spark, str(tmp_path / "g")), "body", [])
+    again = G.features(G.read_files(spark, str(tmp_path / "g" / "*")), "body", [])
     assert again.count() == 3 and again.first().kind == "Polygon"
     (tmp_path / "t.csv").write_text('ImageId,PolygonWKT,PolygonWKT_Geo\na,"POLYGON ((0 0, 1 0, 1 1, 0 0))",POLYGON EMPTY\n')
     assert G.read_wkt_csv(spark, str(tmp_path / "t.csv")).first().geometry == []
