@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from terrasieve.operators.chips import box_join, ordered_index
 from terrasieve.functions.wkt import parse_batch
+from terrasieve.session import cut_lineage
 
 #: Digits to which IoU is rounded, so that equal polygons tie whatever the order of summation.
 IOU_DIGITS = 9
-#: Width of a grid cell in pixels; candidate sets up to this size let later pairs be dropped early.
-CELL, MOST_SHARED = 64.0, 32
+#: Width of a grid cell in pixels; candidate sets up to this size let later pairs be dropped early;
+#: pairs of an image up to which it is folded as a whole.
+CELL, MOST_SHARED, FOLD_PAIRS = 64.0, 32, 200_000
 
 
 def edge_lists(wkts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,8 @@ def greedy_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Only IoU at or above threshold counts; ties go to the lower tid. Once k proposals with the same
     k candidates have had their turn, all these truths are certainly taken, so that later pairs
     with them are dropped beforehand; what is left for the sequential fold of an image is a few
-    pairs a truth, also in an image that holds a third of all proposals.
+    pairs a truth, also in an image that holds a third of all proposals. Images of very many pairs
+    are folded by groups of linked truths (overlap_groups), which don't affect each other.
     """
     strong = pairs.where(F.col("iou") >= threshold)
     sets = strong.groupBy("image_id", "pid").agg(F.array_sort(F.collect_set("tid")).alias("_set"))
@@ -137,9 +140,37 @@ def greedy_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 served.add(p)
                 taken.add(t)
                 keep.append(k)
-        return pdf.iloc[keep]
+        return pdf.iloc[keep][["image_id", "pid", "tid", "iou"]]
 
-    return left.groupBy("image_id").applyInPandas(fold, left.schema)
+    left = cut_lineage(left)
+    return overlap_groups(left).groupBy("image_id", "_group").applyInPandas(fold, left.schema)
+
+
+def overlap_groups(pairs: DataFrame) -> DataFrame:
+    """pairs plus _group, so that no proposal or truth of an image lies in two groups and no group is needlessly large.
+
+    An image of up to FOLD_PAIRS pairs is one group. In a larger one a group is a set of truths
+    that proposals link, found by spreading the least truth's id along the links and jumping to
+    what that one has reached, until nothing changes; each round is materialised.
+    """
+    large = pairs.groupBy("image_id").agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD_PAIRS).select("image_id")
+    if large.isEmpty():
+        return pairs.withColumn("_group", F.lit(0).cast("long"))
+    within = cut_lineage(pairs.join(large.withColumn("_large", F.lit(True)), "image_id", "left"))
+    hot = within.where("_large")
+    star = hot.groupBy("image_id", "pid").agg(F.min("tid").alias("_hub")).join(hot.select("image_id", "pid", "tid"), ["image_id", "pid"]).where("tid <> _hub").select("image_id", F.col("_hub").alias("a"), F.col("tid").alias("b")).distinct()
+    links = cut_lineage(star.unionByName(star.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut_lineage(hot.select("image_id", "tid", F.col("tid").alias("_group")).distinct())
+    while True:
+        heard = links.join(label.select("image_id", F.col("tid").alias("b"), F.col("_group").alias("_h")), ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("_h").alias("_h"))
+        least = label.join(heard.withColumnRenamed("a", "tid"), ["image_id", "tid"], "left").select("image_id", "tid", F.col("_group").alias("_was"), F.least("_group", F.coalesce("_h", "_group")).alias("_to"))
+        jump = label.select("image_id", F.col("tid").alias("_to"), F.col("_group").alias("_j"))
+        following = cut_lineage(least.join(jump, ["image_id", "_to"], "left").select("image_id", "tid", "_was", F.least("_to", F.coalesce("_j", "_to")).alias("_group")))
+        label = following.select("image_id", "tid", "_group")
+        if following.where("_was <> _group").isEmpty():
+            break
+    rows = within.join(label, ["image_id", "tid"], "left")
+    return rows.select("image_id", "pid", "tid", "iou", F.coalesce("_group", F.lit(0).cast("long")).alias("_group"))
 
 
 def closest_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -160,8 +191,6 @@ def scored_features(proposals: DataFrame, truths: DataFrame, threshold: float =
     Matches carry the truth's id and its 0-based place in the image; other proposals tid null,
     building_pos -1 and their best IoU with a truth that was free at their turn (0 without one).
     """
-    from terrasieve.session import cut_lineage
-
     pairs = cut_lineage(candidates(proposals, truths))
     matches = cut_lineage(greedy_match(pairs, threshold))
     taken = matches.select("image_id", "tid", F.col("pid").alias("_by"))

@@ -53,6 +53,31 @@ def test_greedy_equals_the_sequential_rule(spark):
     assert all((r.building_pos == -1) == (r.tid is None) for r in got)
 
 
+def test_large_images_are_folded_by_linked_truths(spark, monkeypatch):
+    """Chains, loose groups and an image that stays small, by the sequential rule; one group holds few of the truths."""
+    rng = random.Random(9)
+    want, p_rows, t_rows, k = {}, [], [], 0
+    for image, n, span in (("chain", 60, 1), ("loose", 60, 40), ("small", 3, 5)):
+        truths, props = {}, {}
+        for i in range(n):
+            k += 1
+            truths[k] = (i * 6 * span, 0, 10, 10)
+        for _ in range(5 * n):
+            k += 1
+            base = rng.choice([*truths.values()])
+            props[k] = (base[0] + rng.randint(-4, 4), base[1] + rng.randint(-1, 1), 10, 10)
+        p_rows += [(i, image, box(*b)) for i, b in props.items()]
+        t_rows += [(i, image, box(*b)) for i, b in truths.items()]
+        for p, (t, s) in serial(props, truths, 0.1).items():
+            if t is not None:
+                want[p] = (t, round(s, 6))
+    pairs = M.candidates(table(spark, p_rows), table(spark, t_rows)).where("iou >= 0.1").cache()
+    monkeypatch.setattr(M, "FOLD_PAIRS", 50)
+    groups = {(r.image_id, r._group) for r in M.overlap_groups(pairs).collect()}
+    assert sum(i == "loose" for i, _ in groups) > 30 and sum(i == "small" for i, _ in groups) == 1 and sum(i == "chain" for i, _ in groups) == 1
+    assert {r.pid: (r.tid, round(r.iou, 6)) for r in M.greedy_match(pairs, 0.1).collect()} == want
+
+
 def test_scores_cover_all_kinds_of_images(spark):
     props = table(spark, [(1, "both", box(0, 0, 10, 10)), (2, "both", box(0, 0, 10, 10)), (3, "only_p", box(0, 0, 1, 1)), (4, "placeholder", "POLYGON EMPTY"), (5, None, None)])
     truths = table(spark, [(1, "both", box(0, 0, 10, 10)), (2, "only_t", box(0, 0, 10, 10)), (3, "touch", box(0, 0, 1, 1))])
