@@ -55,3 +55,20 @@ def overlap_sql(pairs: str, a: str, b: str) -> str:
     a.y1 + (l - a.x1) * (a.y2 - a.y1) / (a.x2 - a.x1) AS fl, a.y1 + (r - a.x1) * (a.y2 - a.y1) / (a.x2 - a.x1) AS fr,
     b.y1 + (l - b.x1) * (b.y2 - b.y1) / (b.x2 - b.x1) AS gl, b.y1 + (r - b.x1) * (b.y2 - b.y1) / (b.x2 - b.x1) AS gr
   FROM (SELECT pid, tid, a, b, greatest(a.x1, b.x1) AS l, least(a.x2, b.x2) AS r FROM {pairs} JOIN {a} a ON a.id = pid JOIN {b} b ON b.id = tid) WHERE l < r))) GROUP BY ALL"""
+
+
+def union_sql(edges: str, name: str = "un") -> str:
+    """CTEs that end in {name} (grp, area): the area of the union of the polygons (grp, poly) given by their edges x1, y1, x2, y2.
+
+    The plane is cut into slabs at all vertices and crossings of a group; within a slab the union's
+    length is linear, so that its length at the slab's middle times its width is its area. Polygons are taken by parity.
+    """
+    return f"""{name}_e AS (SELECT grp, poly, least(x1, x2) AS x1, CASE WHEN x1 < x2 THEN y1 ELSE y2 END AS y1, greatest(x1, x2) AS x2, CASE WHEN x1 < x2 THEN y2 ELSE y1 END AS y2, row_number() OVER () AS n FROM {edges} WHERE x1 <> x2),
+{name}_m AS (SELECT *, (y2 - y1) / (x2 - x1) AS m FROM {name}_e),
+{name}_x AS (SELECT grp, x1 AS x FROM {name}_e UNION SELECT grp, x2 FROM {name}_e UNION SELECT grp, x FROM (
+  SELECT a.grp, (b.y1 - b.m * b.x1 - a.y1 + a.m * a.x1) / (a.m - b.m) AS x, greatest(a.x1, b.x1) AS l, least(a.x2, b.x2) AS r FROM {name}_m a JOIN {name}_m b ON a.grp = b.grp AND a.n < b.n AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.m <> b.m
+    AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)) WHERE x > l AND x < r),
+{name}_s AS (SELECT grp, l, r, (l + r) / 2 AS c FROM (SELECT grp, x AS l, lead(x) OVER (PARTITION BY grp ORDER BY x) AS r FROM {name}_x) WHERE r > l),
+{name}_y AS (SELECT s.grp, l, r, poly, y1 + (c - x1) * m AS y FROM {name}_s s JOIN {name}_m e ON e.grp = s.grp AND e.x1 <= l AND e.x2 >= r),
+{name}_i AS (SELECT grp, l, r, y AS lo, hi FROM (SELECT *, lead(y) OVER w AS hi, row_number() OVER w AS k FROM {name}_y WINDOW w AS (PARTITION BY grp, l, poly ORDER BY y)) WHERE k % 2 = 1 AND hi IS NOT NULL),
+{name} AS (SELECT grp, sum((r - l) * greatest(0, hi - greatest(lo, coalesce(before, lo)))) AS area FROM (SELECT *, max(hi) OVER (PARTITION BY grp, l ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {name}_i) GROUP BY grp)"""

@@ -13,7 +13,7 @@ from terrasieve.operators import overlay as O
 from terrasieve.operators import tables as T
 from terrasieve.operators.nearby import positions
 from terrasieve.plans.registry import POINTS_SQL as _POINTS_SQL
-from terrasieve.plans.registry import Registry, overlap_sql, vertices_sql
+from terrasieve.plans.registry import Registry, overlap_sql, union_sql, vertices_sql
 from terrasieve.session import temporary_folder, read, read_spread
 from terrasieve.sources import geojson as G
 from terrasieve.sources import reports as S
@@ -471,18 +471,24 @@ def f13_repaired_area(spark, sf_dir):
     return rows.select("footprint_id", R("area", 6).alias("area"))
 
 
-@query()
+@query(f"""WITH {_PIX}, pe AS (SELECT image AS grp, (id, part) AS poly, x1, y1, x2, y2 FROM f_s), {union_sql("pe")},
+b AS (SELECT id, image, CAST(floor(min(x) / 325) AS BIGINT) AS cx0, CAST(floor(max(x) / 325) AS BIGINT) AS cx1, CAST(floor(min(y) / 325) AS BIGINT) AS cy0, CAST(floor(max(y) / 325) AS BIGINT) AS cy1 FROM f_v GROUP BY ALL),
+n AS (SELECT image, count(*) AS cells FROM (SELECT DISTINCT image, cx, unnest(range(cy0, cy1 + 1)) AS cy FROM (SELECT *, unnest(range(cx0, cx1 + 1)) AS cx FROM b)) GROUP BY image)
+SELECT grp AS "ImageId", round(area, 6) AS area, cells, f.b AS "BuildingId" FROM un JOIN n ON n.image = grp JOIN (SELECT ImageId, arg_min(BuildingId, footprint_id) AS b FROM footprints GROUP BY 1) f ON f.ImageId = grp""")
 def ag5_dissolved(spark, sf_dir):
     """AG4, AG5: the union of each image's footprints, cell by cell, summed up."""
     rows = O.dissolve(read_spread(spark, sf_dir, "footprints"), "ImageId", "PolygonWKT_Pix", 325.0, ["BuildingId"], "footprint_id")
-    return rows.groupBy("ImageId").agg(R(F.sum("area"), 4).alias("area"), F.count("*").alias("cells"), F.first("BuildingId").alias("BuildingId"))
+    return rows.groupBy("ImageId").agg(R(F.sum("area"), 6).alias("area"), F.count("*").alias("cells"), F.first("BuildingId").alias("BuildingId"))
 
 
-@query()
+@query(f"""WITH {_PIX}, seg AS (SELECT id, row_number() OVER () AS poly, x1, y1, x2, y2, atan2(y2 - y1, x2 - x1) AS way FROM f_s),
+v AS (SELECT id, poly, k, CASE WHEN k < 3 THEN x2 ELSE x1 END + 2 * cos(a) AS x, CASE WHEN k < 3 THEN y2 ELSE y1 END + 2 * sin(a) AS y FROM (SELECT *, way + CASE WHEN k < 3 THEN (k - 1) * pi() / 2 ELSE pi() + (k - 4) * pi() / 2 END AS a FROM seg, range(0, 6) ks(k))),
+pe AS (SELECT id AS grp, poly, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY poly ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), {union_sql("pe")}
+SELECT grp AS footprint_id, round(area, 7) AS area FROM un""")
 def a19_line_buffers(spark, sf_dir):
     """Buffers of 2 pixels around the footprints' outlines, all rings of all parts."""
     rows = O.buffer_lines(_pix(spark, sf_dir).select("footprint_id", F.flatten("g").alias("rings")), "footprint_id", "rings", 2.0)
-    return rows.select("footprint_id", R("area", 4).alias("area"))
+    return rows.select("footprint_id", R("area", 7).alias("area"))
 
 
 # sinks and sources, written to the shared folder and read again
