@@ -17,7 +17,7 @@ from terrasieve.session import cut_lineage
 IOU_DIGITS = 9
 #: Width of a grid cell in pixels; candidate sets up to this size let later pairs be dropped early;
 #: pairs of an image up to which it is folded as a whole.
-CELL, MOST_SHARED, FOLD_PAIRS = 64.0, 32, 200_000
+CELL, MOST_SHARED, FOLD_PAIRS = 128.0, 32, 200_000
 
 
 def edge_lists(wkts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
