@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.operators.chips import box_join, ordered_index
+from terrasieve.operators.components import components
 from terrasieve.functions.wkt import parse_batch
 from terrasieve.session import cut_lineage
 
@@ -150,25 +151,16 @@ def overlap_groups(pairs: DataFrame) -> DataFrame:
     """pairs plus _group, so that no proposal or truth of an image lies in two groups and no group is needlessly large.
 
     An image of up to FOLD_PAIRS pairs is one group. In a larger one a group is a set of truths
-    that proposals link, found by spreading the least truth's id along the links and jumping to
-    what that one has reached, until nothing changes; each round is materialised.
+    that proposals link (a component).
     """
     large = pairs.groupBy("image_id").agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD_PAIRS).select("image_id")
     if large.isEmpty():
         return pairs.withColumn("_group", F.lit(0).cast("long"))
     within = cut_lineage(pairs.join(large.withColumn("_large", F.lit(True)), "image_id", "left"))
     hot = within.where("_large")
-    star = hot.groupBy("image_id", "pid").agg(F.min("tid").alias("_hub")).join(hot.select("image_id", "pid", "tid"), ["image_id", "pid"]).where("tid <> _hub").select("image_id", F.col("_hub").alias("a"), F.col("tid").alias("b")).distinct()
-    links = cut_lineage(star.unionByName(star.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut_lineage(hot.select("image_id", "tid", F.col("tid").alias("_group")).distinct())
-    while True:
-        heard = links.join(label.select("image_id", F.col("tid").alias("b"), F.col("_group").alias("_h")), ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("_h").alias("_h"))
-        least = label.join(heard.withColumnRenamed("a", "tid"), ["image_id", "tid"], "left").select("image_id", "tid", F.col("_group").alias("_was"), F.least("_group", F.coalesce("_h", "_group")).alias("_to"))
-        jump = label.select("image_id", F.col("tid").alias("_to"), F.col("_group").alias("_j"))
-        following = cut_lineage(least.join(jump, ["image_id", "_to"], "left").select("image_id", "tid", "_was", F.least("_to", F.coalesce("_j", "_to")).alias("_group")))
-        label = following.select("image_id", "tid", "_group")
-        if following.where("_was <> _group").isEmpty():
-            break
+    hub = hot.groupBy("image_id", "pid").agg(F.min("tid").alias("a"))
+    links = hub.join(hot.select("image_id", "pid", F.col("tid").alias("b")), ["image_id", "pid"])
+    label = components(hot.select("image_id", F.col("tid").alias("node")), links, "image_id").select("image_id", F.col("node").alias("tid"), F.col("group").alias("_group"))
     rows = within.join(label, ["image_id", "tid"], "left")
     return rows.select("image_id", "pid", "tid", "iou", F.coalesce("_group", F.lit(0).cast("long")).alias("_group"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.functions import geom
+from terrasieve.operators.components import components
+from terrasieve.session import cut_lineage
 
 
 def pixels(df: DataFrame, image: str, data: str, width: int) -> DataFrame:
@@ -276,13 +278,25 @@ def regions_of(tile: np.ndarray, mask_value: float = 0.0) -> list[tuple[float, l
     return out
 
 
-def _trace(cells: set[tuple[int, int]]) -> list[np.ndarray]:
-    """Boundary rings of a set of pixels, interior on the left, straight runs merged."""
-    edges = defaultdict(list)
+def _outline(cells: set[tuple[int, int]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """The directed unit edges around a set of pixels, interior on the left."""
+    out = []
     for y, x in cells:
         for (v, u), a, b in (((y - 1, x), (x + 1, y), (x, y)), ((y + 1, x), (x, y + 1), (x + 1, y + 1)), ((y, x - 1), (x, y), (x, y + 1)), ((y, x + 1), (x + 1, y + 1), (x + 1, y))):
             if (v, u) not in cells:
-                edges[a].append(b)
+                out.append((a, b))
+    return out
+
+
+def _trace(cells: set[tuple[int, int]]) -> list[np.ndarray]:
+    """Boundary rings of a set of pixels, interior on the left, straight runs merged."""
+    return _rings(_outline(cells))
+
+
+def _rings(outline: list[tuple[tuple[int, int], tuple[int, int]]]) -> list[np.ndarray]:
+    edges = defaultdict(list)
+    for a, b in outline:
+        edges[a].append(b)
     rings = []
     while edges:
         start = min(edges)
@@ -324,6 +338,76 @@ def polygonize(df: DataFrame, key: str, data: str, width: int, mask_value: float
     return df.select(key, data).mapInPandas(run, f"`{key}` {key_type}, region int, value double, wkt string, n_rings int")
 
 
+def polygonize_tiles(df: DataFrame, image: str, row: str, col: str, data: str, size: int, mask_value: float = 0.0) -> DataFrame:
+    """(image, region, value, area, wkt): polygons of the equal-valued regions of whole rasters that lie in tiles.
+
+    Tiles are row-major arrays of size columns (those at the right and lower edge may be padded
+    with mask_value) at tile row and tile column. Regions are found in each tile, those that meet across
+    a border are linked, and components of these links are the raster's regions, named by their
+    least pixel number in tile order. Outlines come from the tiles' edges without those that two parts
+    of one region share. Only border pixels and outlines are shuffled; one region's outline is traced
+    in one task. Null tiles have no regions.
+    """
+    kind = df.schema[image].dataType.simpleString()
+    tiles = df.select(F.col(image).alias("image"), F.col(row).cast("long").alias("ty"), F.col(col).cast("long").alias("tx"), F.col(data).alias("tile"))
+    schema = f"image {kind}, node long, value double, area long, edges array<long>, side array<string>, place array<long>"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, ty, tx, t in zip(batch["image"], batch["ty"], batch["tx"], batch["tile"]):
+                if t is None or not len(t):
+                    continue
+                a = np.asarray(t, dtype=float).reshape(-1, size)
+                label, high = labels_of(a), a.shape[0]
+                base = ((int(ty) << 24) + int(tx)) * (size * size)
+                order = np.argsort(label, axis=None, kind="stable")
+                for cells in np.split(order, np.nonzero(np.diff(label.ravel()[order]))[0] + 1):
+                    y, x = np.divmod(cells, size)
+                    value = a[y[0], x[0]]
+                    if value == mask_value or np.isnan(value):
+                        continue
+                    edges = [v for (ax, ay), (bx, by) in _outline(set(zip(y.tolist(), x.tolist()))) for v in (ax + tx * size, ay + ty * size, bx + tx * size, by + ty * size)]
+                    side, place = [], []
+                    for name, on, border, at in (("v", x == 0, tx, y + ty * size), ("v", x == size - 1, tx + 1, y + ty * size), ("h", y == 0, ty, x + tx * size), ("h", y == high - 1, ty + 1, x + tx * size)):
+                        side += [f"{name}{int(border)}"] * int(on.sum())
+                        place += at[on].tolist()
+                    rows.append((k, base + int(cells[0]), float(value), len(cells), edges, side, place))
+            yield pd.DataFrame(rows, columns=["image", "node", "value", "area", "edges", "side", "place"])
+
+    parts = cut_lineage(tiles.mapInPandas(run, schema))
+    border = parts.select("image", "node", "value", F.explode(F.arrays_zip("side", "place")).alias("_b")).select("image", "node", "value", "_b.side", "_b.place")
+    links = border.groupBy("image", "side", "place", "value").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")  # two pixels a place at most
+    named = components(parts.select("image", "node"), links.select("image", "a", "b"), "image")
+    whole = parts.select("image", "node", "value", "area", "edges").join(named, ["image", "node"])
+    placed = whole.repartition("image", "group").sortWithinPartitions("image", "group")
+
+    def polygon(key: tuple, value: float, area: int, edges: list[np.ndarray]) -> tuple:
+        outline = np.concatenate(edges).reshape(-1, 4).tolist()
+        if len(edges) > 1:  # without the edges that two parts share
+            there = {tuple(e) for e in outline}
+            outline = [e for e in outline if (e[2], e[3], e[0], e[1]) not in there]
+        text = ", ".join("(" + ", ".join(f"{x:g} {y:g}" for x, y in r) + ")" for r in _rings([((e[0], e[1]), (e[2], e[3])) for e in outline]))
+        return *key, value, area, f"POLYGON ({text})"
+
+    def trace(batches):
+        key, value, area, edges, held = None, 0.0, 0, [], []
+        for batch in batches:
+            for k, group, v, n, e in zip(batch["image"], batch["group"], batch["value"], batch["area"], batch["edges"]):
+                if key != (k, group):
+                    if key is not None:
+                        held.append(polygon(key, value, area, edges))
+                    key, value, area, edges = (k, group), v, 0, []
+                area += n
+                edges.append(e)
+            yield pd.DataFrame(held, columns=["image", "region", "value", "area", "wkt"])
+            held = []
+        if key is not None:
+            yield pd.DataFrame([polygon(key, value, area, edges)], columns=["image", "region", "value", "area", "wkt"])
+
+    return placed.mapInPandas(trace, f"image {kind}, region long, value double, area long, wkt string")
+
+
 def with_confidence(df: DataFrame, conf: Column | None = None) -> DataFrame:
     """df plus conf, 1 unless given."""
     return df.withColumn("conf", F.lit(1) if conf is None else conf)

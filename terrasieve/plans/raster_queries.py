@@ -156,6 +156,19 @@ def r1_region_areas(spark, sf_dir):
     return X.polygonize(e, "vec_id", "tile", 8).select("vec_id", "region", "value", R(geom.area(geom.parse_wkt(F.col("wkt"))), 6).alias("area"))
 
 
+@query("""WITH RECURSIVE px AS (SELECT vec_id // 2 AS image, CAST((i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 + vec_id % 2 * 8 AS INTEGER) AS c, CAST(floor(v * 4 + 2) AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+near AS (SELECT a.image, a.r * 16 + a.c AS f, b.r * 16 + b.c AS t FROM px a JOIN px b ON a.image = b.image AND a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.v <> 0),
+reach(image, f, t) AS (SELECT image, r * 16 + c, r * 16 + c FROM px WHERE v <> 0 UNION SELECT e.image, e.f, n.t FROM reach e JOIN near n ON n.image = e.image AND n.f = e.t),
+home AS (SELECT image, t, min(f) AS region FROM reach GROUP BY ALL),
+areas AS (SELECT home.image, home.region, any_value(v) AS value, count(*) AS area FROM home JOIN px ON px.image = home.image AND px.r * 16 + px.c = t GROUP BY home.image, home.region)
+SELECT image, value, CAST(area AS BIGINT) AS area, CAST(area AS DOUBLE) AS outlined, count(*) AS n FROM areas GROUP BY ALL""")
+def r1_whole_regions(spark, sf_dir):
+    """Regions of rasters of two tiles each, joined across the tiles' border, with the area of their outline."""
+    e = read_spread(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("image"), F.lit(0).alias("ty"), (F.col("vec_id") % 2).alias("tx"), F.transform("embedding", lambda v: F.floor(v * 4 + 2).cast("double")).alias("tile"))
+    rows = X.polygonize_tiles(e, "image", "ty", "tx", "tile", 8)
+    return rows.select("image", "value", "area", R(geom.area(geom.parse_wkt(F.col("wkt"))), 6).alias("outlined")).groupBy("image", "value", "area", "outlined").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_DIST} SELECT image, r AS "row", c AS col, CAST(CASE WHEN abs(v) <= 1 THEN 255 WHEN v > 1 THEN image % 7 ELSE 0 END AS INTEGER) AS value FROM d""")
 def r16_voc_instances(spark, sf_dir):
     """Instance mask, the feature's position inside, the border around it."""

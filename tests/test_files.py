@@ -154,3 +154,25 @@ def test_percentiles_over_tiles(spark):
     assert len(out) == len(tiles) and max(v for v in out[1]) <= 255 and out[61][0] is None and out[62] is None
     assert X.normalise(df, "img", "t").columns == df.columns and X.normalise(df, "img", "t", most=10.0).where("image = 61").first().t == [None, 1.0, 0.3]
     assert X.tile_percentiles(df.limit(0), "img", "t", {"a": 0.5}).count() == 0
+
+
+def test_regions_of_whole_rasters(spark):
+    """Tiles of 8 pixels against the raster in one piece: the same areas, and outlines that hold them; a spiral crosses every border often."""
+    from terrasieve.functions import geom
+
+    rng = np.random.default_rng(8)
+    spiral = np.zeros((24, 24))
+    for k in range(0, 12, 2):
+        spiral[k, k : 24 - k] = spiral[23 - k, k : 24 - k] = 1
+        spiral[k : 24 - k, 23 - k] = spiral[k + 2 : 24 - k, k] = 1
+        if k:
+            spiral[k, k - 1] = 1
+    rasters = {"noise": rng.integers(0, 3, (24, 24)).astype(float), "spiral": spiral, "flat": np.full((24, 24), 5.0), "none": np.zeros((24, 24))}
+    rows = [(name, r // 8, c // 8, a[r : r + 8, c : c + 8].ravel().tolist(), 3) for name, a in rasters.items() for r in range(0, 24, 8) for c in range(0, 24, 8)] + [("flat", 9, 9, None, 3)]
+    df = spark.createDataFrame(rows, "img string, y int, x int, t array<double>, region int")
+    out = X.polygonize_tiles(df, "img", "y", "x", "t", 8).withColumn("outlined", geom.area(geom.parse_wkt(F.col("wkt")))).collect()
+    for name, a in rasters.items():
+        whole = sorted((v, sum(abs(np.sum(p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1])) / 2 * (1 if i == 0 else -1) for i, p in enumerate(rings))) for v, rings in X.regions_of(a))
+        assert sorted((r.value, float(r.area)) for r in out if r.image == name) == whole
+    assert all(r.outlined == r.area for r in out) and not any(r.image == "none" for r in out)
+    assert X.polygonize_tiles(df.limit(0), "img", "y", "x", "t", 8).count() == 0
