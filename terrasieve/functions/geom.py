@@ -10,7 +10,7 @@ Null geometry gives null; an empty one gives area 0, length 0, and a null box an
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MULTI_TYPE = "array<array<array<struct<x:double,y:double>>>>"
@@ -34,6 +34,12 @@ def parse_wkt(wkt: Column) -> Column:
     return F.when(kind & body.rlike(r"(?i)^EMPTY"), F.array().cast(MULTI_TYPE)).when(kind, parts)
 
 
+def once(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
+    """keep and the new columns, each worked out once a row: the optimizer doesn't merge a generator with what uses it,
+    whereas a long expression is else repeated wherever its column occurs."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def parse_line(wkt: Column) -> Column:
     """RING of a LINESTRING text."""
     body = F.regexp_extract(wkt, r"(?i)^\s*LINESTRING\s*Z?\s*\(([^()]*)\)", 1)

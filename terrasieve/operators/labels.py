@@ -17,7 +17,7 @@ def objects(polygons: DataFrame, chips: DataFrame, resize: float = 1.0, truncate
     rows = polygons.withColumn("image_id", F.col("ImageId")).join(chips.select(F.col("imageId").alias("image_id"), "width", "height"), "image_id")
     if most_truncated > 0 and truncated_field in rows.columns:
         rows = rows.where(F.col(truncated_field) > most_truncated)
-    rows = rows.withColumn("_box", geom.box(F.col("g"))).where(F.col("_box").isNotNull())
+    rows = geom.once(rows, ["*"], _box=geom.box(F.col("g"))).where(F.col("_box").isNotNull())
     extra = [truncated_field] if truncated_field in rows.columns else []
     return rows.select("footprint_id", "image_id", "width", "height", geom.resize_box(F.col("_box"), resize).alias("bndbox"), F.col("g").alias("geometry"), *extra)
 

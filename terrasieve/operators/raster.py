@@ -116,7 +116,7 @@ def _burnt(rings: list[np.ndarray], r0: int, c0: int, rows: int, cols: int) -> n
 
 
 #: Rows of a raster that one task burns at a time.
-BAND_ROWS = 64
+BAND_ROWS = 256
 
 
 def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn: Column, width: int | str, height: int | str, cell: float = 1.0, buffer: float = 0.0) -> DataFrame:
@@ -128,21 +128,21 @@ def rasterize(polygons: DataFrame, image: str, geometry: str, order: str, burn:
     size in the polygons' units.
     """
     size = lambda n: F.lit(n) if isinstance(n, int) else F.col(n)
-    scaled = geom.map_points(F.col(geometry), lambda x, y: (x / cell, y / cell))
-    rows = polygons.select(F.col(image).alias("image"), F.col(order).alias("_o"), burn.alias("_v"), scaled.alias("_g"), size(width).cast("int").alias("_w"), size(height).cast("int").alias("_h"))
     wide = buffer / cell
-    b = geom.box(F.col("_g"))
-    rows = rows.withColumn("_b", F.when(b.isNotNull(), geom.box_of(b["xmin"] - wide, b["ymin"] - wide, b["xmax"] + wide, b["ymax"] + wide))).where("_b is not null and _b.xmax >= 0 and _b.ymax >= 0 and _b.xmin < _w and _b.ymin < _h")
-    first, last = F.greatest(F.floor("_b.ymin"), F.lit(0)), F.least(F.floor("_b.ymax"), F.col("_h") - 1)
-    rows = rows.withColumn("_band", F.explode(F.sequence(F.floor(first / BAND_ROWS), F.floor(last / BAND_ROWS))))
-    points = F.flatten(F.flatten("_g"))
-    rows = rows.select("image", "_band", "_o", "_v", "_w", "_h", F.transform(points, lambda p: p["x"]).alias("_x"), F.transform(points, lambda p: p["y"]).alias("_y"), F.transform(F.flatten("_g"), lambda r: F.size(r)).alias("_n"))
+    rows = geom.once(polygons, [F.col(image).alias("image"), F.col(order).alias("_o"), burn.alias("_v"), size(width).cast("int").alias("_w"), size(height).cast("int").alias("_h")], _g=F.col(geometry))
+    points, scaled = F.flatten(F.flatten("_g")), lambda axis: lambda p: p[axis] / cell
+    keep = ["image", "_o", "_v", "_w", "_h"]
+    rows = geom.once(rows.where(F.size("_g") > 0), keep, _x=F.transform(points, scaled("x")), _y=F.transform(points, scaled("y")), _n=F.transform(F.flatten("_g"), lambda r: F.size(r)))
+    rows = geom.once(rows, [*keep, "_x", "_y", "_n"], _x0=F.array_min("_x") - wide, _y0=F.array_min("_y") - wide, _x1=F.array_max("_x") + wide, _y1=F.array_max("_y") + wide)
+    rows = rows.where("_x1 >= 0 and _y1 >= 0 and _x0 < _w and _y0 < _h")
+    first, last = F.greatest(F.floor("_y0"), F.lit(0)), F.least(F.floor("_y1"), F.col("_h") - 1)
+    rows = rows.select(*keep, "_x", "_y", "_n", F.explode(F.sequence(F.floor(first / BAND_ROWS), F.floor(last / BAND_ROWS))).alias("_band"))
     image_type, value_type = (rows.schema[c].dataType.simpleString() for c in ("image", "_v"))
 
     def burn_band(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o", kind="stable", na_position="first", ignore_index=True)
         top, columns = int(pdf["_band"].iloc[0]) * BAND_ROWS, int(pdf["_w"].max())
-        canvas = np.full((BAND_ROWS, columns), -1)
+        canvas = np.full((BAND_ROWS, columns), -1, dtype=np.int32)
         for k, (x, y, n, w, h) in enumerate(zip(pdf["_x"], pdf["_y"], pdf["_n"], pdf["_w"], pdf["_h"])):
             r0, r1 = max(top, int(np.floor(np.nanmin(y) - wide))), min(top + BAND_ROWS, int(h), int(np.floor(np.nanmax(y) + wide)) + 1)
             c0, c1 = max(0, int(np.floor(np.nanmin(x) - wide))), min(int(w), int(np.floor(np.nanmax(x) + wide)) + 1)

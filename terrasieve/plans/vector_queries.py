@@ -30,7 +30,7 @@ def _pix_rows(spark, sf_dir):
 
 def _pix(spark, sf_dir):
     """footprints with a pixel polygon, parsed."""
-    return _pix_rows(spark, sf_dir).select("footprint_id", "ImageId", "BuildingId", geom.parse_wkt(F.col("PolygonWKT_Pix")).alias("g"))
+    return geom.once(_pix_rows(spark, sf_dir), ["footprint_id", "ImageId", "BuildingId"], g=geom.parse_wkt(F.col("PolygonWKT_Pix")))
 
 
 # sources
@@ -82,7 +82,7 @@ SELECT id AS footprint_id, round(area, 6) AS area, round(l, 4) AS length, round(
 def a22_measures(spark, sf_dir):
     """Area, perimeter, centroid and envelope of parsed polygons with holes and parts."""
     g = F.col("g")
-    rows = _pix(spark, sf_dir).select("footprint_id", geom.area(g).alias("area"), geom.perimeter(g).alias("length"), geom.centroid(g).alias("c"), geom.box(g).alias("b"))
+    rows = geom.once(_pix(spark, sf_dir), ["footprint_id"], area=geom.area(g), length=geom.perimeter(g), c=geom.centroid(g), b=geom.box(g))
     return rows.select("footprint_id", R("area", 6).alias("area"), R("length", 4).alias("length"), R("c.x", 3).alias("cx"), R("c.y", 3).alias("cy"), "b.xmin", "b.ymin", "b.xmax", "b.ymax")
 
 
@@ -94,8 +94,9 @@ def a1_geo_to_pixel(spark, sf_dir):
     f = read(spark, sf_dir, "footprints").where(F.col("PolygonWKT_Geo").contains("((")).select("footprint_id", F.col("ImageId").alias("image"), "PolygonWKT_Geo")
     tr = [F.col(f"tr_{x}") for x in "abcdef"]
     j = f.join(read(spark, sf_dir, "chips").select(F.col("imageId").alias("image"), *tr), "image")
-    b = geom.box(geom.map_points(geom.parse_wkt(F.col("PolygonWKT_Geo")), geom.geo_to_pixel(*tr)))
-    return j.select("footprint_id", b.alias("b")).select("footprint_id", *[R(f"b.{x}", 3).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
+    g = geom.once(j, ["footprint_id", *tr], g=geom.parse_wkt(F.col("PolygonWKT_Geo")))
+    p = geom.once(g, ["footprint_id"], p=geom.map_points(F.col("g"), geom.geo_to_pixel(*tr)))
+    return geom.once(p, ["footprint_id"], b=geom.box(F.col("p"))).select("footprint_id", *[R(f"b.{x}", 3).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @query(f"""WITH {_PIX}, p AS (SELECT id, tr_a * x + tr_b * y + tr_c AS gx, tr_d * x + tr_e * y + tr_f AS gy FROM f_v JOIN chips ON image = imageId)
@@ -104,8 +105,8 @@ def a2_pixel_to_geo(spark, sf_dir):
     """A2, A3, SNK14: pixel polygons in degrees."""
     tr = [F.col(f"tr_{x}") for x in "abcdef"]
     j = _pix(spark, sf_dir).select("footprint_id", F.col("ImageId").alias("image"), "g").join(read(spark, sf_dir, "chips").select(F.col("imageId").alias("image"), *tr), "image")
-    b = geom.box(geom.map_points(F.col("g"), geom.pixel_to_geo(*tr)))
-    return j.select("footprint_id", b.alias("b")).select("footprint_id", *[R(f"b.{x}", 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
+    p = geom.once(j, ["footprint_id"], p=geom.map_points(F.col("g"), geom.pixel_to_geo(*tr)))
+    return geom.once(p, ["footprint_id"], b=geom.box(F.col("p"))).select("footprint_id", *[R(f"b.{x}", 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @query(f"""WITH {_PIX}, r AS (SELECT id, part, ring, string_agg(printf('%.0f %.0f', round_even(x, 0), round_even(y, 0)), ', ' ORDER BY k) AS t FROM f_v GROUP BY ALL),
