@@ -55,6 +55,16 @@ def strip_all(text: Column, parts: list[str]) -> Column:
     return out
 
 
+def name_pieces(text: Column) -> Column:
+    """All pieces of a name that begin and end at a separator (_ . / - or blank) or at an end of it, each once.
+
+    What a name holds as whole tokens is found by an equi-join on these; a name of n tokens has at most n (n + 1) / 2.
+    """
+    parts = F.split(text, r"(?<=[_./\- ])|(?=[_./\- ])")  # tokens and separators in turns
+    tokens = F.filter(F.transform(parts, lambda p, i: F.when(~p.rlike(r"^[_./\- ]?$"), i)), lambda i: i.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b >= a), lambda b: F.array_join(F.slice(parts, a + 1, b - a + 1), "")))))
+
+
 def area_name(number: Column, name: Column) -> Column:
     return F.format_string("AOI_%s_%s", number, name)
 

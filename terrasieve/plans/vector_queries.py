@@ -445,10 +445,12 @@ def j10_ways(spark, sf_dir):
 
 @query("""SELECT p.proposal_id, c.chipName FROM proposals p LEFT JOIN (SELECT imageId, min(chipName) AS chipName FROM chips GROUP BY imageId) c ON p.ImageId = c.imageId""")
 def j8_raster_of_image(spark, sf_dir):
-    """The first raster whose name holds the image's id; the id is cut out of the name, so that the join stays an equi-join."""
-    c = read(spark, sf_dir, "chips").select(F.regexp_extract("chipName", r"(AOI_[0-9]+_[A-Za-z]+_img[0-9]+)", 1).alias("_id"), "chipName")
-    first = c.groupBy("_id").agg(F.min("chipName").alias("chipName"))
+    """The first raster whose name holds the image's id as whole tokens, by an equi-join on the name's pieces."""
     p = read(spark, sf_dir, "proposals").select("proposal_id", "ImageId")
+    asked = p.select("ImageId").distinct()
+    pieces = read(spark, sf_dir, "chips").select("chipName", F.explode(T.name_pieces(F.col("chipName"))).alias("_id"))
+    c = pieces.join(asked, F.col("_id") == F.col("ImageId"), "left_semi")
+    first = c.groupBy("_id").agg(F.min("chipName").alias("chipName"))
     return p.join(first, p["ImageId"] == first["_id"], "left").select("proposal_id", "chipName")
 
 

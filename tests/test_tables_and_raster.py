@@ -135,3 +135,10 @@ def test_burnt_on_the_chips_own_pixels(spark, tmp_path):
     want = {("a", r, c): 5 for r in (1, 2) for c in (1, 2, 3)} | {("a", r, c): 6 for r in (2, 3) for c in (3, 4, 5)} | {("a", r, c): 7 for r in range(380, 390) for c in range(380, 390)}
     want |= {("b", r, c): 8 for r in range(60, 69) for c in range(60, 69) if not (62 <= r < 67 and 62 <= c < 67)} | {("b", 0, c): 8 for c in (0, 1)}
     assert got == want
+
+
+def test_pieces_of_names(spark):
+    df = spark.createDataFrame([("/srv/RGB_AOI_1_x-img12.tif",), ("a",), ("__",), ("",), (None,)], "n string")
+    got = [r[0] for r in df.select(T.name_pieces(F.col("n"))).collect()]
+    assert {"AOI_1_x-img12", "img12", "RGB_AOI_1_x-img12.tif", "srv/RGB", "1", "tif"} <= set(got[0]) and "img1" not in got[0] and len(got[0]) == len(set(got[0])) == 28
+    assert got[1:] == [["a"], [], [], None]
