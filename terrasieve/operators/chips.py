@@ -166,3 +166,79 @@ def pair_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key
 def object_centred_boxes(df: DataFrame, x: str, y: str, half: float) -> DataFrame:
     """df plus the box of the chip centred on each object."""
     return df.withColumn("chip_box", geom.box(F.array(F.array(geom.square(F.col(x), F.col(y), half)))))
+
+
+def chip_summary(cells: DataFrame, base: Column, number: Column, left: Column, bottom: Column, layers: list[str], vectors: list[str], folder: str, prefix: str = "", label: Column | None = None) -> DataFrame:
+    """cells with one row a raster layer: layer, rasterSource, chipName, geoVectorName ARRAY (one a vector layer) and pixVectorName, empty until pixels are written.
+
+    Names are prefix[class_]layer_base_img<number>, or by coordinates where the number is negative;
+    rasters go to folder/layer[/class], vectors to folder/geojson/layer.
+    """
+    def name(layer: Column, suffix: str, with_class: bool) -> Column:
+        cls = F.concat(F.regexp_replace(label, " ", ""), F.lit("_")) if label is not None and with_class else F.lit("")
+        return chip_name(F.concat(F.lit(prefix), cls, layer, F.lit("_"), base), number, left, bottom, suffix=suffix)
+
+    rows = cells.withColumn("layer", F.explode(F.array(*map(F.lit, layers))))
+    chip = name(F.col("layer"), ".tif", True)
+    place = [F.lit(folder), F.col("layer"), *([F.regexp_replace(label, " ", "")] if label is not None else [])]
+    geo = F.array(*[F.concat_ws("/", F.lit(f"{folder}/geojson/{v}"), name(F.lit(v), ".geojson", False)) for v in vectors]) if vectors else F.array().cast("array<string>")
+    return rows.withColumns({"rasterSource": F.concat_ws("/", *place, chip), "chipName": chip, "geoVectorName": geo, "pixVectorName": F.lit("")})
+
+
+def cut_arrays(pairs: DataFrame, data: str, width: str, affine: list[str], box: list[str]) -> DataFrame:
+    """pairs with data, width and affine of the part of each raster whose pixel centres lie in the box (left and bottom edge included); rows without any drop out.
+
+    data is a row-major array; affine are the columns a..f of an upright raster (b and d are 0).
+    """
+    import numpy as np
+
+    fields = pairs.schema.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def run(batches):
+        for batch in batches:
+            keep, cut, wide, cs, fs = [], [], [], [], []
+            for k, (values, n, a, c, e, f, l, b, r, t) in enumerate(zip(batch[data], batch[width], *(batch[affine[i]] for i in (0, 2, 4, 5)), *(batch[x] for x in box))):
+                if values is None or not len(values) or any(v is None or v != v for v in (a, c, e, f, l, b, r, t)):
+                    continue
+                grid = np.asarray(values).reshape(-1, int(n))
+                x, y = c + a * (np.arange(grid.shape[1]) + 0.5), f + e * (np.arange(grid.shape[0]) + 0.5)
+                col, row = np.nonzero((x >= l) & (x < r))[0], np.nonzero((y >= b) & (y < t))[0]
+                if len(col) and len(row):
+                    keep.append(k)
+                    cut.append(grid[row[0] : row[-1] + 1, col[0] : col[-1] + 1].ravel())
+                    wide.append(len(col))
+                    cs.append(c + a * col[0])
+                    fs.append(f + e * row[0])
+            out = batch.iloc[keep].reset_index(drop=True)
+            out[data], out[width], out[affine[2]], out[affine[5]] = cut, wide, cs, fs
+            yield out[[f.name for f in fields]]
+
+    return pairs.mapInPandas(run, schema)
+
+
+def write_chips(cells: DataFrame, name: str, box: list[str], rasters: DataFrame, features: DataFrame, wkt: str, properties: list[str], size: float, folder: str, least_share: float = 0.0, dtype: str = "u2") -> tuple[DataFrame, DataFrame]:
+    """Cuts rasters and polygons to cells and writes folder/raster/<name>_<raster>.tif and folder/geojson/<name>/; the lists of both.
+
+    cells: (name, box); rasters: (image_id, data, width, height, tr_a..tr_f); features: (wkt, properties). Both
+    meet the cells through box_join with grid cells of the given size. A cell without features has no collection.
+    """
+    from terrasieve.operators.clip import cut_features
+    from terrasieve.operators.matching import polygon_table
+    from terrasieve.sources import geojson, tiff
+
+    tr = [f"tr_{x}" for x in "abcdef"]
+    c = cells.select(F.col(name).alias("chip"), *[F.col(b).cast("double").alias(f"_c{i}") for i, b in enumerate(box)])
+    corners = [f"_c{i}" for i in range(4)]
+    r = extent(rasters).select("image_id", "data", "width", *tr, F.least("left", "right").alias("_r0"), F.least("bottom", "top").alias("_r1"), F.greatest("left", "right").alias("_r2"), F.greatest("bottom", "top").alias("_r3"))
+    met = cut_arrays(box_join(c, r, corners, ["_r0", "_r1", "_r2", "_r3"], size), "data", "width", tr, corners)
+    images = tiff.write_rasters(met.withColumn("_file", F.concat_ws("_", "chip", "image_id")), "_file", "data", "width", None, tr, f"{folder}/raster", dtype)
+    marked = features.select(*properties, F.col(wkt).alias("_w"), F.monotonically_increasing_id().alias("_id"), F.lit("").alias("_i"))
+    shapes = cut_lineage(marked)
+    f = polygon_table(shapes, "_id", "_i", "_w", keep=True).select("id", "xmin", "ymin", "xmax", "ymax", "wkt")
+    cut = cut_features(box_join(f, c, ["xmin", "ymin", "xmax", "ymax"], corners, size), "wkt", corners, least_share=least_share)
+    rows = cut.join(shapes.select(*properties, F.col("_id").alias("id")), "id")
+    g = geom.once(rows, ["chip", *properties, "origarea", "origlen", "partialDec", "truncated"], g=geom.parse_wkt(F.col("geometry")))
+    g = g.withColumns({"coordinates": geojson.coordinates_json(F.col("g")), "_kind": F.when(F.size("g") == 1, "Polygon").otherwise("MultiPolygon")})
+    vectors = geojson.write_geojson(g, f"{folder}/geojson", "coordinates", "_kind", [*properties, "origarea", "origlen", "partialDec", "truncated"], "chip")
+    return images, vectors

@@ -310,6 +310,16 @@ def l9_grid_chips(spark, sf_dir):
     return kept.select("aoi", "ix", "iy", "chip_no", C.chip_name(F.col("aoi"), F.col("chip_no"), F.col("l"), F.col("b")).alias("name"))
 
 
+@query(f"""WITH g AS ({query.sql["l9_grid_chips"]}), l AS (SELECT *, unnest(['PAN', 'RGB']) AS layer FROM g)
+SELECT layer, '/out/' || layer || '/clip_' || layer || '_' || aoi || '_img' || chip_no || '.tif' AS rasterSource, 'clip_' || layer || '_' || aoi || '_img' || chip_no || '.tif' AS chipName,
+  '/out/geojson/buildings/clip_buildings_' || aoi || '_img' || chip_no || '.geojson' AS geoVectorName FROM l""")
+def l8_chip_summary(spark, sf_dir):
+    """Names of every grid chip's rasters and vectors, a row a raster layer."""
+    cells = l9_grid_chips(spark, sf_dir)
+    rows = C.chip_summary(cells, F.col("aoi"), F.col("chip_no"), F.lit(0.0), F.lit(0.0), ["PAN", "RGB"], ["buildings"], "/out", "clip_")
+    return rows.select("layer", "rasterSource", "chipName", F.col("geoVectorName")[0].alias("geoVectorName"))
+
+
 @query("""SELECT CAST(row_number() OVER (ORDER BY chipName) AS BIGINT) AS position, chipName FROM chips""")
 def o1_positions(spark, sf_dir):
     """O1, SRC9: place of every file in sorted order, ranked by ranges and not in one task."""
